@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, neardup, substrings
+from . import decontaminate, fingerprint, neardup, runindex, substrings
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op6_substrings": substrings.op6_substrings,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_run_index": runindex.op9_run_index,
 }
 
 SQL = {
     "op1_fingerprint": fingerprint.OP1_SQL,
     "op6_substrings": substrings.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op9_run_index": runindex.OP9_SQL,
 }
