@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, neardup, runindex, substrings
+from . import decontaminate, fingerprint, neardup, runindex, substrings, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op6_substrings": substrings.op6_substrings,
     "op8_decontaminate": decontaminate.op8_decontaminate,
