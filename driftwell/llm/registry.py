@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, neardup, runindex, substrings, toxicity
+from . import decontaminate, fingerprint, mixing, neardup, runindex, substrings, tokencount, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_mix": mixing.op5_mix,
     "op6_substrings": substrings.op6_substrings,
+    "op7_token_counts": tokencount.op7_token_counts,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_run_index": runindex.op9_run_index,
 }
