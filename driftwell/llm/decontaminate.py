@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_or_empty
+from .common import broadcast_if, saved, table, text_or_empty
 
 #: Everything below U+0080 but digits and letters parts words.
 DELIMITERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -106,6 +106,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 8, min
     return rows.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), "hits", "n_hit", "item_ids", "n_items", (F.col("n_items") >= min_items).alias("contaminated"))
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 8, min_items: int = 1) -> DataFrame:
+    """The rows, with all columns, in which windows of fewer than min_items items occur."""
+    found = decontaminate(documents, benchmark, size, min_items).where("contaminated")
+    bad = saved(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "contaminated")
+    some = broadcast_if(bad, bad.count(), BLOCK_WINDOWS)
+    return documents.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(text_or_empty(), 256) == F.col("__key")), "left_anti")
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")

@@ -240,8 +240,41 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     labels = components(links)
     grouped = signed.select("doc_id", "node").join(nodes.select("node", "first_id"), "node", "left").join(labels, "node", "left")
     grouped = saved(grouped.select("doc_id", "node", "first_id", F.coalesce("label", "node").alias("label")), "grouped")
-    classes = grouped.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
-    return grouped.join(classes, "label", "left").select("doc_id", "node", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")
+    classes = grouped.where("label is not null").groupBy("label").agg(least, F.count(F.lit(1)).alias("class_size"))
+    rows = grouped.join(classes, "label", "left")
+    first = (F.col("label").isNull()) | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("node") == F.col("least.node")))
+    return rows.select("doc_id", "node", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), first.alias("first"))
+
+
+def add_node(schema_names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the hash of each row's words as its last column."""
+        at = schema_names.index("text")
+        for batch in batches:
+            words = [tokens(t.as_py()) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([content_id(w) if w else None for w in words], pa.binary())], [*schema_names, "__node"])
+
+    return run
+
+
+def keep_first(documents: DataFrame) -> DataFrame:
+    """One row of each class, with all its columns: the one with the smallest doc_id (any one of equal rows)."""
+    found = saved(near_duplicates(documents), "classes")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("first").alias("first"))
+    gone = saved(ids.where("n > 1 or not first").select(F.col("doc_id").alias("__id"), "n"), "gone")
+    some = broadcast_if(gone, gone.count(), BROADCAST_IDS)
+    kept = documents.join(some, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    # Ids that occur more than once are told apart by their words too.
+    many = gone.where("n > 1").select("__id")
+    if many.isEmpty():
+        return kept
+    rows = documents.join(many, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("__none", F.lit(None))
+    rows = rows.drop("__none").mapInArrow(add_node(documents.columns), documents.schema.add("__node", "binary"))
+    firsts = found.where("first and node is not null").select(F.col("doc_id").alias("__id"), F.col("node").alias("__first")).distinct()
+    alike = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__first")), "left_semi")
+    # Rows without words are in no class, so all of them stay.
+    return kept.unionByName(alike.dropDuplicates(["doc_id", "__node"]).drop("__node")).unionByName(rows.where("__node is null").drop("__node"))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -320,6 +320,34 @@ def remove_matches(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
     )
 
 
+def cut_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """All rows with all columns; text (and n_chars, where there is one) without the characters that matches cover."""
+    cuts = remove_matches(documents, length)
+    cuts = saved(cuts.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__key"), F.col("kept").alias("__kept")), "cuts")
+    ids = saved(cuts.where("__kept is not null").select("__id").distinct(), "ids")
+    some = broadcast_if(ids, ids.count(), BROADCAST_IDS)
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    rest = documents.join(some, same, "left_anti")
+    # Of an id with several texts, the untouched ones are in cuts too, with nothing to keep instead.
+    new = cuts.join(ids.withColumnRenamed("__id", "__x"), F.col("__id").eqNullSafe(F.col("__x")), "left_semi").distinct()
+    names, schema = documents.columns, documents.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+        for batch in batches:
+            texts, keys, kept = (batch.column(k).to_pylist() for k in (at, len(names) + 1, len(names) + 2))
+            fit = pa.array([text_id(encoded(t)) == k for t, k in zip(texts, keys)], pa.bool_())
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array([t if k is None else k for t, k in zip(texts, kept)], columns[at].type)
+            if chars is not None:
+                old = columns[chars].to_pylist()
+                columns[chars] = pa.array([n if k is None else len(k) for n, k in zip(old, kept)], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(fit)
+
+    touched = documents.join(some, same, "left_semi").join(new, same).mapInArrow(run, schema)
+    return rest.unionByName(touched)
+
+
 def op9_run_index(spark, sf_dir: str) -> DataFrame:
     return remove_matches(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

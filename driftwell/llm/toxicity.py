@@ -287,6 +287,18 @@ def scores(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(score_texts(handle), "doc_id bigint, score double")
 
 
+def reject(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns."""
+    handle, schema, at = shared_model(documents.sparkSession, model), documents.schema, documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*handle.value)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(run, schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """A third of all ids, which nothing is learned from; a null id isn't held out, but has no label either."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
