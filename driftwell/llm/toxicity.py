@@ -43,7 +43,7 @@ DISCOUNT, CONCENTRATION = 0.75, 2.0
 PASSAGE, CLEAR, FIGURES = 16, 1.5, 6
 THRESHOLD = 0.7
 #: Scores of so many words are kept at once in a Python worker.
-MEMO_WORDS = 200_000
+MEMO_WORDS, LOOKUP_WORDS = 300_000, 100_000
 START, END = 1, 2
 
 
@@ -172,30 +172,46 @@ class Model:
 
     def of(self, words: list[str], own: int | None = None) -> np.ndarray:
         memo = self.memo.setdefault(own, {})
-        new = [w for w in dict.fromkeys(words) if w not in memo]
+        new = list(set(words) - memo.keys())
         if new:
             if len(memo) + len(new) > MEMO_WORDS:
                 memo.clear()
-                new = list(dict.fromkeys(words))
+                new = list(set(words))
             memo.update(zip(new, self.differences(new, own).tolist()))
         return np.fromiter(map(memo.__getitem__, words), float, len(words))
 
-    def figures(self, text: str | None, own: int | None = None) -> np.ndarray:
-        words = tokens(text)
-        out = np.zeros(FIGURES)
-        if words:
-            d = self.of(words, own)
-            sums = np.concatenate([[0.0], np.cumsum(d)])
-            passage = (sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE if len(d) > PASSAGE else d.mean()
-            top = np.sort(self.of(list(set(words)), own))[::-1][:3]
-            out[:] = d.mean(), passage, *(top[k] if k < len(top) else min(top[-1], 0) for k in (1, 2)), np.log1p(np.maximum(d - CLEAR, 0).sum()), np.log(len(d))
+    def figures(self, texts: list[str | None], own: int | None = None) -> np.ndarray:
+        """A row of figures for each text. Words are looked up for so many texts together that arrays are long."""
+        out, first = np.zeros((len(texts), FIGURES)), 0
+        while first < len(texts):
+            lists, held = [], 0
+            while first + len(lists) < len(texts) and held < LOOKUP_WORDS:
+                lists.append(tokens(texts[first + len(lists)]))
+                held += len(lists[-1])
+            every = self.of([w for words in lists for w in words], own)
+            at = 0
+            for k, words in enumerate(lists, first):
+                if words:
+                    out[k] = self._figures(every[at : at + len(words)])
+                    at += len(words)
+            first += len(lists)
         return out
 
-    def score(self, text: str | None) -> float:
+    @staticmethod
+    def _figures(d: np.ndarray) -> tuple:
+        sums = np.concatenate([[0.0], np.cumsum(d)])
+        mean = sums[-1] / len(d)
+        passage = (sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE if len(d) > PASSAGE else mean
+        # Words of equal difference are nearly always the same word.
+        top = np.unique(d)[::-1][:3]
+        second, third = (top[k] if k < len(top) else min(top[-1], 0.0) for k in (1, 2))
+        return mean, passage, second, third, np.log1p(np.maximum(d - CLEAR, 0).sum()), np.log(len(d))
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.curve is None:
-            return 0.0
+            return np.zeros(len(texts))
         weights, bias, mean, scale = self.curve
-        return float(1 / (1 + np.exp(-np.clip(bias + ((self.figures(text) - mean) / scale) @ weights, -500, 500))))
+        return 1 / (1 + np.exp(-np.clip(bias + ((self.figures(texts) - mean) / scale) @ weights, -500, 500)))
 
 
 def gather(documents: DataFrame, labels: DataFrame) -> Model:
@@ -204,16 +220,18 @@ def gather(documents: DataFrame, labels: DataFrame) -> Model:
     words = rows.mapInArrow(count_words, "word string, c0 bigint, c1 bigint").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     grams = words.mapInArrow(count_ngrams, "kind int, slot int, head int, n bigint").groupBy("kind", "slot", "head").agg(F.sum("n").alias("n"))
     grams = saved(grams, "ngrams")
-    by_slot = grams.groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
-    by_head = grams.groupBy("kind", "head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toPandas()
     tables = {}
-    for kind in by_slot["kind"].unique().tolist():
-        counts, sums, kinds = (np.zeros(1 << SLOT_BITS, np.float32) for _ in range(3))
-        part, heads = by_slot[by_slot["kind"] == kind], by_head[by_head["kind"] == kind]
-        counts[part["slot"]] = part["n"]
-        sums[heads["head"]] = heads["n"]
-        kinds[heads["head"]] = heads["kinds"]
-        tables[kind] = (counts, sums, kinds)
+    # At most ORDER + 1 kinds, each with at most 2 ** SLOT_BITS slots and as many contexts: one kind at a time.
+    for kind in [4 * n + 2 for n in range(ORDER - 1)] + [4 * ORDER - 4, 4 * ORDER - 3]:
+        some = grams.where(F.col("kind") == kind)
+        by_slot = some.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        by_head = some.groupBy("head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toArrow()
+        if by_slot.num_rows:
+            counts, sums, kinds = (np.zeros(1 << SLOT_BITS, np.float32) for _ in range(3))
+            counts[by_slot["slot"].to_numpy()] = by_slot["n"].to_numpy()
+            sums[by_head["head"].to_numpy()] = by_head["n"].to_numpy()
+            kinds[by_head["head"].to_numpy()] = by_head["kinds"].to_numpy()
+            tables[kind] = (counts, sums, kinds)
     return Model(tables)
 
 
@@ -244,7 +262,7 @@ def score_texts(handle):
         """doc_id, text → doc_id, score."""
         model = Model(*handle.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -254,8 +272,9 @@ def measure_texts(handle):
         """text, toxic → figures, toxic."""
         model = Model(*handle.value)
         for batch in batches:
-            found = [model.figures(t.as_py(), c).tolist() for t, c in zip(batch.column(0), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["figures", "toxic"])
+            for c in (0, 1):
+                texts = [t for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if own == c]
+                yield pa.RecordBatch.from_arrays([pa.array(model.figures(texts, c).tolist(), pa.list_(pa.float64())), pa.array([c] * len(texts), pa.int32())], ["figures", "toxic"])
 
     return run
 
@@ -294,7 +313,7 @@ def reject(documents: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*handle.value)
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array(own.scores(batch.column(at).to_pylist()) < threshold))
 
     return documents.mapInArrow(run, schema)
 
