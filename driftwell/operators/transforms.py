@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import block_of, cuts_of
+
 
 def min_max(x: Column, lo: float | list[float] = 0.0, hi: float | list[float] = 255.0) -> Column:
     """(x - lo) / (hi - lo) for each feature, not clamped; bounds for all features or one for each."""
@@ -34,10 +36,7 @@ def running(df: DataFrame, value: str, order: str, parts: int | None = None) ->
     in.  So the whole table is never one task's.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
-    cuts = sorted(set(found or []))
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    rows = df.withColumn("__block", block)
+    rows = df.withColumn("__block", F.coalesce(block_of(F.col(order), cuts_of(df, order, parts)), F.lit(-1)))
     stats = rows.groupBy("__block").agg(F.count(value).cast("double").alias("__n"), F.sum(value).alias("__s"), (F.var_pop(value) * F.count(value)).alias("__d"))
     # Pooled over the blocks before: deviations within blocks and of blocks' means from theirs together.
     w = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)

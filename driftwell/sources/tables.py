@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import block_of, cuts_of
+
 #: (l_orderkey, l_linenumber) repeats; these together don't, up to rows that are equal in all of them.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 POINT = "label double, numeric array<double>, discrete array<double>, categorical array<string>, raw string"
@@ -62,15 +64,12 @@ def with_worker(df: DataFrame, key: str, workers: int) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int | None = None) -> DataFrame:
     """Adds each row's place (from 0) in a total order of the whole table.
 
-    Rows are range-partitioned and each partition is numbered for itself; counts of the partitions before (one small
-    row for each) are added.  So no task sees more than its range.
+    Rows are parted into ranges of the first (integral) key and each range is numbered for itself; counts of the ranges
+    before (one small row for each) are added.  So no task sees more than its range.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first, low = order[0], df.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
-    cuts = sorted(set(low or []))
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(first))) if cuts else F.lit(0)
-    rows = df.withColumn("__block", F.coalesce(block, F.lit(-1)))
+    rows = df.withColumn("__block", F.coalesce(block_of(F.col(order[0]), cuts_of(df, order[0], parts)), F.lit(-1)))
     counts = rows.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__block", (F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
     w = Window.partitionBy("__block").orderBy(*order)
