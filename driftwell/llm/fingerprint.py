@@ -16,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_or_empty
+from ..functions.ranges import block_of, cuts_of
+from .common import table, text_or_empty
 
 #: A paragraph ends its section if its digest's first hexadecimal digit is one of these.
 SECTION_ENDS = ("0", "1")
+#: Blocks of consecutive ids at most: their borders are broadcast (24 bytes each).
+MAX_BLOCKS = 50_000
 PHRASE = r"(?:\S+\s*){1,4}"
 
 
@@ -76,23 +79,11 @@ def with_next(documents: DataFrame, per_block: int = 4096) -> DataFrame:
     block also gets the first rows of the following one, as ghosts which only serve as successors; so no task holds
     more than a block, and nothing but block borders is ever gathered.
     """
-    rows = documents.select("doc_id", text_or_empty().alias("text"))
-    ids = documents.select("doc_id")
-    known = ids.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("with_id")).first()
-    blocks = min(10_000, max(1, known["rows"] // per_block))
-    shares = [i / blocks for i in range(1, blocks)]
-    cuts = ids.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts")).first()["cuts"] if shares and known["with_id"] else []
-    cuts = sorted(set(cuts or []))
-    spark = documents.sparkSession
-    #: Block of an id: cuts that are smaller than it. The borders are at most 10,000 longs. Ids descend, so blocks do.
-    border = F.array(*[F.lit(x) for x in cuts]).cast("array<bigint>") if len(cuts) <= 64 else None
-    if border is not None:
-        block = F.size(F.filter(border, lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-        rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(block))
-    else:
-        step = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None]))], "block int, lo bigint, hi bigint")
-        inside = (F.col("lo").isNull() | (F.col("doc_id") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("doc_id") <= F.col("hi")))
-        rows = rows.join(F.broadcast(step), inside & F.col("doc_id").isNotNull(), "left").select("doc_id", "text", F.coalesce("block", F.lit(-1)).alias("block"))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    ids = rows.select("doc_id")
+    cuts = cuts_of(ids, "doc_id", min(MAX_BLOCKS, max(1, ids.count() // per_block)))
+    # Ids descend, so blocks do; rows without an id come after all others.
+    rows = rows.withColumn("block", F.coalesce(block_of(F.col("doc_id"), cuts), F.lit(-1)))
     ordered = rows.select("block", "doc_id").groupBy("block").agg(F.max("doc_id").alias("top"))
     edge = ordered.withColumn("to", F.coalesce(F.lag("block", -1).over(Window.orderBy("block")), F.min("block").over(Window.partitionBy(F.lit(0)))))
     # The row after the last of block "to" is the first of this block; blocks descend, so "to" is the next higher one,

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import broadcast_if, saved, table
 from .components import components
@@ -248,7 +249,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def add_node(schema_names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the hash of each row's words as its last column."""
         at = schema_names.index("text")
         for batch in batches:
@@ -269,8 +270,7 @@ def keep_first(documents: DataFrame) -> DataFrame:
     many = gone.where("n > 1").select("__id")
     if many.isEmpty():
         return kept
-    rows = documents.join(many, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("__none", F.lit(None))
-    rows = rows.drop("__none").mapInArrow(add_node(documents.columns), documents.schema.add("__node", "binary"))
+    rows = documents.join(many, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(add_node(documents.columns), StructType([*documents.schema.fields, StructField("__node", BinaryType())]))
     firsts = found.where("first and node is not null").select(F.col("doc_id").alias("__id"), F.col("node").alias("__first")).distinct()
     alike = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__first")), "left_semi")
     # Rows without words are in no class, so all of them stay.

@@ -121,7 +121,7 @@ resp AS (SELECT url_key, page_id * 3 + 1 AS source_id, page_id * 4 + 1 AS "at",
 rev AS (SELECT url_key, page_id * 3 AS record_id, page_id * 4 AS "at", tag AS etag, 0 AS late FROM k
     UNION ALL SELECT url_key, page_id * 3 + 2, page_id * 4 + 6, CASE WHEN n % 5 = 0 THEN '"x' || digest[1:15] || '"' WHEN n % 7 = 0 THEN NULL ELSE 'W/' || tag END, 1 FROM k),
 j AS (SELECT rev.*, resp.source_id, resp."at" AS rat, resp.digest, resp.n, resp.tag, row_number() OVER (PARTITION BY record_id ORDER BY resp."at" DESC NULLS LAST, resp.source_id DESC) AS rn FROM rev LEFT JOIN resp ON rev.url_key = resp.url_key AND resp."at" < rev."at"),
-o AS (SELECT *, CASE WHEN source_id IS NULL THEN 'no_earlier_response' WHEN etag IS NULL THEN 'no_validator' WHEN regexp_replace(etag, '^W/', '') = tag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM j WHERE rn = 1)
+o AS (SELECT *, CASE WHEN url_key IS NULL THEN 'bad_record' WHEN source_id IS NULL THEN 'no_earlier_response' WHEN etag IS NULL THEN 'no_validator' WHEN regexp_replace(etag, '^W/', '') = tag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM j WHERE rn = 1)
 SELECT record_id, url_key, "at", outcome, CASE WHEN outcome = 'resolved' THEN source_id END AS source_id, CASE WHEN outcome = 'resolved' THEN CAST(200 AS INTEGER) END AS status, CASE WHEN outcome = 'resolved' THEN digest END AS digest,
     CASE WHEN outcome = 'resolved' THEN CASE WHEN late = 1 THEN 'cache-control: max-age=60' || chr(10) ELSE '' END || 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || CASE WHEN late = 1 THEN 'later' ELSE 'early' END || chr(10) || 'etag: ' || tag END AS headers FROM o
 """

@@ -113,21 +113,21 @@ def levels(calls: DataFrame) -> DataFrame:
     now = calls.select("conv_key", "call_id", F.col("start").alias("level"))
     forward = edges.join(starts, ["conv_key", "need"]).join(calls.select("conv_key", "call_id", "start"), ["conv_key", "call_id"]).where("before >= start")
     # A chain without a circle is settled after as many rounds as the conversation has calls that can be raised.
-    most = forward.groupBy("conv_key").count().agg(F.max("count")).first()[0]
-    cyclic = None
-    if most:
-        most = calls.join(forward.select("conv_key").distinct(), "conv_key", "left_semi").groupBy("conv_key").count().agg(F.max("count")).first()[0]
-        for k in range(most + 1):
-            above = edges.join(now.withColumnRenamed("call_id", "need"), ["conv_key", "need"]).groupBy("conv_key", "call_id").agg((F.max("level") + 1).alias("least"))
-            stepped = saved(now.join(above, ["conv_key", "call_id"], "left").select("conv_key", "call_id", F.greatest("level", F.coalesce("least", "level")).alias("new"), "level"), "levels")
-            now = stepped.select("conv_key", "call_id", F.col("new").alias("level"))
-            if stepped.where("new > level").isEmpty():
-                break
-            cyclic = stepped.where("new > level").select("conv_key", "call_id") if k == most else None
-    out = calls.join(now, ["conv_key", "call_id"])
-    if cyclic is None:
-        return out.withColumn("cycle", F.lit(False))
-    return out.join(cyclic.withColumn("cycle", F.lit(True)), ["conv_key", "call_id"], "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
+    if forward.isEmpty():
+        return calls.withColumn("level", F.col("start")).withColumn("cycle", F.lit(False))
+    most = calls.join(forward.select("conv_key").distinct(), "conv_key", "left_semi").groupBy("conv_key").count().agg(F.max("count")).first()[0]
+    settled = None
+    for k in range(2 * most + 1):
+        if k == most:
+            settled = now
+        above = edges.join(now.withColumnRenamed("call_id", "need"), ["conv_key", "need"]).groupBy("conv_key", "call_id").agg((F.max("level") + 1).alias("least"))
+        stepped = saved(now.join(above, ["conv_key", "call_id"], "left").select("conv_key", "call_id", F.greatest("level", F.coalesce("least", "level")).alias("new"), "level"), "levels")
+        now = stepped.select("conv_key", "call_id", F.col("new").alias("level"))
+        if stepped.where("new > level").isEmpty():
+            return calls.join(now, ["conv_key", "call_id"]).withColumn("cycle", F.lit(False))
+    # What still rises in as many rounds again is on a circle or behind one.
+    rising = settled.withColumnRenamed("level", "old").join(now, ["conv_key", "call_id"]).select("conv_key", "call_id", "level", (F.col("level") > F.col("old")).alias("cycle"))
+    return calls.join(rising, ["conv_key", "call_id"])
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
