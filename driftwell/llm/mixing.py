@@ -29,8 +29,6 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = 20260
 MAX_PATTERNS = 4096
-#: Parts of the seeded order that are added up before the one is found in which the quota ends.
-PARTS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -118,9 +116,9 @@ def plan(documents: DataFrame, sources: Column | None = None, weights: tuple[flo
     """(documents with copies and taken, sources with size and target, patterns with flow)."""
     spark = documents.sparkSession
     names = F.array("source") if sources is None else F.array_sort(F.array_distinct(sources))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text_or_empty())
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("-")), text_or_empty()))
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), n_words(text_or_empty()).alias("size"), F.transform(names, lambda s: s.cast("string")).alias("pattern"), order.alias("h"))
-    rows = saved(rows.withColumn("part", F.shiftrightunsigned("h", 52)), "sizes")
+    rows = saved(rows.withColumn("part", F.substring("h", 1, 3)), "sizes")
     grouped = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(grouped) > max_patterns:
         rows = rows.withColumn("pattern", F.slice("pattern", 1, 1))
@@ -139,8 +137,8 @@ def plan(documents: DataFrame, sources: Column | None = None, weights: tuple[flo
     quotas = [(r["pattern"], r["size"], sum(f.values())) for r, f in zip(grouped, flows)]
     quota = spark.createDataFrame(quotas, "pattern array<string>, pattern_size bigint, flow bigint")
     listed = spark.createDataFrame(list(zip(known, sizes, wanted)), "source string, source_size bigint, target double")
-    # Everyone takes whole repetitions; the rest goes by seeded order. Its first parts are taken as a whole, then it
-    # ends within one part of one pattern, which is small.
+    # Everyone takes whole repetitions; the rest goes by seeded order. Of its 4,096 parts (three hexadecimal digits) the
+    # first are taken as a whole, until it ends within one part of a pattern, which is small.
     quota = quota.withColumn("base", F.when(F.col("pattern_size") > 0, F.floor(F.col("flow") / F.col("pattern_size"))).otherwise(0).cast("long"))
     quota = quota.withColumn("rest", F.col("flow") - F.col("base") * F.col("pattern_size"))
     parts = rows.groupBy("pattern", "part").agg(F.sum("size").alias("part_size"))
@@ -162,3 +160,18 @@ def op5_mix(spark, sf_dir: str) -> DataFrame:
     rows, sources, _ = plan(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("source", F.col("pattern")[0])
     return rows.join(F.broadcast(sources.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('20260|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || coalesce(text, '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS k FROM d GROUP BY source),
+l AS (SELECT list(source_size ORDER BY k) AS ss, list([5e0, 2e0, 1e0][(k - 1) % 3 + 1] ORDER BY k) AS ws FROM s),
+r AS (SELECT 0 AS step, CAST(list_sum(ss) AS DOUBLE) AS lft, CAST(range(1, len(ss) + 1) AS BIGINT[]) AS opn, list_transform(ss, lambda x: 0e0) AS outs FROM l
+    UNION ALL SELECT step + 1, CASE WHEN len(ov) > 0 THEN lft - list_sum(list_transform(ov, lambda i: 3e0 * ss[i])) ELSE 0e0 END, CASE WHEN len(ov) > 0 THEN list_filter(opn, lambda i: NOT list_contains(ov, i)) ELSE []::BIGINT[] END,
+        list_transform(CAST(range(1, len(ss) + 1) AS BIGINT[]), lambda i: CASE WHEN list_contains(ov, i) THEN 3e0 * ss[i] WHEN len(ov) = 0 AND list_contains(opn, i) THEN lft * ws[i] / tot ELSE outs[i] END)
+    FROM (SELECT r.*, ss, ws, list_sum(list_transform(opn, lambda i: ws[i])) AS tot, list_filter(opn, lambda i: lft * ws[i] / list_sum(list_transform(opn, lambda j: ws[j])) > 3e0 * ss[i]) AS ov FROM r, l WHERE len(opn) > 0)),
+t AS (SELECT source, source_size, (SELECT outs FROM r ORDER BY step DESC LIMIT 1)[k] AS target FROM s),
+q AS (SELECT *, least(CAST(floor(target) AS BIGINT), 3 * source_size) AS flow FROM t),
+p AS (SELECT d.doc_id, d.size, source_size, target, CASE WHEN source_size > 0 THEN flow // source_size ELSE 0 END AS base, CASE WHEN source_size > 0 THEN flow % source_size ELSE 0 END AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN size > 0 THEN (base + (run + size / 2e0 <= rest)::INTEGER) * size ELSE 0 END AS BIGINT) AS taken FROM p
+"""

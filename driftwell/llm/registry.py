@@ -20,6 +20,7 @@ QUERIES = {
 SQL = {
     "op1_fingerprint": fingerprint.OP1_SQL,
     "op2_revisits": revisits.OP2_SQL,
+    "op5_mix": mixing.OP5_SQL,
     "op6_substrings": substrings.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_run_index": runindex.OP9_SQL,
