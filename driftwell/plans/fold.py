@@ -13,10 +13,11 @@ from ..operators.spec import LearnerSpec
 def in_order(df: DataFrame, order: list[str], by: str | None = None) -> DataFrame:
     """Rows so that one task reads them in order; with ``by``, all rows of a key in order, keys in parallel.
 
-    Sorting is distributed.  A fold without a key is one task by its nature, but it streams and holds its state only.
+    A fold without a key is one task by its nature: it sorts (and spills) and then streams, holding its state only.
+    Merging sorted partitions by coalesce wouldn't do, since that may visit them in an order of locality.
     """
     if by is None:
-        return df.orderBy(*order).coalesce(1)
+        return df.repartition(1).sortWithinPartitions(*order)
     return df.repartition(by).sortWithinPartitions(by, *order)
 
 
