@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +48,28 @@ def text_or_empty(name: str = "text") -> Column:
 def fingerprint_of(*cols: Column) -> Column:
     """128 bits of two seeded 64-bit hashes, as a struct to group and join by."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(0x5BD1E995), *cols).alias("b"))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """For functions of mapInArrow: what a task had is given back to the system at its end.  Python workers live on for
+    later tasks, and allocators would keep the most that any task ever took."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not every C library has it
+                pass
+
+    return wrapped
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import broadcast_if, saved, table
+from .common import broadcast_if, lean, saved, table
 from .components import components
 from .textwords import ODD, WordHashes, mix, shingles, tokens
 
@@ -39,7 +39,7 @@ REGISTERS, BANDS = 192, 32
 THRESHOLD = 0.8
 #: Five standard deviations of an estimate by REGISTERS registers.
 MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-BATCH_WORDS, BATCH_TEXTS = 400_000, 1000
+BATCH_WORDS, BATCH_TEXTS = 200_000, 500
 PROBES, TARGETS = 64, 1024
 #: Ids of so many texts (16 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -108,6 +108,7 @@ def content_id(words: list[str]) -> bytes:
 SIGNED = "doc_id bigint, node binary, bands array<bigint>, registers binary"
 
 
+@lean
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text → doc_id, node (hash of its words), bands, registers (eight bits each); nulls without words."""
     memo = WordHashes()
@@ -138,6 +139,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+@lean
 def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, registers of a, of b → a, b, estimate; pairs that can't reach the threshold go."""
     for batch in batches:
@@ -147,6 +149,7 @@ def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(estimate).take(keep)], ["a", "b", "estimate"])
 
 
+@lean
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows a, salt, b, text in order, each a's own text (b null) before its partners → a, b of true links."""
     memo = WordHashes()
@@ -164,6 +167,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
+@lean
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of blocks of a bucket, in order of block and then probes first → plausible pairs of different classes."""
     key, probes, targets = None, [], []
@@ -249,7 +253,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def add_node(schema_names: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the hash of each row's words as its last column."""
         at = schema_names.index("text")
         for batch in batches:

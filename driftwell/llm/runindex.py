@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, run_hashes, sliding_min, spans, value_runs
-from .common import broadcast_if, saved, table
+from .common import broadcast_if, lean, pieces, saved, table
 from .textwords import ODD, mix
 
 LENGTH = 400
@@ -37,7 +37,7 @@ RUN = 64
 #: Starts of a context at most; a longer stretch is cut into several.
 CONTEXT_STARTS = 8192
 #: Bytes that are indexed at once, and distinct contexts of one anchor that are.
-BATCH_BYTES, HOT = 1 << 20, 1000
+BATCH_BYTES, HOT = 1 << 19, 1000
 BROADCAST_IDS = 1_000_000
 
 
@@ -136,6 +136,7 @@ def text_id(data: bytes) -> bytes:
 
 
 def scan(length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text → doc_id, text_id, n_bytes, whole, anchors (one that has several places is listed twice)."""
         for batch in batches:
@@ -156,9 +157,10 @@ def scan(length: int):
 
 
 def cut_contexts(length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """text_id, anchors, text → text_id, at, anchor, same (hash of the context), context."""
-        for batch in batches:
+        for batch in pieces(batches):
             keys, places, values, same, contexts = [], [], [], [], []
             for key, some, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = encoded(text.as_py())
@@ -180,6 +182,7 @@ def cut_contexts(length: int):
 
 
 def mark(length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """anchor, same, context, times, in order of anchor → same, lo, hi: runs of starts that match elsewhere."""
         held, size, last = [], 0, None
@@ -207,7 +210,7 @@ def mark(length: int):
                 size += sum(len(x[1]) + 1 for x in group)
             group.clear()
 
-        for batch in batches:
+        for batch in pieces(batches):
             for anchor, key, context, times in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if anchor != last:
                     close()
@@ -224,6 +227,7 @@ def mark(length: int):
 
 
 def explode_strings(length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """same, context → same, place, and two hashes of each string in it."""
         for batch in batches:
@@ -277,9 +281,10 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH, hot: int = HOT)
 
 
 def cut_bytes(length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """text_id, runs, text → text_id, n_removed, n_spans, kept_sha256, kept (whole characters only)."""
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for key, runs, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = encoded(text.as_py())
@@ -332,9 +337,10 @@ def cut_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     new = cuts.join(ids.withColumnRenamed("__id", "__x"), F.col("__id").eqNullSafe(F.col("__x")), "left_semi").distinct()
     names, schema = documents.columns, documents.schema
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-        for batch in batches:
+        for batch in pieces(batches):
             texts, keys, kept = (batch.column(k).to_pylist() for k in (at, len(names) + 1, len(names) + 2))
             fit = pa.array([text_id(encoded(t)) == k for t, k in zip(texts, keys)], pa.bool_())
             columns = list(batch.columns[: len(names)])

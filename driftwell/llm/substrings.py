@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, sliding_min, spans
-from .common import broadcast_if, saved, table
+from .common import broadcast_if, lean, saved, table
 from .textwords import WordHashes, windows
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -51,6 +51,7 @@ def digest(words: list[str]) -> str:
 def first_level(length: int):
     half = -(-length // 2)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text → doc_id, text_id, n_words, whole (digest of all words), anchors."""
         memo = WordHashes()
@@ -70,6 +71,7 @@ def first_level(length: int):
 def last_level(length: int):
     half = -(-length // 2)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc, doc_id, text_id, anchors, text → the hash and place of each window of full length with such an anchor."""
         memo = WordHashes()
@@ -92,6 +94,7 @@ def last_level(length: int):
 
 
 def cut_words(length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """text_id, starts, text → text_id, n_removed, kept (the text's words that are left, joined by one space)."""
         for batch in batches:

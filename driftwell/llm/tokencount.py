@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 CHUNK, OVERLAP = 32_768, 512
 LIMIT = 2048
@@ -128,6 +128,7 @@ def count_in_chunks(text: str, encode: Callable[[str], Pieces], chunk: int = CHU
 
 
 def count(path: str, chunk: int, overlap: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text → doc_id, n_bytes, n_tokens."""
         counter = WordCounter(path)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import lean, saved, table
 
 SCHEMA_TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
@@ -68,6 +68,7 @@ def canonical(value) -> str:
 
 
 def check_arguments(schemas: dict[str, dict]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds wrong (a status or null) and detail to rows with name and arguments, whose JSON becomes canonical."""
         for batch in batches:
@@ -92,6 +93,7 @@ def check_arguments(schemas: dict[str, dict]):
     return run
 
 
+@lean
 def write_json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds json: the call with its arguments and result."""
     for batch in batches:

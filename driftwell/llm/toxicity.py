@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import lean, pieces, saved, table
 from .textwords import ODD, mix, tokens
 
 ORDER = 6
@@ -43,7 +43,7 @@ DISCOUNT, CONCENTRATION = 0.75, 2.0
 PASSAGE, CLEAR, FIGURES = 16, 1.5, 6
 THRESHOLD = 0.7
 #: Scores of so many words are kept at once in a Python worker.
-MEMO_WORDS, LOOKUP_WORDS = 300_000, 100_000
+MEMO_WORDS, LOOKUP_WORDS = 300_000, 30_000
 START, END = 1, 2
 
 
@@ -80,6 +80,7 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+@lean
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, toxic (null: unlabelled) → word and how many texts of either class have it: counts of this partition, combined."""
     from collections import Counter
@@ -101,6 +102,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+@lean
 def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, c0, c1 (summed over the corpus) → kind, slot, head, n: counts of n-grams with their contexts.
 
@@ -258,20 +260,22 @@ def shared_model(spark, model: Model):
 
 
 def score_texts(handle):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text → doc_id, score."""
         model = Model(*handle.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return run
 
 
 def measure_texts(handle):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """text, toxic → figures, toxic."""
         model = Model(*handle.value)
-        for batch in batches:
+        for batch in pieces(batches):
             for c in (0, 1):
                 texts = [t for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if own == c]
                 yield pa.RecordBatch.from_arrays([pa.array(model.figures(texts, c).tolist(), pa.list_(pa.float64())), pa.array([c] * len(texts), pa.int32())], ["figures", "toxic"])
@@ -310,9 +314,10 @@ def reject(documents: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     """The rows whose text scores below the threshold, with all their columns."""
     handle, schema, at = shared_model(documents.sparkSession, model), documents.schema, documents.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*handle.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(own.scores(batch.column(at).to_pylist()) < threshold))
 
     return documents.mapInArrow(run, schema)
