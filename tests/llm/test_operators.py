@@ -98,6 +98,18 @@ def test_merkle_locates_edits(spark):
     assert 0 < len(set(a["sections"]) - set(b["sections"])) < len(a["sections"])
 
 
+def test_one_inserted_word_keeps_likeness(spark):
+    rng = random.Random(4)
+    text = "\n".join(prose(rng, n) for n in (103, 2, 60))
+    put_in = ["x " + text, "\n".join("x " + p for p in text.split("\n")), text.replace(" ", " x ", 1), prose(rng, 165)]
+    rows = fingerprint.fingerprints(spark.createDataFrame(list(enumerate([text, *put_in, None, " \n"])), "doc_id int, text string"))
+    of = {r["doc_id"]: set(r["leaves"]) for r in rows.collect()}
+    like = [len(of[0] & of[k]) / len(of[0] | of[k]) for k in range(1, 5)]
+    assert min(like[:3]) > 0.94 and like[3] == 0 and len(of[0]) == 100 + 1 + 57 and len(of[5]) == len(of[6]) == 1
+    pair = spark.createDataFrame([(2, text), (1, put_in[1])], "doc_id int, text string")
+    assert {r["doc_id"]: r["alike_next"] for r in fingerprint.compare_edits(pair).collect()} == {1: like[1], 2: like[1]}
+
+
 def test_next_in_many_blocks(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(3000), f"t{rng.randrange(50)}") for _ in range(900)] + [(None, "n1"), (None, "n0")]
