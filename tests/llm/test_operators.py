@@ -219,6 +219,33 @@ def test_kneser_ney_by_hand(spark):
     assert np.allclose(model.differences(some), [word(w, 1) - word(w, 0) for w in some], atol=1e-5)
 
 
+def test_counts_are_of_one_ngram_each(spark):
+    """More n-grams than 18 bits tell apart: as many counts as n-grams, with each its own."""
+    rng = random.Random(6)
+    words = {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(30_000)}
+    model = toxicity.gather(spark.createDataFrame([(1, " ".join(sorted(words)))], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    want = Counter(s[max(0, k - 5) : k + 1] for w in words for s in [f"\x01{w}\x02"] for k in range(1, len(s)))
+    assert model.sizes[toxicity.KINDS[-1]] == len(want) > 2**18
+    some = sorted(words)[:500]
+    grams, _ = toxicity.ngrams(some)
+    got = model.tables[toxicity.KINDS[-1]][0].of(toxicity.key(grams[-1], toxicity.ORDER - 1))[0]
+    assert got.tolist() == [want[s[max(0, k - 5) : k + 1]] for w in some for s in [f"\x01{w}\x02"] for k in range(1, len(s))]
+
+
+def test_toxicity_by_joins_as_by_broadcast(spark, toxic_corpus):
+    docs, labels, _ = toxic_corpus
+    docs = docs.limit(150).unionByName(spark.createDataFrame([(None, "zorkish"), (7000, None), (7001, ""), (7001, "unseen wörds")], docs.schema))
+    some = labels.where("doc_id % 3 <> 1")
+    few, many = toxicity.train(docs, some), toxicity.train(docs, some, max_grams=0)
+    assert few.tables is not None and many.tables is None
+    of = lambda model: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in toxicity.scores(docs, model).collect()))
+    a, b = of(few), of(many)
+    assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], atol=1e-4) and len({x[2] for x in a}) > 100
+    texts = ["zorkish you", None, "another"]
+    assert np.allclose(few.scores(texts), many.scores(texts), atol=1e-4)
+    assert toxicity.reject(clashing(docs), many).count() == sum(x[2] < 0.7 for x in b)
+
+
 def test_toxicity_without_labels(spark, toxic_corpus):
     docs, labels, _ = toxic_corpus
     model = toxicity.train(docs, labels.where("toxic = 0"))
