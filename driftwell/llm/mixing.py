@@ -8,8 +8,9 @@ a pattern go to each source.  Within a pattern the whole repetitions are taken b
 documents that come first in a seeded order, until the pattern's flow is reached; so a pattern misses its flow by less
 than one document.
 
-The driver holds patterns, not documents.  With more than ``max_patterns`` of them a document keeps to its first source
-(in code point order) alone: patterns are then as many as sources.
+The driver holds patterns, not documents, and all of them with all their sources, however many they are; a search for a
+path goes over sources, not patterns.  With more than ``max_patterns`` of them their flows go back to the documents by a
+shuffle in place of a broadcast.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are never
 taken; equal rows stand next to each other in the seeded order; a table without words has targets of 0; an empty table
@@ -23,11 +24,12 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_or_empty
+from .common import broadcast_if, saved, table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = 20260
+#: Patterns whose flows are broadcast at most.
 MAX_PATTERNS = 4096
 
 
@@ -64,44 +66,62 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], demands: list[int
     for p, (sources, _) in enumerate(patterns):
         for s in sources:
             by_source.setdefault(s, []).append(p)
+    # Patterns that serve s and could serve t instead, by s and t.
+    arcs: dict[int, dict[int, dict[int, None]]] = {s: {} for s in by_source}
+
+    def add(p: int, s: int, amount: int) -> None:
+        before = flow[p].get(s, 0)
+        flow[p][s] = before + amount
+        if (before > 0) == (before + amount > 0):
+            return
+        for t in patterns[p][0]:
+            if t != s:
+                if before == 0:
+                    arcs[s].setdefault(t, {})[p] = None
+                else:
+                    del arcs[s][t][p]
+                    if not arcs[s][t]:
+                        del arcs[s][t]
+
     for level in range(1, repeats + 1):
         room = [level * size - used[p] for p, (_, size) in enumerate(patterns)]
-        while True:
-            # All open edges of a level cost alike, so a cheapest path is a shortest one: pattern with room → source
-            # (→ pattern that serves it → other source)* → source in need.
-            came: dict[tuple[str, int], tuple[str, int] | None] = {("p", p): None for p in range(len(patterns)) if room[p] > 0}
+        # All open edges of a level cost alike, so a cheapest path is a shortest one. First those of one edge: pattern
+        # with room → source in need.
+        for p, (sources, _) in enumerate(patterns):
+            for s in sources:
+                if (amount := min(need[s], room[p])) > 0:
+                    add(p, s, amount)
+                    need[s], room[p], used[p] = need[s] - amount, room[p] - amount, used[p] + amount
+        # Then longer ones: pattern with room → source (→ pattern that serves it → other source)* → source in need.
+        roomy = {s: [p for p in of if room[p] > 0] for s, of in by_source.items()}
+        while any(need):
+            for of in roomy.values():
+                while of and room[of[-1]] == 0:
+                    of.pop()
+            came: dict[int, int | None] = {s: None for s, of in roomy.items() if of}
             queue, end = deque(came), None
             while queue and end is None:
-                kind, k = node = queue.popleft()
-                if kind == "p":
-                    for s in patterns[k][0]:
-                        if ("s", s) not in came:
-                            came["s", s] = node
-                            if need[s] > 0:
-                                end = ("s", s)
-                                break
-                            queue.append(("s", s))
-                else:
-                    for p in by_source[k]:
-                        if flow[p].get(k, 0) > 0 and ("p", p) not in came:
-                            came["p", p] = node
-                            queue.append(("p", p))
+                s = queue.popleft()
+                for t in arcs[s]:
+                    if t not in came:
+                        came[t] = s
+                        if need[t] > 0:
+                            end = t
+                            break
+                        queue.append(t)
             if end is None:
                 break
             path = [end]
             while (before := came[path[-1]]) is not None:
                 path.append(before)
             path.reverse()
-            amount = min(need[end[1]], room[path[0][1]], *(flow[path[i + 1][1]][path[i][1]] for i in range(1, len(path) - 1, 2)))
-            for i in range(0, len(path) - 1):
-                (kind, k), (_, j) = path[i], path[i + 1]
-                if kind == "p":
-                    flow[k][j] = flow[k].get(j, 0) + amount
-                else:
-                    flow[j][k] -= amount
-            need[end[1]] -= amount
-            room[path[0][1]] -= amount
-            used[path[0][1]] += amount
+            first, through = roomy[path[0]][-1], [next(iter(arcs[s][t])) for s, t in zip(path, path[1:])]
+            amount = min(need[end], room[first], *(flow[p][s] for p, s in zip(through, path)))
+            add(first, path[0], amount)
+            for p, s, t in zip(through, path, path[1:]):
+                add(p, s, -amount)
+                add(p, t, amount)
+            need[end], room[first], used[first] = need[end] - amount, room[first] - amount, used[first] + amount
     return flow
 
 
@@ -119,10 +139,7 @@ def plan(documents: DataFrame, sources: Column | None = None, weights: tuple[flo
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("-")), text_or_empty()))
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), n_words(text_or_empty()).alias("size"), F.transform(names, lambda s: s.cast("string")).alias("pattern"), order.alias("h"))
     rows = saved(rows.withColumn("part", F.substring("h", 1, 3)), "sizes")
-    grouped = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(grouped) > max_patterns:
-        rows = rows.withColumn("pattern", F.slice("pattern", 1, 1))
-        grouped = rows.groupBy("pattern").agg(F.sum("size").alias("size")).collect()
+    grouped = rows.groupBy("pattern").agg(F.sum("size").alias("size")).orderBy("pattern").collect()
     # Code points order as UTF-8 does; Python compares strings by code point. Nulls come last.
     known = sorted({s for r in grouped for s in r["pattern"]}, key=lambda s: (s is None, s or ""))
     number = {s: k for k, s in enumerate(known)}
@@ -143,7 +160,7 @@ def plan(documents: DataFrame, sources: Column | None = None, weights: tuple[flo
     quota = quota.withColumn("rest", F.col("flow") - F.col("base") * F.col("pattern_size"))
     parts = rows.groupBy("pattern", "part").agg(F.sum("size").alias("part_size"))
     w = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum("part_size").over(w), F.lit(0))).join(F.broadcast(quota), "pattern")
+    parts = parts.withColumn("before", F.coalesce(F.sum("part_size").over(w), F.lit(0))).join(broadcast_if(quota, len(quotas), max_patterns), "pattern")
     parts = parts.select("pattern", "part", "base", "before", "rest", "part_size")
     placed = rows.join(parts, ["pattern", "part"])
     inside = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("part_size") > F.col("rest"))

@@ -380,6 +380,24 @@ def test_mix_overlapping(spark):
         assert out.count() == 400 and abs(out.agg(F.sum("taken")).first()[0] - quota.agg(F.sum("flow")).first()[0]) <= 20 * 4
 
 
+def test_mix_keeps_all_memberships(spark):
+    rng = random.Random(2)
+    rows = [(k, prose(rng, 20), [["a"], ["b"], ["a", "b"], ["c", "a"]][k % 4]) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    (few, listed, _), (many, as_listed, _) = (mixing.plan(df, F.col("sources"), max_patterns=most) for most in (2, 100))
+    assert by_id(few, "doc_id", "pattern", "taken") == by_id(many, "doc_id", "pattern", "taken")
+    assert {r["source"] for r in listed.collect()} == {r["source"] for r in as_listed.collect()} == {"a", "b", "c"}
+
+
+def test_flow_over_many_patterns():
+    rng = random.Random(3)
+    patterns = [(tuple(s for s in range(13) if mask >> s & 1), rng.randrange(1, 50)) for mask in range(1, 2**13)]
+    demands = [rng.randrange(1, 20_000) for _ in range(13)]
+    flow = mixing.min_cost_flow(patterns, demands)
+    assert [sum(f.get(s, 0) for f in flow) for s in range(13)] == demands
+    assert all(set(f) <= set(of) and min(f.values(), default=0) >= 0 and sum(f.values()) <= size for f, (of, size) in zip(flow, patterns))
+
+
 # ---- 6 ---------------------------------------------------------------------------------------------------------------
 def test_substrings_keeps_words(spark):
     rng = random.Random(9)
