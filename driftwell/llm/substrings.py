@@ -1,10 +1,10 @@
-"""Removal of word windows that an earlier document has too, by level-wise doubling.
+"""Removal of word windows that an earlier document has too, by one doubling of the length.
 
-The lengths are ceil(length / 2) and length (more levels if asked for).  At the first one, windows stand for others by
-their anchors: of every window of full length, the smallest hash of the windows of first length within.  An anchor that
-is in no second document goes, with all windows that have it.  What is left is extended to twice the length and compared
-again, level by level, until the full length is reached or nothing survives.  Windows are judged by two 64-bit hashes'
-worth of agreement (anchor and window), each against the smallest doc_id that has it.
+There are two levels, of ceil(length / 2) and of length words.  At the first one, windows stand for others by their
+anchors: of every window of full length, the smallest hash of the windows of first length within.  An anchor that is in
+no second document goes, with all windows that have it.  What is left is extended to the full length and compared again.
+Windows are judged by two 64-bit hashes' worth of agreement (anchor and window), each against the smallest doc_id that
+has both.
 
 Equal texts are compared once, by their smallest doc_id; their other copies follow from that.
 
@@ -73,10 +73,10 @@ def last_level(length: int):
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc, doc_id, text_id, anchors, text → the hash and place of each window of full length with such an anchor."""
+        """doc, doc_id, text_id, anchors, text → the hash, anchor and place of each window of full length with such an anchor."""
         memo = WordHashes()
         for batch in batches:
-            docs, firsts, hashes, places = [], [], [], []
+            docs, firsts, hashes, kept, places = [], [], [], [], []
             for doc, first, key, some, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4)):
                 if text_id(text := text.as_py()) != key:
                     continue
@@ -84,13 +84,14 @@ def last_level(length: int):
                 least = sliding_min(windows(hashed, half), length - half + 1)
                 at = np.flatnonzero(np.isin(least, some.values.to_numpy().view(np.uint64)))
                 hashes.append(windows(hashed, length)[at].view(np.int64))
+                kept.append(least[at].view(np.int64))
                 places.append(at.astype(np.int32))
                 docs.append(np.full(len(at), doc))
                 firsts.append(np.full(len(at), first))
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, firsts, hashes, places)], ["doc", "first_id", "hash", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, firsts, hashes, kept, places)], ["doc", "first_id", "hash", "anchor", "place"])
 
-    return run, "doc bigint, first_id bigint, hash bigint, place int"
+    return run, "doc bigint, first_id bigint, hash bigint, anchor bigint, place int"
 
 
 def cut_words(length: int):
@@ -137,8 +138,8 @@ def repeated_windows(documents: DataFrame, length: int = LENGTH) -> tuple[DataFr
     alive = saved(alive.select(F.xxhash64("text_id").alias("doc"), F.col("first_id").alias("doc_id"), "text_id", "anchors"), "alive")
     run, schema = last_level(length)
     full = saved(fetch(documents, alive).select("doc", "doc_id", "text_id", "anchors", "text").mapInArrow(run, schema), "level2")
-    least = full.groupBy("hash").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b")).where("a < b").select("hash", "a")
-    later = full.join(least, "hash").where("a < first_id").groupBy("doc").agg(F.collect_set("place").alias("starts"))
+    least = full.groupBy("hash", "anchor").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b")).where("a < b").select("hash", "anchor", "a")
+    later = full.join(least, ["hash", "anchor"]).where("a < first_id").groupBy("doc").agg(F.collect_set("place").alias("starts"))
     starts = saved(later.join(alive, "doc").select("doc_id", "text_id", "starts"), "starts")
     return rows, starts
 

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL, duck, rows_of
 from pyspark.sql import functions as F
@@ -407,6 +408,16 @@ def test_substrings_keeps_words(spark):
     assert got[5]["kept"] == "a b" and got[9]["kept"] == "" and got[3]["kept"] is None and got[7]["n_removed"] == 0
 
 
+def test_windows_carry_their_anchors():
+    text = prose(random.Random(5), 80)
+    run, schema = substrings.last_level(50)
+    hashed = textwords.WordHashes().of(substrings.words_of(text))
+    want = substrings.sliding_min(substrings.windows(hashed, 25), 26).view(np.int64)
+    batch = pa.RecordBatch.from_pydict({"doc": [1], "doc_id": [2], "text_id": [substrings.text_id(text)], "anchors": [want.tolist()], "text": [text]})
+    got = next(run(iter([batch])))
+    assert got["anchor"].to_pylist() == want.tolist() and len(want) == 31 and "anchor bigint" in schema
+
+
 # ---- 7 ---------------------------------------------------------------------------------------------------------------
 def test_tokens_as_the_library(spark, edge):
     from tokenizers import Tokenizer
