@@ -7,7 +7,8 @@ ones so take no round, and a circle shows by rising longer than there are such c
 the tool's JSON schema, and each linked call is written as JSON with sorted keys, without spaces, in UTF-8.
 
 status, the first that applies: no_id, duplicate_call, unknown_tool, invalid_json, invalid_arguments, cycle,
-missing_dependency, missing_result, ok; for results: no_id, orphan_result, duplicate_result.  Nulls: a null conv_id is a
+missing_dependency, missing_result, ok; for results: no_id, orphan_result, duplicate_result; for the query's
+rows of no role or another one than user, system and assistant: other_role.  Nulls: a null conv_id is a
 conversation of its own, a null turn comes before all others, null text is null in JSON, null arguments are invalid_json.
 Repeated rows are duplicates; an empty table gives no rows; other columns are ignored.
 """
@@ -188,5 +189,15 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def others_of(conversations: DataFrame, like: DataFrame) -> DataFrame:
+    """A row, with the columns of like, for each message that is neither a call nor a result: its role as name, its text
+    as result."""
+    rows = conversations.where(~F.coalesce(F.col("role").isin("user", "system", "assistant"), F.lit(False)))
+    have = {"conv_id": F.col("conv_id"), "turn": F.col("turn"), "name": F.col("role"), "result": F.col("text"), "status": F.lit("other_role")}
+    return rows.select(*[have.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in like.dtypes])
+
+
 def op10_tool_calls(spark, sf_dir: str) -> DataFrame:
-    return link(*calls_of(table(spark, sf_dir, "conversations")), SCHEMAS)
+    conversations = table(spark, sf_dir, "conversations")
+    linked = link(*calls_of(conversations), SCHEMAS)
+    return linked.unionByName(others_of(conversations, linked))

@@ -571,3 +571,11 @@ def test_nothing_else_imports_llm():
         if "llm" not in path.parts:
             assert not re.search(r"driftwell\.llm|from \.+llm|import llm", path.read_text()), path
     assert duck(SMALL) is not None
+
+
+def test_messages_of_other_roles_have_rows(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "tool", "c"), (1, 3, None, "d"), (1, 3, None, "d"), (None, None, "tool", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = toolcalls.op10_tool_calls(spark, str(tmp_path)).collect()
+    other = sorted(((r["conv_id"], r["turn"], r["name"], r["result"]) for r in got if r["status"] == "other_role"), key=repr)
+    assert other == sorted(((c, t, role, text) for c, t, role, text in rows[2:]), key=repr) and len(got) == 5
