@@ -2,8 +2,8 @@
 
 Workers' interleaving is fixed: rounds in order, within a round workers in order, within a worker rows in order.  In the
 first round only worker 0 trains; its model then starts all others.  A block that isn't full at the end of the data is
-learned from locally and never merged.  The simulation is one streaming pass that holds one model a worker; Rounds does
-the same with a Spark job a round, workers in parallel, and only models (not rows) coming to the driver.
+learned from locally and never merged.  The simulation is one streaming pass, in one task, that holds one model a
+worker; workers in parallel are in streaming/online.py alone, by micro-batches.
 """
 
 from __future__ import annotations
