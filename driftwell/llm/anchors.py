@@ -49,6 +49,14 @@ def run_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each of the given spans of bytes, which also tells their lengths apart."""
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * power[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * ODD)
+
+
 def anchors(run: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For hashes of runs: each window's anchor (windows hold width runs), and the anchors at their places, in order."""
     least = sliding_min(run, width)

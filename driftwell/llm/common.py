@@ -33,7 +33,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables of saved() that nothing which is still to run reads."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -41,6 +51,23 @@ def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Rows of one key from which a join spreads it, and over how many parts.
+HOT_ROWS, SALTS = 100_000, 64
+
+
+def salted_join(left: DataFrame, keys: DataFrame, key: str, spread: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with keys, which has one row a key and n, how many rows of left have it.  Rows of a key with more than
+    hot_rows are dealt over SALTS parts by the hash of ``spread``; there are at most rows / hot_rows such keys."""
+    heavy = keys.where(F.col("n") > hot_rows).select(key, F.lit(True).alias("__hot"))
+    count = heavy.count()
+    if not count:
+        return left.join(keys.drop("n"), key, how)
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("n") > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = left.join(broadcast_if(heavy, count, 1_000_000), key, "left").withColumn("__salt", salt)
+    return left.join(keys.withColumn("__salt", F.explode(salts)).drop("n"), [key, "__salt"], how).drop("__salt", "__hot")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -1,19 +1,23 @@
-"""Removal of byte strings that start elsewhere too, by run-length indexes.
+"""Removal of strings that start elsewhere too, by run-length indexes, over bytes or over words.
 
 The corpus is parted so that equal strings of the wanted length meet: each string's anchor is the smallest hash of its
-64-byte runs, anchors seen once go, and the stretch of text whose strings share an anchor (a context) is sent to the
+shorter runs, anchors seen once go, and the stretch of text whose strings share an anchor (a context) is sent to the
 anchor's part.  Contexts are long only where texts repeat.  Each part then indexes its distinct contexts: their suffixes
 are ordered, the Burrows-Wheeler transform is kept as runs, and the length of agreement with the suffix next to it is
 computed at run ends alone.  Within a run those lengths follow from their neighbour in the text (one less for each
 step), so matching statistics are streamed from the samples through the text.  Places that agree with another suffix
 over the wanted length are marked.
 
-Equal texts are indexed once, equal contexts too.  A context that occurs twice is marked as a whole.  An anchor with more
-than ``hot`` distinct contexts would make one part too large; its strings are compared by two 64-bit hashes in an
-aggregation, which Spark combines before it shuffles.
+A unit says what a text's symbols are.  ``BYTES``: strings of 400 bytes, wherever else they start, the same text
+included.  ``WORDS``: passages of 50 words (runs other than white space, so that other spacing is no difference), which
+another document has too; words compare by 64-bit hashes.
 
-Cases: null and empty texts have no bytes; texts shorter than the length lose nothing; strings may overlap and may repeat
-within one text; doc_id serves as a name only (nulls and repeated ids are as good as others; equal rows are copies);
+Equal texts are indexed once, equal contexts too.  A context that occurs twice is marked as a whole.  An anchor whose
+distinct contexts have more than ``hot`` symbols together would make one part too large; its strings are compared by two
+64-bit hashes in an aggregation, which Spark combines before it shuffles.
+
+Cases: null and empty texts have no symbols; texts shorter than the length lose nothing; strings may overlap and may
+repeat within one text; doc_id serves as a name only (nulls and repeated ids are as good as others; equal rows are copies);
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,23 +25,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchors, run_hashes, sliding_min, spans, value_runs
-from .common import broadcast_if, lean, pieces, saved, table
-from .textwords import ODD, mix
+from .anchors import anchors, run_hashes, sliding_min, span_hashes, value_runs
+from .common import broadcast_if, forget, lean, pieces, salted_join, saved, table, text_or_empty
+from .textwords import ODD, mix, windows
 
-LENGTH = 400
-RUN = 64
 #: Starts of a context at most; a longer stretch is cut into several.
 CONTEXT_STARTS = 8192
-#: Bytes that are indexed at once, and distinct contexts of one anchor that are.
-BATCH_BYTES, HOT = 1 << 19, 1000
+#: Symbols that are indexed at once, and symbols of one anchor's distinct contexts that are.
+BATCH_SYMBOLS, HOT = 1 << 19, 1 << 19
 BROADCAST_IDS = 1_000_000
 
 
@@ -45,6 +48,53 @@ def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+@dataclass(frozen=True)
+class Unit:
+    """Texts as sequences of symbols.  length: symbols of a string; run: symbols of the runs that give its anchor;
+    across: only strings of another text count."""
+
+    kind: str
+    length: int
+    run: int
+    across: bool
+
+    def symbols(self, data: bytes) -> np.ndarray:
+        array = np.frombuffer(data, np.uint8)
+        return array if self.kind == "bytes" else span_hashes(array, *word_places(array))
+
+    def hashes(self, symbols: np.ndarray, size: int) -> np.ndarray:
+        return run_hashes(symbols, size) if self.kind == "bytes" else windows(symbols, size)
+
+    def anchors_of(self, symbols: np.ndarray) -> np.ndarray:
+        """The text's anchors; one that has several places is listed twice, where the same text counts."""
+        if len(symbols) < self.length:
+            return np.empty(0, np.int64)
+        values, counts = np.unique(anchors(self.hashes(symbols, self.run), self.length - self.run + 1)[1], return_counts=True)
+        return (values if self.across else np.concatenate([values, values[counts > 1]])).view(np.int64)
+
+    def unpack(self, context: bytes) -> np.ndarray:
+        return np.frombuffer(context, np.uint8 if self.kind == "bytes" else np.uint64)
+
+    @property
+    def width(self) -> int:
+        return 1 if self.kind == "bytes" else 8
+
+    def bounds(self, data: np.ndarray) -> np.ndarray:
+        """Where each symbol's bytes begin, and the end; a word's bytes reach to the next word."""
+        return np.arange(len(data) + 1) if self.kind == "bytes" else np.append(word_places(data)[0], len(data))
+
+
+BYTES, WORDS = Unit("bytes", 400, 64, False), Unit("words", 50, 8, True)
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of bytes other than space and 9 to 13."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    edge = np.diff(inside)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Order of the suffixes of non-negative symbols, by prefix doubling; settled suffixes aren't sorted again."""
     n = len(symbols)
@@ -54,7 +104,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     padded = np.concatenate([symbols + 1, np.zeros(width, symbols.dtype)]).astype(np.int64)
     for k in range(width):
         key = key * base + padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     start = np.maximum.accumulate(np.where(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]), np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
@@ -65,7 +115,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     while len(open_):
         first = rank[open_]
         second = rank[np.minimum(open_ + width, n)] + 1
-        sort = np.argsort(first * (n + 1) + second, kind="stable")
+        sort = np.argsort(first * (n + 1) + second)
         open_, first, second = open_[sort], first[sort], second[sort]
         at = np.arange(len(open_))
         new_first = np.concatenate([[True], first[1:] != first[:-1]])
@@ -102,97 +152,126 @@ def agreement(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return length
 
 
-def matching_statistics(symbols: np.ndarray) -> tuple[np.ndarray, int]:
-    """For each place, how long its suffix agrees with any other; also the number of runs of the transform."""
+def matching_statistics(symbols: np.ndarray, owner: np.ndarray | None = None, length: int = 1) -> tuple[np.ndarray, int]:
+    """For each place, how long its suffix agrees with any other; also the number of runs of the transform.
+    With ``owner`` (one row, or two: least and greatest owner, per place) a place counts only if a suffix of another
+    owner agrees over ``length`` at least; others get 0."""
     n = len(symbols)
     order = suffix_array(symbols)
     before = symbols[order - 1]  # the transform
-    head = np.concatenate([[True], before[1:] != before[:-1]])
-    heads = np.flatnonzero(head)
+    heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
     lengths = np.zeros(len(heads), np.int64)
     lengths[1:] = agreement(symbols, order[heads[1:] - 1], order[heads[1:]])
-    # Samples by place: with the suffix before (at heads of runs), with the one after (at ends of runs).
-    best = np.zeros(n, np.int64)
-    for places, values in ((order[heads], lengths), (order[np.concatenate([heads[1:] - 1, [n - 1]])], np.concatenate([lengths[1:], [0]]))):
+
+    def streamed(places: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Lengths at all places from those at sampled ones: each step through the text takes one off."""
         sample = np.full(n, -1, np.int64)
         sample[places] = values + places
-        index = np.maximum.accumulate(np.where(sample >= 0, np.arange(n), 0))
-        best = np.maximum(best, sample[index] - np.arange(n))
+        return sample[np.maximum.accumulate(np.where(sample >= 0, np.arange(n), 0))] - np.arange(n)
+
+    # Agreement with the suffix before (sampled at heads of runs) and with the one after (at ends of runs).
+    previous = streamed(order[heads], lengths)
+    best = np.maximum(previous, streamed(order[np.concatenate([heads[1:] - 1, [n - 1]])], np.concatenate([lengths[1:], [0]])))
+    if owner is not None:
+        # Suffixes that agree over the length stand together; such a group counts if it has several owners.
+        group = np.cumsum(previous[order] < length) - 1
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least, most = np.minimum.reduceat(owner[0][order], first), np.maximum.reduceat(owner[-1][order], first)
+        several = np.zeros(n, bool)
+        several[order] = (least != most)[group]
+        best = np.where(several, best, 0)
     return best, len(heads)
 
 
-def joined(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def joined(contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Contexts as one row of symbols, each ended by a symbol of its own; and where each begins."""
     sizes = np.array([len(c) + 1 for c in contexts])
     starts = np.concatenate([[0], np.cumsum(sizes)])
+    every = np.concatenate(contexts)
+    dense = every.astype(np.int64) if every.dtype == np.uint8 else np.unique(every, return_inverse=True)[1]
     symbols = np.empty(starts[-1], np.int64)
-    symbols[np.delete(np.arange(starts[-1]), starts[1:] - 1)] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + len(contexts)
+    symbols[np.delete(np.arange(starts[-1]), starts[1:] - 1)] = dense + len(contexts)
     symbols[starts[1:] - 1] = np.arange(len(contexts))
     return symbols, starts[:-1]
 
 
-def text_id(data: bytes) -> bytes:
-    return xxhash.xxh128_digest(data)
+def text_id(name: str = "text") -> Column:
+    """A text's name: its SHA-256, as scan() has it too."""
+    return F.unhex(F.sha2(text_or_empty(name), 256))
 
 
-def scan(length: int):
+def scan(units: list[Unit]):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, text → doc_id, text_id, n_bytes, whole, anchors (one that has several places is listed twice)."""
+        """doc_id, text → doc_id, text_id, n_bytes, and for each unit how many symbols and the anchors."""
         for batch in batches:
-            ids, sizes, whole, found = [], [], [], []
+            ids, sizes, counts, found = [], [], [[] for _ in units], [[] for _ in units]
             for text in batch.column(1):
                 data = encoded(text.as_py())
-                ids.append(text_id(data))
+                ids.append(hashlib.sha256(data).digest())
                 sizes.append(len(data))
-                whole.append(hashlib.sha256(data).hexdigest())
-                some = []
-                if len(data) >= length:
-                    values, counts = np.unique(anchors(run_hashes(np.frombuffer(data, np.uint8), RUN), length - RUN + 1)[1], return_counts=True)
-                    some = np.concatenate([values, values[counts > 1]]).view(np.int64)
-                found.append(some)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(whole), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_id", "n_bytes", "whole", "anchors"])
+                for k, unit in enumerate(units):
+                    symbols = unit.symbols(data)
+                    counts[k].append(len(symbols))
+                    found[k].append(unit.anchors_of(symbols))
+            columns = [batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64())]
+            names = ["doc_id", "text_id", "n_bytes"]
+            for k in range(len(units)):
+                columns += [pa.array(counts[k], pa.int64()), pa.array(found[k], pa.list_(pa.int64()))]
+                names += [f"n{k}", f"anchors{k}"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return run, "doc_id bigint, text_id binary, n_bytes bigint, whole string, anchors array<bigint>"
+    return run, "doc_id bigint, text_id binary, n_bytes bigint" + "".join(f", n{k} bigint, anchors{k} array<bigint>" for k in range(len(units)))
 
 
-def cut_contexts(length: int):
+def cut_contexts(unit: Unit):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """text_id, anchors, text → text_id, at, anchor, same (hash of the context), context."""
+        """text_id, anchors, text → text_id, at, anchor, same (hash of the context), size (symbols), context."""
         for batch in pieces(batches):
-            keys, places, values, same, contexts = [], [], [], [], []
+            keys, places, values, same, sizes, contexts = [], [], [], [], [], []
             for key, some, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = encoded(text.as_py())
-                if text_id(data) != key:
-                    continue
-                least = sliding_min(run_hashes(np.frombuffer(data, np.uint8), RUN), length - RUN + 1)
+                symbols = unit.symbols(data)
+                least = sliding_min(unit.hashes(symbols, unit.run), unit.length - unit.run + 1)
                 wanted = np.isin(least, some.values.to_numpy().view(np.uint64))
+                packed = data if unit.kind == "bytes" else symbols.tobytes()
                 for a, b in zip(*value_runs(least)):
                     for at in range(int(a), int(b), CONTEXT_STARTS) if wanted[a] else ():
-                        context = data[at : min(int(b), at + CONTEXT_STARTS) + length - 1]
+                        to = min(int(b), at + CONTEXT_STARTS) + unit.length - 1
+                        context = packed[at * unit.width : to * unit.width]
                         keys.append(key)
                         places.append(at)
                         values.append(int(least[a]) - (1 << 64 if least[a] >> np.uint64(63) else 0))
                         same.append(xxhash.xxh128_digest(context))
+                        sizes.append(to - at)
                         contexts.append(context)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(values, pa.int64()), pa.array(same, pa.binary()), pa.array(contexts, pa.binary())], ["text_id", "at", "anchor", "same", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(values, pa.int64()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(contexts, pa.binary())], ["text_id", "at", "anchor", "same", "size", "context"])
 
-    return run, "text_id binary, at int, anchor bigint, same binary, context binary"
+    return run, "text_id binary, at int, anchor bigint, same binary, size bigint, context binary"
 
 
-def mark(length: int):
+def mark(unit: Unit):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """anchor, same, context, times, in order of anchor → same, lo, hi: runs of starts that match elsewhere."""
-        held, size, last = [], 0, None
+        """anchor, same, context, twice, owner (a text that has it), in order of anchor → same, lo, hi: runs of starts that match."""
+        held: list[tuple] = []
+        size, last = 0, None
 
         def flush() -> pa.RecordBatch:
             keys, low, high = [], [], []
-            symbols, starts = joined([c for _, c in held])
-            best, _ = matching_statistics(symbols)
-            for (key, context), at in zip(held, starts):
-                hit = best[at : at + len(context) - length + 1] >= length
+            symbols, starts = joined([c for _, c, *_ in held])
+            owners = None
+            if unit.across:
+                number: dict[bytes, int] = {}
+                least = np.array([number.setdefault(owner, len(number)) for *_, owner in held])
+                # A context of several texts has another owner than any other by itself.
+                most = np.where([twice for *_, twice, _ in held], len(held) + np.arange(len(held)), least)
+                sizes = np.diff(np.append(starts, len(symbols)))
+                owners = np.repeat(np.stack([least, most]), sizes, axis=1)
+            best, _ = matching_statistics(symbols, owners, unit.length)
+            for (key, context, *_), at in zip(held, starts):
+                hit = best[at : at + len(context) - unit.length + 1] >= unit.length
                 if hit.any():
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                     keys.append(key)
@@ -200,25 +279,27 @@ def mark(length: int):
                     high.append(edge[1::2].astype(np.int32))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], ["same", "lo", "hi"])
 
-        group: list[tuple[bytes, bytes, int]] = []
+        group: list[tuple] = []
 
         def close() -> None:
-            """A group of one context that occurs twice is marked as a whole anyway."""
+            """A group of one context that occurs twice is marked as a whole anyway; one of one text's contexts, where
+            only other texts count, has nothing to mark."""
             nonlocal size
-            if len(group) > 1 or group and group[0][2] == 1:
-                held.extend(x[:2] for x in group)
+            alone = unit.across and not any(x[2] for x in group) and len({x[3] for x in group}) == 1
+            if len(group) > 1 and not alone or len(group) == 1 and not unit.across and not group[0][2]:
+                held.extend(group)
                 size += sum(len(x[1]) + 1 for x in group)
             group.clear()
 
         for batch in pieces(batches):
-            for anchor, key, context, times in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for anchor, key, context, twice, owner in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if anchor != last:
                     close()
-                    if size >= BATCH_BYTES:
+                    if size >= BATCH_SYMBOLS:
                         yield flush()
                         held, size = [], 0
                 last = anchor
-                group.append((key, context, times))
+                group.append((key, unit.unpack(context), twice, owner))
         close()
         if held:
             yield flush()
@@ -226,81 +307,103 @@ def mark(length: int):
     return run, "same binary, lo array<int>, hi array<int>"
 
 
-def explode_strings(length: int):
+def explode_strings(unit: Unit):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """same, context → same, place, and two hashes of each string in it."""
+        """same, twice, owner, context → same, twice, owner, place, and two hashes of each string in it."""
         for batch in batches:
-            for key, context in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer(context, np.uint8)
-                h, g = run_hashes(data, length), run_hashes(data[::-1], length)[::-1]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.binary()), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(np.ascontiguousarray(g).view(np.int64))], ["same", "place", "h", "g"])
+            for key, twice, owner, context in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                data = unit.unpack(context)
+                h, g = unit.hashes(data, unit.length), unit.hashes(data[::-1], unit.length)[::-1]
+                n = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.binary()), pa.array([twice] * n), pa.array([owner] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(np.ascontiguousarray(g).view(np.int64))], ["same", "twice", "owner", "place", "h", "g"])
 
-    return run, "same binary, place int, h bigint, g bigint"
+    return run, "same binary, twice boolean, owner binary, place int, h bigint, g bigint"
 
 
 def fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the wanted rows (doc_id, text_id and more); doc_id may be null."""
-    ids = saved(wanted.select("doc_id").distinct(), "ids")
-    some = broadcast_if(ids.withColumnRenamed("doc_id", "id"), ids.count(), BROADCAST_IDS)
+    """Texts of the wanted rows (doc_id, text_id and more). Only texts of wanted ids are shuffled, if there are few enough."""
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    some = broadcast_if(ids, ids.count(), BROADCAST_IDS)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("id2"), "text").join(some, F.col("id2").eqNullSafe(F.col("id")), "left_semi")
-    return texts.join(wanted, F.col("id2").eqNullSafe(F.col("doc_id")))
-
-
-def repeated_starts(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """documents: doc_id, text.  (rows, marks): rows has doc_id, text_id, n_bytes, whole, copies for every row; marks has
-    doc_id, text_id, runs (array<struct<lo, hi>> of starts, hi exclusive) for one row of each text that has any."""
-    run, schema = scan(length)
-    level = saved(documents.select("doc_id", "text").mapInArrow(run, schema), "scan")
-    texts = level.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
-    rows = level.select("doc_id", "text_id", "n_bytes", "whole").join(texts.select("text_id", "copies"), "text_id")
-    first = level.where(f"n_bytes >= {length}").select("doc_id", "text_id", "anchors").join(texts, "text_id").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    first = saved(first.select("text_id", "doc_id", "copies", "anchors").dropDuplicates(["text_id"]), "first")
-    each = first.select("text_id", "doc_id", "copies", F.explode("anchors").alias("anchor"))
-    again = each.groupBy("anchor").agg(F.sum(F.least("copies", F.lit(2))).alias("n")).where("n > 1").select("anchor")
-    alive = saved(each.join(again, "anchor").groupBy("text_id", "doc_id").agg(F.collect_set("anchor").alias("anchors")), "alive")
-    run, schema = cut_contexts(length)
+    return texts.select(text_id().alias("text_id"), "text").join(wanted, "text_id")
+
+
+def scanned(documents: DataFrame, units: list[Unit]) -> tuple[DataFrame, DataFrame]:
+    """documents: doc_id, text.  (rows, texts), both saved: rows has doc_id, text_id, n_bytes and n0, n1... (symbols by
+    unit) for every row; texts has text_id, doc_id (the least), copies and anchors0, anchors1... for every text."""
+    run, schema = scan(units)
+    rows = saved(documents.select("doc_id", "text").mapInArrow(run, schema), "scan")
+    lists = [F.first(f"anchors{k}").alias(f"anchors{k}") for k in range(len(units))]
+    return rows, saved(rows.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *lists), "texts")
+
+
+def marked(documents: DataFrame, texts: DataFrame, k: int, unit: Unit, hot: int = HOT) -> DataFrame:
+    """doc_id, text_id, runs (array<struct<lo, hi>> of starts of strings that start elsewhere too, hi exclusive) for each
+    text of one row alone that has any.  texts: of scanned(), whose unit number k this is."""
+    each = texts.select("text_id", "doc_id", F.explode(f"anchors{k}").alias("anchor"))
+    again = saved(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    alive = saved(salted_join(each, again, "anchor", "text_id").groupBy("text_id", "doc_id").agg(F.collect_set("anchor").alias("anchors")), "alive")
+    run, schema = cut_contexts(unit)
     contexts = saved(fetch(documents, alive).select("text_id", "anchors", "text").mapInArrow(run, schema), "contexts")
     # Different contexts with how often each occurs, and the anchors that have very many of them.
-    one = saved(contexts.groupBy("anchor", "same").agg(F.first("context").alias("context"), F.count(F.lit(1)).alias("times")), "one")
-    times = one.select("anchor", "same", "times")
-    many = saved(times.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > hot).select("anchor"), "hot")
+    twice = F.min("text_id") != F.max("text_id") if unit.across else F.count(F.lit(1)) > 1
+    one = contexts.groupBy("anchor", "same").agg(F.first("context").alias("context"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"), twice.alias("twice"), F.min("text_id").alias("owner"))
+    one = saved(one, "one")
+    many = saved(one.groupBy("anchor").agg(F.sum("size").alias("size")).where(F.col("size") > hot).select("anchor"), "hot")
     few = broadcast_if(many, many.count(), BROADCAST_IDS)
-    cold = one.join(few, "anchor", "left_anti").select("anchor", "same", "context", "times")
-    run, schema = mark(length)
-    marks = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
-    run, schema = explode_strings(length)
-    strings = one.join(few, "anchor", "left_semi").select("same", "context").mapInArrow(run, schema)
-    twice = strings.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
-    warm = strings.join(twice, ["h", "g"]).groupBy("same").agg(F.array_sort(F.collect_list("place")).alias("lo")).select("same", "lo", F.transform("lo", lambda x: x + 1).alias("hi"))
-    found = marks if many.isEmpty() else marks.unionByName(warm)
-    placed = contexts.select("text_id", "anchor", "same", "at", (F.length("context") - (length - 1)).alias("starts")).join(times, ["anchor", "same"]).join(saved(found, "marks"), "same", "left")
-    runs = F.when(F.col("times") > 1, F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("starts")).alias("hi")))).otherwise(F.arrays_zip(F.transform("lo", lambda x: x + F.col("at")).alias("lo"), F.transform("hi", lambda x: x + F.col("at")).alias("hi")))
-    runs = placed.where("times > 1 or lo is not null").select("text_id", runs.alias("runs")).groupBy("text_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return rows, saved(runs.join(first.select("text_id", "doc_id"), "text_id"), "runs")
-
-
-def cut_bytes(length: int):
+    cold = one.join(few, "anchor", "left_anti").select("anchor", "same", "context", "twice", "owner")
+    run, schema = mark(unit)
+    found, used = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema), [again, alive, contexts, one, many]
+    if not many.isEmpty():
+        run, schema = explode_strings(unit)
+        strings = one.join(few, "anchor", "left_semi").select("same", "twice", "owner", "context").mapInArrow(run, schema)
+        several = F.max("twice") | (F.min("owner") != F.max("owner")) if unit.across else F.count(F.lit(1)) > 1
+        shared = saved(strings.groupBy(F.struct("h", "g").alias("hg")).agg(F.count(F.lit(1)).alias("n"), several.alias("several")).where("several").drop("several"), "strings")
+        warm = salted_join(strings.withColumn("hg", F.struct("h", "g")), shared, "hg", "same").groupBy("same").agg(F.array_sort(F.collect_set("place")).alias("lo"))
+        found = found.unionByName(warm.select("same", "lo", F.transform("lo", lambda x: x + 1).alias("hi")))
+        used.append(shared)
+    found = saved(found, "marks")
+    placed = contexts.select("text_id", F.struct("anchor", "same").alias("key"), "same", "at", (F.col("size") - (unit.length - 1)).cast("int").alias("starts"))
+    placed = salted_join(placed, one.select(F.struct("anchor", "same").alias("key"), "n", "twice"), "key", "text_id").join(found, "same", "left")
+    runs = F.when(F.col("twice"), F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("starts")).alias("hi")))).otherwise(F.arrays_zip(F.transform("lo", lambda x: x + F.col("at")).alias("lo"), F.transform("hi", lambda x: x + F.col("at")).alias("hi")))
+    runs = placed.where("twice or lo is not null").select("text_id", runs.alias("runs")).groupBy("text_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    out = saved(runs.join(texts.where("copies = 1").select("text_id", "doc_id"), "text_id"), "runs")
+    forget(found, *used)
+    return out
+
+
+def covered(runs: str, length: int):
+    """How many symbols the strings of given starts cover together."""
+    spans = F.array_sort(F.transform(runs, lambda r: F.struct(r["lo"].alias("s"), (r["hi"] + F.lit(length - 1)).alias("e"))))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+    return F.aggregate(spans, zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["e"] - F.greatest(s["s"], a["to"]))).alias("n"), F.greatest(a["to"], s["e"]).alias("to")))["n"].cast("bigint")
+
+
+def cut_strings(unit: Unit):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """text_id, runs, text → text_id, n_removed, n_spans, kept_sha256, kept (whole characters only)."""
+        """text_id, runs, text → text_id, n_removed (symbols), n_spans, kept_sha256, kept (whole characters only)."""
         for batch in pieces(batches):
             out = []
             for key, runs, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = encoded(text.as_py())
-                if text_id(data) != key:
-                    continue
+                array = np.frombuffer(data, np.uint8)
+                bounds = unit.bounds(array)
                 lo, hi = (runs.values.field(k).to_numpy() for k in (0, 1))
-                gone = np.zeros(len(data) + 1, np.int64)
+                gone = np.zeros(len(bounds), np.int64)
                 np.add.at(gone, lo, 1)
-                np.add.at(gone, hi + length - 1, -1)
+                np.add.at(gone, hi + unit.length - 1, -1)
                 gone = np.cumsum(gone)[:-1] > 0
-                array = np.frombuffer(data, np.uint8)
-                kept = array[~gone].tobytes()
+                cut = gone
+                if unit.kind != "bytes":
+                    cut = np.zeros(len(array), bool)
+                    cut[bounds[0] :] = np.repeat(gone, np.diff(bounds))
+                kept = array[~cut].tobytes()
                 # A character goes if any of its bytes does.
                 char = np.cumsum((array & 0xC0) != 0x80) - 1
                 hit = np.zeros(char[-1] + 1, bool)
-                hit[char[gone]] = True
+                hit[char[cut]] = True
                 text = array[~hit[char]].tobytes().decode("utf-8", "surrogatepass")
                 out.append((key, int(gone.sum()), int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1)), hashlib.sha256(kept).hexdigest(), text))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["text_id", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -308,54 +411,51 @@ def cut_bytes(length: int):
     return run, "text_id binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 
 
-def remove_matches(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """For every row doc_id, text_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null: the text is unchanged)."""
-    rows, marks = repeated_starts(documents, length, hot)
-    run, schema = cut_bytes(length)
-    cut = saved(fetch(documents, marks).select("text_id", "runs", "text").mapInArrow(run, schema).dropDuplicates(["text_id"]), "cut")
-    all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    nothing = hashlib.sha256(b"").hexdigest()
-    done = rows.join(cut, "text_id", "left")
-    return done.select(
-        "doc_id", "text_id", "n_bytes",
-        F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(all_gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(all_gone, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
-        F.when(all_gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
-    )
-
-
-def cut_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All rows with all columns; text (and n_chars, where there is one) without the characters that matches cover."""
-    cuts = remove_matches(documents, length)
-    cuts = saved(cuts.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__key"), F.col("kept").alias("__kept")), "cuts")
-    ids = saved(cuts.where("__kept is not null").select("__id").distinct(), "ids")
+def remove_matches(documents: DataFrame, unit: Unit = BYTES, hot: int = HOT, also: Unit | None = None) -> DataFrame:
+    """For every row doc_id, text_id, copies (rows with this text), n_bytes, n_removed (symbols), n_spans, kept_sha256,
+    kept (null: the text is unchanged).  also: a second unit, which only counts: n_also, the symbols its strings cover."""
+    units = [unit, also] if also else [unit]
+    rows, texts = scanned(documents, units)
+    marks = marked(documents, texts, 0, unit, hot)
+    run, schema = cut_strings(unit)
+    cut = saved(fetch(documents, marks).select("text_id", "runs", "text").mapInArrow(run, schema), "cut")
+    counts = marked(documents, texts, 1, also, hot).select("text_id", covered("runs", also.length).alias("n_also")) if also else None
+    named = saved(salted_join(rows.drop("anchors0", "anchors1"), texts.select("text_id", F.col("copies").alias("n"), "copies"), "text_id", "doc_id"), "rows")
+    forget(rows, texts, marks)
+    # Texts of several rows go as a whole if they are long enough, so only the others meet what was found in them.
+    single, several = named.where("copies = 1").join(cut, "text_id", "left"), named.where("copies > 1")
+    whole, gone = F.lower(F.hex("text_id")), F.col("n0") >= unit.length
+    common = ["doc_id", "text_id", "copies", "n_bytes"]
+    left = [F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", whole).alias("kept_sha256"), F.col("kept")]
+    none = [F.when(gone, F.col("n0")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("bigint").alias("n_spans"), F.when(gone, hashlib.sha256(b"").hexdigest()).otherwise(whole).alias("kept_sha256"), F.when(gone, "").alias("kept")]
+    if also:
+        single = single.join(counts, "text_id", "left")
+        left.append(F.coalesce("n_also", F.lit(0)).alias("n_also"))
+        none.append(F.when(F.col("n1") >= also.length, F.col("n1")).otherwise(0).alias("n_also"))
+    return single.select(*common, *left).unionByName(several.select(*common, *none))
+
+
+def cut_documents(documents: DataFrame, unit: Unit = WORDS) -> DataFrame:
+    """All rows with all columns; text (and n_chars, where there is one) without the characters that matches cover.
+    A word goes with the white space after it."""
+    cuts = saved(remove_matches(documents, unit).where("kept is not null").select("doc_id", "text_id", "copies", "kept"), "cuts")
+    ids = cuts.select(F.col("doc_id").alias("id")).distinct()
     some = broadcast_if(ids, ids.count(), BROADCAST_IDS)
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    rest = documents.join(some, same, "left_anti")
-    # Of an id with several texts, the untouched ones are in cuts too, with nothing to keep instead.
-    new = cuts.join(ids.withColumnRenamed("__id", "__x"), F.col("__id").eqNullSafe(F.col("__x")), "left_semi").distinct()
-    names, schema = documents.columns, documents.schema
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-        for batch in pieces(batches):
-            texts, keys, kept = (batch.column(k).to_pylist() for k in (at, len(names) + 1, len(names) + 2))
-            fit = pa.array([text_id(encoded(t)) == k for t, k in zip(texts, keys)], pa.bool_())
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array([t if k is None else k for t, k in zip(texts, kept)], columns[at].type)
-            if chars is not None:
-                old = columns[chars].to_pylist()
-                columns[chars] = pa.array([n if k is None else len(k) for n, k in zip(old, kept)], columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(fit)
-
-    touched = documents.join(some, same, "left_semi").join(new, same).mapInArrow(run, schema)
-    return rest.unionByName(touched)
+    # Rows as structs, so that no column of theirs clashes with one of these.
+    packed, same = documents.select(F.struct("*").alias("row")), F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("id"))
+    # Of an id with several texts some may be unchanged, so texts decide.
+    new = cuts.groupBy("text_id").agg(F.first("copies").alias("n"), F.first("kept").alias("kept"))
+    touched = salted_join(packed.join(some, same, "left_semi").withColumn("text_id", text_id("row.text")), new, "text_id", "row.doc_id", "left")
+    columns = {"text": F.coalesce("kept", "row.text"), "n_chars": F.when(F.col("kept").isNull(), F.col("row.n_chars") if "n_chars" in documents.columns else None).otherwise(F.length("kept"))}
+    touched = touched.select(*((columns[f.name] if f.name in columns else F.col("row")[f.name]).cast(f.dataType).alias(f.name) for f in documents.schema))
+    return packed.join(some, same, "left_anti").select("row.*").unionByName(touched)
 
 
 def op9_run_index(spark, sf_dir: str) -> DataFrame:
-    return remove_matches(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The contract's columns, by bytes; and n_shared_words: words in passages of 50 words that another document has too,
+    however they are spaced."""
+    out = remove_matches(table(spark, sf_dir, "documents"), also=WORDS)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("n_also").alias("n_shared_words"))
 
 
 OP9_SQL = r"""
@@ -368,7 +468,10 @@ span AS (SELECT r, k, min(i) AS a, max(i) + 399 AS z FROM isl GROUP BY r, k),
 gap AS (SELECT r, k, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS pz FROM span),
 tot AS (SELECT r, CAST(sum(z - a + 1) AS BIGINT) AS n, count(*) AS s, max(z) AS lz FROM gap GROUP BY r),
 part AS (SELECT r, k, hex(array_slice(b, pz + 1, a - 1)) AS t FROM gap JOIN d USING (r) WHERE a > pz + 1 UNION ALL SELECT r, 1000000000, hex(array_slice(b, lz + 1, octet_length(b))) FROM tot JOIN d USING (r) WHERE lz < octet_length(b)),
-kept AS (SELECT r, string_agg(t, '' ORDER BY k) AS t FROM part GROUP BY r)
-SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(s, 0) AS n_spans, CASE WHEN n IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(t, ''))) END AS kept_sha256
-FROM d LEFT JOIN tot USING (r) LEFT JOIN kept USING (r)
+kept AS (SELECT r, string_agg(t, '' ORDER BY k) AS t FROM part GROUP BY r),
+ww AS (SELECT r, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 48)) AS i FROM (SELECT row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents) WHERE len(w) >= 50)),
+wh AS (SELECT r, i FROM ww WHERE h IN (SELECT h FROM ww GROUP BY h HAVING min(r) < max(r))),
+wn AS (SELECT r, count(DISTINCT p) AS shared FROM (SELECT r, unnest(range(i, i + 50)) AS p FROM wh) GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(s, 0) AS n_spans, CASE WHEN n IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(t, ''))) END AS kept_sha256, coalesce(shared, 0) AS n_shared_words
+FROM d LEFT JOIN tot USING (r) LEFT JOIN kept USING (r) LEFT JOIN wn USING (r)
 """

@@ -464,7 +464,7 @@ def test_suffix_array_and_statistics():
         contexts = [bytes(rng.choice(b"ab" if trial % 2 else b"abcd") for _ in range(rng.randint(1, 50))) for _ in range(rng.randint(1, 5))]
         if trial % 3 == 0:
             contexts = [c * 3 for c in contexts] + contexts
-        symbols, _ = runindex.joined(contexts)
+        symbols, starts = runindex.joined([np.frombuffer(c, np.uint8) for c in contexts])
         s = symbols.tolist()
         assert runindex.suffix_array(symbols).tolist() == sorted(range(len(s)), key=lambda k: s[k:])
 
@@ -477,27 +477,23 @@ def test_suffix_array_and_statistics():
         best, runs = runindex.matching_statistics(symbols)
         assert best.tolist() == [max([agree(i, j) for j in range(len(s)) if j != i], default=0) for i in range(len(s))]
         assert runs <= len(s)
+        # With owners: only what another owner has over the length counts.
+        of = [rng.randrange(3) for _ in contexts]
+        owner = np.repeat([of], np.diff(np.append(starts, len(s))), axis=1)
+        length = rng.randint(1, 6)
+        best, _ = runindex.matching_statistics(symbols, owner, length)
+        own = owner[0].tolist()
+        assert (best >= length).tolist() == [any(agree(i, j) >= length and own[i] != own[j] for j in range(len(s)) if j != i) for i in range(len(s))]
 
 
-@pytest.mark.parametrize("hot", [1, 3, 1000])
+@pytest.mark.parametrize("hot", [1, 200, 1 << 19])
 def test_matches_by_brute_force(spark, hot):
     rng = random.Random(7)
     shared = "".join(rng.choices("abé", k=40))
     rows = [(k, "".join(rng.choices("abé", k=rng.randrange(10))) + shared[rng.randrange(9) : 30 + rng.randrange(10)] + "".join(rng.choices("abcé", k=25))) for k in range(25)]
     rows += [(50, "ab" * 40), (51, "abcd" * 3), (None, shared), (52, None)]
     length = 20
-
-    class Small:
-        pass
-
-    import driftwell.llm.runindex as R
-
-    old = R.RUN
-    R.RUN = 6
-    try:
-        got = runindex.remove_matches(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), length, hot).collect()
-    finally:
-        R.RUN = old
+    got = runindex.remove_matches(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), runindex.Unit("bytes", length, 6, False), hot).collect()
     data = [(i, (t or "").encode()) for i, t in rows]
     counts = Counter(b[k : k + length] for _, b in data for k in range(len(b) - length + 1))
     want = []
@@ -511,6 +507,47 @@ def test_matches_by_brute_force(spark, hot):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def shared_words(rows, length):
+    """Brute force: words kept and how many are covered, by windows that another row has too."""
+    words = [(t or "").replace("\t", " ").replace("\n", " ").split(" ") for _, t in rows]
+    words = [[w for w in x if w] for x in words]
+    where = {}
+    for r, x in enumerate(words):
+        for k in range(len(x) - length + 1):
+            where.setdefault(tuple(x[k : k + length]), set()).add(r)
+    out = []
+    for r, x in enumerate(words):
+        gone = [False] * len(x)
+        for k in range(len(x) - length + 1):
+            if len(where[tuple(x[k : k + length])]) > 1:
+                gone[k : k + length] = [True] * length
+        out.append((rows[r][0], sum(gone), [w for w, g in zip(x, gone) if not g]))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 60, 1 << 19])
+def test_shared_passages_by_brute_force(spark, hot, monkeypatch):
+    """Passages of words, spaced otherwise in each text; what only one text repeats stays."""
+    monkeypatch.setattr("driftwell.llm.common.HOT_ROWS", 5)
+    rng = random.Random(9)
+    gap = lambda words: "".join(w + rng.choice([" ", "  ", "\n", " \t"]) for w in words)
+    shared = [rng.choice("abcé") for _ in range(60)]
+    rows = [(k, gap(rng.choices("abcdé", k=rng.randrange(8))) + gap(shared[rng.randrange(30) :][: rng.randrange(5, 40)]) + gap(rng.choices("abcd", k=20))) for k in range(40)]
+    rows += [(50, "x y z " * 20), (51, "ü"), (None, gap(shared)), (52, None), (53, ""), (54, " \n"), (55, "same text of seven words and more"), (56, "same text of seven words and more"), (57, "a b"), (58, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    unit = runindex.Unit("words", 6, 2, True)
+    want = shared_words(rows, 6)
+    got = runindex.remove_matches(df, unit, hot).collect()
+    assert sorted(((r["doc_id"], r["n_removed"]) for r in got), key=repr) == sorted(((i, n) for i, n, _ in want), key=repr)
+    assert sum(n for *_, n in ((0, n) for _, n, _ in want)) > 100 and ("x y z " * 20) in [t for _, t in rows if t]
+    also = runindex.remove_matches(df, runindex.Unit("bytes", 20, 6, False), hot, also=unit).collect()
+    assert sorted(((r["doc_id"], r["n_also"]) for r in also), key=repr) == sorted(((i, n) for i, n, _ in want), key=repr)
+    cut = {r["doc_id"]: r["text"] for r in runindex.cut_documents(df, unit).collect()}
+    assert len(cut) == len(rows)
+    assert all((cut[i] or "").split() == kept for i, _, kept in want)
+    assert all(cut[i] == t for (i, t), (_, n, _) in zip(rows, want) if n == 0)
+
+
 # ---- 10 --------------------------------------------------------------------------------------------------------------
 def call(conv, turn, id_, name="t", arguments='{"a": 1}', needs=()):
     return (conv, turn, 0, id_, name, arguments, list(needs))
