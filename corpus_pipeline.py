@@ -2,7 +2,7 @@
 
 1. toxicity: documents that score 0.7 or more go (models of the labelled rows that aren't held out);
 2. near duplicates: of each class the document with the smallest doc_id stays;
-3. long matches: characters covered by a 400-byte string that starts elsewhere too are cut out of the texts;
+3. long matches: passages of 50 words that another document has too, however they are spaced, are cut out of the texts;
 4. decontamination: documents in which an eight-word window of a benchmark item occurs go;
 5. mixing: how many words of each document the mix takes.
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm import decontaminate, mixing, neardup, runindex, toxicity
-from driftwell.llm.common import saved, table
+from driftwell.llm.common import broadcast_if, saved, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken."""
     rows, sources, _ = mixing.plan(docs)
     rows = rows.withColumn("source", F.col("pattern")[0])
-    named = F.broadcast(sources.withColumnRenamed("source", "name"))
+    named = broadcast_if(sources.withColumnRenamed("source", "name"), sources.count(), mixing.MAX_PATTERNS)
     return rows.join(named, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
