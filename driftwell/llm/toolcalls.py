@@ -1,15 +1,19 @@
 """Tool calls of conversations, linked to their results and written as canonical JSON.
 
 Calls and results are joined by conversation and identifier; of an identifier that is used twice the first call (by turn
-and place) and the first result count.  Calls may name others whose results they need.  A call's level starts as its
-turn and is raised above the level of everything it needs, until all are; conversations whose calls only need earlier
-ones so take no round, and a circle shows by rising longer than there are such calls.  Arguments are checked against
-the tool's JSON schema, and each linked call is written as JSON with sorted keys, without spaces, in UTF-8.
+and place) and the first result count.  Calls may name others whose results they need.  A call's level is its turn, or
+one more than the highest level of what it needs, if that is more; on a circle or behind one it is null.  Conversations
+whose calls only need earlier ones have their turns as levels.  Others are ordered by one pass over each, if they have
+at most GROUP_CALLS calls and needs; larger ones by rounds of joins, in which a circle shows by rising longer than
+there are calls.  Arguments are checked against the tool's JSON schema, and each linked call is written as JSON with
+sorted keys, without spaces, in UTF-8; halves of surrogate pairs, which UTF-8 hasn't, stay escaped.
 
 status, the first that applies: no_id, duplicate_call, unknown_tool, invalid_json, invalid_arguments, cycle,
 missing_dependency, missing_result, ok; for results: no_id, orphan_result, duplicate_result; for the query's
 rows of no role or another one than user, system and assistant: other_role.  Nulls: a null conv_id is a
-conversation of its own, a null turn comes before all others, null text is null in JSON, null arguments are invalid_json.
+conversation of its own, a null turn comes before all others, null text is null in JSON, null arguments are invalid_json,
+and so are numbers that Python can't read (beyond a double's range, or integers of over 4,300 digits) and JSON nested
+beyond Python's stack.
 Repeated rows are duplicates; an empty table gives no rows; other columns are ignored.
 """
 
@@ -25,6 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import lean, saved, table
 
+#: Calls and needs of a conversation that is ordered in one pass.
+GROUP_CALLS = 50_000
+SURROGATE = re.compile("[\ud800-\udfff]")
 SCHEMA_TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
@@ -37,7 +44,7 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
 
     def is_(kind: str) -> bool:
         if kind in ("number", "integer"):
-            return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+            return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
         return isinstance(value, SCHEMA_TYPES[kind])
 
     if kinds and not any(map(is_, kinds)):
@@ -64,8 +71,12 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def escaped(text: str) -> str:
+    return SURROGATE.sub(lambda c: f"\\u{ord(c[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def check_arguments(schemas: dict[str, dict]):
@@ -86,7 +97,7 @@ def check_arguments(schemas: dict[str, dict]):
                 except (ValueError, TypeError, RecursionError):
                     status = "unknown_tool" if name not in schemas else "invalid_json"
                 wrong.append(status)
-                detail.append("; ".join(said) or None)
+                detail.append(escaped("; ".join(said)) or None)
                 clean.append(text)
             columns = {n: batch.column(n) for n in batch.schema.names} | {"arguments": pa.array(clean, pa.string()), "wrong": pa.array(wrong, pa.string()), "detail": pa.array(detail, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -108,29 +119,67 @@ def write_json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def levels(calls: DataFrame) -> DataFrame:
+def topological(calls):
+    """A conversation's calls (pandas: conv_key, call_id, start, needs) → level, null on a circle or behind one; and cycle."""
+    start = dict(zip(calls["call_id"], calls["start"]))
+    needs = {c: {n for n in some if n in start} for c, some in zip(calls["call_id"], calls["needs"])}
+    behind: dict[str, list[str]] = {}
+    for c, some in needs.items():
+        for n in some:
+            behind.setdefault(n, []).append(c)
+    waits = {c: len(some) for c, some in needs.items()}
+    level = {c: int(start[c]) for c, k in waits.items() if k == 0}
+    ready = list(level)
+    for c in ready:
+        for d in behind.get(c, ()):
+            waits[d] -= 1
+            start[d] = max(start[d], level[c] + 1)
+            if waits[d] == 0:
+                level[d] = int(start[d])
+                ready.append(d)
+    out = calls[["conv_key", "call_id"]].copy()
+    out["level"] = calls["call_id"].map(level).astype("Int64")
+    out["cycle"] = out["level"].isna()
+    return out
+
+
+def levels(calls: DataFrame, group_calls: int = GROUP_CALLS) -> DataFrame:
     """calls: conv_key, call_id, start (long), needs (array of ids).  Adds level and cycle; missing needs count for nothing."""
-    edges = calls.select("conv_key", "call_id", F.explode("needs").alias("need"))
+    edges = calls.select("conv_key", "call_id", "start", F.explode("needs").alias("need"))
     starts = calls.select("conv_key", F.col("call_id").alias("need"), F.col("start").alias("before"))
-    edges = saved(edges.join(starts.drop("before"), ["conv_key", "need"]), "needs")
-    now = calls.select("conv_key", "call_id", F.col("start").alias("level"))
-    forward = edges.join(starts, ["conv_key", "need"]).join(calls.select("conv_key", "call_id", "start"), ["conv_key", "call_id"]).where("before >= start")
-    # A chain without a circle is settled after as many rounds as the conversation has calls that can be raised.
-    if forward.isEmpty():
+    edges = saved(edges.join(starts, ["conv_key", "need"]), "needs")
+    forward = edges.where("before >= start").select("conv_key").distinct()
+    sized = calls.groupBy("conv_key").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.size("needs") + 1).alias("size"))
+    sized = saved(sized.join(forward, "conv_key"), "forward")
+    most = sized.where(F.col("size") > group_calls).agg(F.max("calls")).first()[0]
+    if most is None and sized.isEmpty():
         return calls.withColumn("level", F.col("start")).withColumn("cycle", F.lit(False))
-    most = calls.join(forward.select("conv_key").distinct(), "conv_key", "left_semi").groupBy("conv_key").count().agg(F.max("count")).first()[0]
+    names = ["conv_key", "call_id", "level", "cycle"]
+    some = calls.select("conv_key", "call_id", "start", "needs").join(sized.where(F.col("size") <= group_calls), "conv_key", "left_semi")
+    found = saved(some.groupBy("conv_key").applyInPandas(topological, "conv_key string, call_id string, level bigint, cycle boolean"), "levels")
+    if most is not None:
+        large = sized.where(F.col("size") > group_calls).select("conv_key")
+        found = found.unionByName(rounds(calls.join(large, "conv_key", "left_semi"), edges.join(large, "conv_key", "left_semi"), most).select(*names))
+    known = calls.join(found, ["conv_key", "call_id"], "left")
+    return known.withColumn("level", F.when(F.col("cycle").isNull(), F.col("start")).otherwise(F.col("level"))).withColumn("cycle", F.coalesce("cycle", F.lit(False)))
+
+
+def rounds(calls: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """Levels (conv_key, call_id, level, cycle) by raising every call above what it needs, until none rises."""
+    now = calls.select("conv_key", "call_id", F.col("start").alias("level"))
     settled = None
+    # A chain without a circle is settled after as many rounds as the conversation has calls.
     for k in range(2 * most + 1):
         if k == most:
             settled = now
-        above = edges.join(now.withColumnRenamed("call_id", "need"), ["conv_key", "need"]).groupBy("conv_key", "call_id").agg((F.max("level") + 1).alias("least"))
+        above = edges.select("conv_key", "call_id", "need").join(now.withColumnRenamed("call_id", "need"), ["conv_key", "need"]).groupBy("conv_key", "call_id").agg((F.max("level") + 1).alias("least"))
         stepped = saved(now.join(above, ["conv_key", "call_id"], "left").select("conv_key", "call_id", F.greatest("level", F.coalesce("least", "level")).alias("new"), "level"), "levels")
         now = stepped.select("conv_key", "call_id", F.col("new").alias("level"))
         if stepped.where("new > level").isEmpty():
-            return calls.join(now, ["conv_key", "call_id"]).withColumn("cycle", F.lit(False))
+            return now.withColumn("cycle", F.lit(False))
     # What still rises in as many rounds again is on a circle or behind one.
-    rising = settled.withColumnRenamed("level", "old").join(now, ["conv_key", "call_id"]).select("conv_key", "call_id", "level", (F.col("level") > F.col("old")).alias("cycle"))
-    return calls.join(rising, ["conv_key", "call_id"])
+    rising = settled.withColumnRenamed("level", "old").join(now, ["conv_key", "call_id"]).withColumn("cycle", F.col("level") > F.col("old"))
+    return rising.select("conv_key", "call_id", F.when(~F.col("cycle"), F.col("level")).alias("level"), "cycle")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -153,7 +202,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     good = levels(c.where("is_first").withColumn("start", F.coalesce(F.col("turn").cast("long"), F.lit(-1))))
     missing = good.select("conv_key", "call_id", F.explode("needs").alias("need")).join(good.select("conv_key", F.col("call_id").alias("need")), ["conv_key", "need"], "left_anti").groupBy("conv_key", "call_id").agg(F.lit(True).alias("lacks"))
     answers = r.where("is_first").select("conv_key", "call_id", F.col("turn").alias("result_turn"), "result", F.lit(True).alias("answered"))
-    linked = good.join(answers, ["conv_key", "call_id"], "left").join(missing, ["conv_key", "call_id"], "left").drop("start", "is_first")
+    # Answers are one a call, so no part of their hash table outgrows the others.
+    linked = good.join(answers.hint("shuffle_hash"), ["conv_key", "call_id"], "left").join(missing, ["conv_key", "call_id"], "left").drop("start", "is_first")
     schema = "conv_key string, call_id string, conv_id bigint, turn bigint, place int, name string, arguments string, needs array<string>, times bigint, level bigint, cycle boolean, result_turn bigint, result string, answered boolean, lacks boolean"
     linked = linked.select("conv_key", "call_id", F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("place").cast("int"), "name", "arguments", "needs", "times", "level", "cycle", F.col("result_turn").cast("bigint"), "result", "answered", "lacks")
     linked = linked.mapInArrow(check_arguments(schemas), schema + ", wrong string, detail string").mapInArrow(write_json, schema + ", wrong string, detail string, json string")
