@@ -23,7 +23,6 @@ from .common import table, text_or_empty
 SECTION_ENDS = ("0", "1")
 #: Blocks of consecutive ids at most: their borders are broadcast (24 bytes each).
 MAX_BLOCKS = 50_000
-PHRASE = r"(?:\S+\s*){1,4}"
 LEAF_WORDS = 4
 
 
@@ -42,13 +41,6 @@ def section_digests(nodes: Column) -> Column:
     return F.transform(F.split(F.array_join(ends, ""), r"\|"), lambda s: F.sha2(s, 256))
 
 
-def phrases(text: Column) -> Column:
-    """Distinct hashes of the phrases of a text, each with its paragraph's first characters left out of account."""
-    cut = F.flatten(F.transform(paragraphs(text), lambda p: F.regexp_extract_all(p, F.lit(PHRASE), F.lit(0))))
-    hashes = F.transform(cut, lambda p: F.xxhash64(F.rtrim(p)))
-    return F.array_distinct(F.when(F.size(cut) > 0, hashes).otherwise(F.array(F.xxhash64(text))))
-
-
 def leaves(text: Column) -> Column:
     """Distinct hashes of all runs of four words within a paragraph, however far from its start."""
 
@@ -118,7 +110,7 @@ def compare_edits(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited", F.when(half > 0, edited).otherwise(F.col("text")))
     rows = with_tree(with_tree(rows, "text", ""), "edited", "edited_")
     for name, text in (("p", "text"), ("edited_p", "edited"), ("next_p", "next_text")):
-        rows = rows.withColumn(name, phrases(F.col(text))).withColumn(f"{name}_leaves", leaves(F.col(text)))
+        rows = rows.withColumn(name, leaves(F.col(text)))
     digests = lambda nodes: F.transform(nodes, lambda n: n["digest"])
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
@@ -126,14 +118,11 @@ def compare_edits(documents: DataFrame) -> DataFrame:
         F.when(F.col("text") == F.col("next_text"), F.lit(1.0)).otherwise(likeness(F.col("p"), F.col("next_p"))).alias("near_next"),
         F.size("sections").cast("long").alias("n_sections"), F.size("nodes").cast("long").alias("n_paragraphs"),
         F.size(differing(digests("nodes"), digests("edited_nodes"))).cast("long").alias("n_differing"),
-        F.when(F.col("root") == F.col("edited_root"), F.lit(1.0)).otherwise(likeness(F.col("p_leaves"), F.col("edited_p_leaves"))).alias("alike_edited"),
-        F.when(F.col("text") == F.col("next_text"), F.lit(1.0)).otherwise(likeness(F.col("p_leaves"), F.col("next_p_leaves"))).alias("alike_next"),
     )
 
 
 def op1_fingerprint(spark, sf_dir: str) -> DataFrame:
-    """The columns that OP1_SQL has: likeness by phrases at every fourth word, not by leaves."""
-    return compare_edits(table(spark, sf_dir, "documents")).drop("alike_edited", "alike_next")
+    return compare_edits(table(spark, sf_dir, "documents"))
 
 
 OP1_SQL = r"""
@@ -141,9 +130,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER B
 e AS (SELECT a.doc_id, a.text, b.text AS nxt, length(a.text) AS n_chars, left(a.text, CAST(length(a.text) - length(a.text) // 2 AS BIGINT)) || left(b.text, CAST(length(a.text) // 2 AS BIGINT)) AS edited FROM d a JOIN d b ON b.r = a.r % a.n + 1),
 x AS (SELECT *, list_transform(string_split(text, chr(10)), lambda p: sha256(p) || CASE WHEN p = '' OR sha256(p)[1] IN ('0', '1') THEN '|' ELSE '' END) AS n1,
     list_transform(string_split(edited, chr(10)), lambda p: sha256(p) || CASE WHEN p = '' OR sha256(p)[1] IN ('0', '1') THEN '|' ELSE '' END) AS n2,
-    list_distinct(list_transform(flatten(list_transform(string_split(text, chr(10)), lambda p: regexp_extract_all(p, '(?:[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*){1,4}'))), lambda p: rtrim(p, ' '))) AS p1,
-    list_distinct(list_transform(flatten(list_transform(string_split(edited, chr(10)), lambda p: regexp_extract_all(p, '(?:[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*){1,4}'))), lambda p: rtrim(p, ' '))) AS p2,
-    list_distinct(list_transform(flatten(list_transform(string_split(nxt, chr(10)), lambda p: regexp_extract_all(p, '(?:[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*){1,4}'))), lambda p: rtrim(p, ' '))) AS p3 FROM e),
+    list_distinct(flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_extract_all(p, '[^ \t\n\x0B\f\r]+')), lambda w: len(w) > 0), lambda w: list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda k: array_to_string(w[k:k + 3], ' '))))) AS p1,
+    list_distinct(flatten(list_transform(list_filter(list_transform(string_split(edited, chr(10)), lambda p: regexp_extract_all(p, '[^ \t\n\x0B\f\r]+')), lambda w: len(w) > 0), lambda w: list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda k: array_to_string(w[k:k + 3], ' '))))) AS p2,
+    list_distinct(flatten(list_transform(list_filter(list_transform(string_split(nxt, chr(10)), lambda p: regexp_extract_all(p, '[^ \t\n\x0B\f\r]+')), lambda w: len(w) > 0), lambda w: list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda k: array_to_string(w[k:k + 3], ' '))))) AS p3 FROM e),
 y AS (SELECT * EXCLUDE (p1, p2, p3), CASE WHEN len(p1) = 0 THEN [text] ELSE p1 END AS p1, CASE WHEN len(p2) = 0 THEN [edited] ELSE p2 END AS p2, CASE WHEN len(p3) = 0 THEN [nxt] ELSE p3 END AS p3,
     list_transform(string_split(array_to_string(n1, ''), '|'), lambda s: sha256(s)) AS s1, list_transform(string_split(array_to_string(n2, ''), '|'), lambda s: sha256(s)) AS s2 FROM x)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, sha256(array_to_string(s1, '')) AS fingerprint, sha256(array_to_string(s2, '')) AS edited_fingerprint,
