@@ -10,9 +10,12 @@ modification, else payload digests.  Where all that both have agree, the revisit
 headers, updated by those of its own headers that a not-modified answer may change: not those that describe the stored
 payload or the connection.
 
+A full response is a record of kind response whose status is null or from 200 to 299, but for 206 (a part); responses of
+other statuses and records of other kinds are no sources and have no result rows.
+
 outcome: resolved, no_earlier_response, validator_mismatch, no_validator (nothing to compare), or bad_record (url or
-time is null).  Ties: of responses of one time the largest record_id counts, and one of the revisit's own time isn't
-earlier.  Header names are compared in lower case; of one name given twice the last counts; a null header map is empty.
+time is null).  Ties: of responses of one time the largest record_id counts, of one record_id the largest entity tag, date, digest,
+status and headers (as JSON), in this order; one of the revisit's own time isn't earlier.  Header names are compared in lower case; of one name given twice the last counts; a null header map is empty.
 Repeated rows give repeated result rows; an empty table gives none; other columns are ignored.
 """
 
@@ -60,17 +63,22 @@ def resolve(records: DataFrame, hot: int = HOT) -> DataFrame:
     (map).  One row per revisit: record_id, url_key, at, outcome, source_id, status, digest, headers."""
     rows = records.withColumn("url_key", canonical(F.col("url")))
     fine = F.col("url").isNotNull() & F.col("at").isNotNull()
+    full = (F.col("kind") == "response") & F.coalesce(F.col("status").between(200, 299) & (F.col("status") != 206), F.lit(True))
+    rows = rows.where(full | (F.col("kind") == "revisit")).withColumn("tie", F.struct("etag", "last_modified", "digest", "status", F.to_json("headers").alias("headers")))
     # A response is not earlier than a revisit of its own time, so revisits go first in order.
     answer = F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", "digest", "status", "headers"))
-    light = saved(rows.where(fine & F.col("kind").isin("response", "revisit")).select("url_key", "at", "record_id", "kind", "etag", "last_modified", "digest", "headers", answer.alias("answer")), "records")
-    crowded = saved(light.groupBy("url_key").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("at", [k / PARTS for k in range(1, PARTS)], 1000).alias("cuts")).where(F.col("n") > hot), "crowded")
-    light = light.join(broadcast_if(crowded.select("url_key", "cuts"), crowded.count(), 10_000), "url_key", "left")
+    light = saved(rows.where(fine & F.col("kind").isin("response", "revisit")).select("url_key", "at", "record_id", "kind", "etag", "last_modified", "digest", "headers", "tie", answer.alias("answer")), "records")
+    # Borders in time are looked for only where a URL has too many records.
+    many = saved(light.groupBy("url_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("url_key"), "many")
+    of_many = light.join(broadcast_if(many, many.count(), 10_000), "url_key", "left_semi")
+    crowded = saved(of_many.groupBy("url_key").agg(F.percentile_approx("at", [k / PARTS for k in range(1, PARTS)], 1000).alias("cuts")), "crowded")
+    light = light.join(broadcast_if(crowded, crowded.count(), 10_000), "url_key", "left")
     light = light.withColumn("part", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("at"))))).drop("cuts")
-    w = Window.partitionBy("url_key", "part").orderBy("at", (F.col("kind") == "response").cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("url_key", "part").orderBy("at", (F.col("kind") == "response").cast("int"), "record_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = light.withColumn("source", F.last("answer", ignorenulls=True).over(w)).where("kind = 'revisit'")
     # Last responses of earlier parts: maps aren't ordered, so the latest is found by time and id.
     last = light.where("answer is not null").join(F.broadcast(crowded.select("url_key")) if crowded.count() <= 10_000 else crowded.select("url_key"), "url_key", "left_semi")
-    last = last.groupBy("url_key", "part").agg(F.max_by("answer", F.struct("at", "record_id")).alias("final"))
+    last = last.groupBy("url_key", "part").agg(F.max_by("answer", F.struct("at", "record_id", "tie")).alias("final"))
     span = light.select("url_key", "part").join(last.select("url_key").distinct(), "url_key", "left_semi").distinct().join(last, ["url_key", "part"], "left")
     v = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carry = span.select("url_key", "part", F.last("final", ignorenulls=True).over(v).alias("carried"))
