@@ -1,10 +1,11 @@
-"""Removal of word windows that an earlier document has too, by one doubling of the length.
+"""Removal of word windows that an earlier document has too, by level-wise doubling of the length.
 
-There are two levels, of ceil(length / 2) and of length words.  At the first one, windows stand for others by their
-anchors: of every window of full length, the smallest hash of the windows of first length within.  An anchor that is in
-no second document goes, with all windows that have it.  What is left is extended to the full length and compared again.
-Windows are judged by two 64-bit hashes' worth of agreement (anchor and window), each against the smallest doc_id that
-has both.
+Levels are lengths that double from ``first`` up to the full one (25 and 50 words by default; of an odd length the half
+is rounded up).  At a level below the last, windows of full length are judged by their anchors: of every window that is
+still alive, the smallest hash of the windows of the level's length within.  An anchor that is in no second document
+goes, with all windows that have it; what is left is looked at in twice the length, until the full length is reached or
+nothing is alive.  Windows of full length are equal if their two 64-bit hashes agree (the window's and its last
+anchor's), and each is held against the smallest doc_id that has it.
 
 Equal texts are compared once, by their smallest doc_id; their other copies follow from that.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, sliding_min, spans
-from .common import broadcast_if, lean, saved, table
+from .common import broadcast_if, lean, salted_join, saved, table
 from .textwords import WordHashes, windows
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -48,9 +49,15 @@ def digest(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def first_level(length: int):
-    half = -(-length // 2)
+def level_sizes(length: int, first: int) -> list[int]:
+    """Lengths of the levels: the full one, halved (and rounded up) while that is first at least."""
+    out = [length]
+    while -(-out[0] // 2) >= max(1, first) and out[0] > 1:
+        out.insert(0, -(-out[0] // 2))
+    return out if len(out) > 1 else [length, length]
 
+
+def first_level(length: int, half: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text → doc_id, text_id, n_words, whole (digest of all words), anchors."""
@@ -68,30 +75,52 @@ def first_level(length: int):
     return run, "doc_id bigint, text_id binary, n_words bigint, whole string, anchors array<bigint>"
 
 
-def last_level(length: int):
-    half = -(-length // 2)
+def alive_starts(hashed: np.ndarray, length: int, sizes: list[int], kept: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows of full length whose anchors of all earlier levels are kept, and all anchors of the last of them."""
+    alive = np.ones(len(hashed) - length + 1, bool)
+    for size, some in zip(sizes, kept):
+        least = sliding_min(windows(hashed, size), length - size + 1)
+        alive &= np.isin(least, some)
+    return np.flatnonzero(alive), least
+
+
+def next_level(length: int, sizes: list[int], size: int):
+    """sizes: of the levels so far; size: of this one."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc, doc_id, text_id, anchors, text → the hash, anchor and place of each window of full length with such an anchor."""
+        """doc_id, text_id, kept (anchors of the levels so far), text → doc_id, text_id, kept, anchors of this level."""
         memo = WordHashes()
         for batch in batches:
-            docs, firsts, hashes, kept, places = [], [], [], [], []
-            for doc, first, key, some, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4)):
+            found, fit = [], []
+            for key, kept, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                fit.append(text_id(text := text.as_py()) == key)
+                hashed = memo.of(words_of(text)) if fit[-1] else None
+                if hashed is None:
+                    found.append([])
+                    continue
+                at, _ = alive_starts(hashed, length, sizes, [np.array(k, np.int64).view(np.uint64) for k in kept])
+                found.append(np.unique(sliding_min(windows(hashed, size), length - size + 1)[at]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_id", "kept", "anchors"]).filter(pa.array(fit, pa.bool_()))
+
+    return run, "doc_id bigint, text_id binary, kept array<array<bigint>>, anchors array<bigint>"
+
+
+def last_level(length: int, sizes: list[int]):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, text_id, kept, text → the hash, last anchor and place of each window of full length that is alive."""
+        memo = WordHashes()
+        for batch in batches:
+            for first, key, kept, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 if text_id(text := text.as_py()) != key:
                     continue
                 hashed = memo.of(words_of(text))
-                least = sliding_min(windows(hashed, half), length - half + 1)
-                at = np.flatnonzero(np.isin(least, some.values.to_numpy().view(np.uint64)))
-                hashes.append(windows(hashed, length)[at].view(np.int64))
-                kept.append(least[at].view(np.int64))
-                places.append(at.astype(np.int32))
-                docs.append(np.full(len(at), doc))
-                firsts.append(np.full(len(at), first))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, firsts, hashes, kept, places)], ["doc", "first_id", "hash", "anchor", "place"])
+                at, least = alive_starts(hashed, length, sizes, [np.array(k, np.int64).view(np.uint64) for k in kept])
+                columns = [pa.array([key] * len(at), pa.binary()), pa.array(np.full(len(at), first)), *(pa.array(x[at].view(np.int64)) for x in (windows(hashed, length), least)), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["text_id", "first_id", "hash", "anchor", "place"])
 
-    return run, "doc bigint, first_id bigint, hash bigint, anchor bigint, place int"
+    return run, "text_id binary, first_id bigint, hash bigint, anchor bigint, place int"
 
 
 def cut_words(length: int):
@@ -123,31 +152,44 @@ def fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(some, "doc_id", "left_semi").join(wanted, "doc_id")
 
 
-def repeated_windows(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def survivors(each: DataFrame, kept: bool) -> DataFrame:
+    """each: doc_id, text_id, anchors (and kept, those of earlier levels).  Texts with anchors that a second document
+    has: doc_id, text_id, kept with those anchors appended."""
+    flat = each.select("text_id", "doc_id", F.explode("anchors").alias("anchor"))
+    again = flat.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "n")
+    alive = salted_join(flat, saved(again, "again"), "anchor", "text_id").groupBy("text_id", "doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    if kept:
+        return saved(alive.join(each.select("text_id", "kept"), "text_id").select("doc_id", "text_id", F.concat("kept", F.array("anchors")).alias("kept")), "alive")
+    return saved(alive.select("doc_id", "text_id", F.array("anchors").alias("kept")), "alive")
+
+
+def repeated_windows(documents: DataFrame, length: int = LENGTH, first: int | None = None) -> tuple[DataFrame, DataFrame]:
     """documents: doc_id, text.  Returns (rows, starts): rows has doc_id, text_id, n_words, whole and first_id for every
     row, starts has text_id and the places of windows of an earlier document, for the first row of each text."""
-    run, schema = first_level(length)
+    sizes = level_sizes(length, -(-length // 2) if first is None else first)
+    run, schema = first_level(length, sizes[0])
     level = saved(documents.select("doc_id", "text").mapInArrow(run, schema), "level1")
-    texts = level.groupBy("text_id").agg(F.min("doc_id").alias("first_id"))
-    rows = level.select("doc_id", "text_id", "n_words", "whole").join(texts, "text_id")
-    first = level.where(f"n_words >= {length}").select("doc_id", "text_id", "anchors").join(texts.where("first_id is not null"), "text_id").where("doc_id = first_id")
-    first = saved(first.select("text_id", "first_id", "anchors").dropDuplicates(["text_id"]), "first")
-    each = first.select("text_id", "first_id", F.explode("anchors").alias("anchor"))
-    again = each.groupBy("anchor").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b")).where("a < b").select("anchor")
-    alive = each.join(again, "anchor").groupBy("text_id", "first_id").agg(F.collect_list("anchor").alias("anchors"))
-    alive = saved(alive.select(F.xxhash64("text_id").alias("doc"), F.col("first_id").alias("doc_id"), "text_id", "anchors"), "alive")
-    run, schema = last_level(length)
-    full = saved(fetch(documents, alive).select("doc", "doc_id", "text_id", "anchors", "text").mapInArrow(run, schema), "level2")
-    least = full.groupBy("hash", "anchor").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b")).where("a < b").select("hash", "anchor", "a")
-    later = full.join(least, ["hash", "anchor"]).where("a < first_id").groupBy("doc").agg(F.collect_set("place").alias("starts"))
-    starts = saved(later.join(alive, "doc").select("doc_id", "text_id", "starts"), "starts")
+    texts = saved(level.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors")), "texts")
+    rows = salted_join(level.drop("anchors"), texts.select("text_id", "first_id", "n"), "text_id", "doc_id")
+    alive = survivors(texts.where("first_id is not null and size(anchors) > 0").select("text_id", F.col("first_id").alias("doc_id"), "anchors"), False)
+    for k in range(1, len(sizes) - 1):
+        if alive.isEmpty():
+            break
+        run, schema = next_level(length, sizes[:k], sizes[k])
+        each = fetch(documents, alive).select("doc_id", "text_id", "kept", "text").mapInArrow(run, schema)
+        alive = survivors(saved(each.dropDuplicates(["text_id"]), f"level{k + 1}"), True)
+    run, schema = last_level(length, sizes[:-1])
+    full = saved(fetch(documents, alive).select("doc_id", "text_id", "kept", "text").mapInArrow(run, schema).withColumn("window", F.struct("hash", "anchor")).drop("hash", "anchor"), "full")
+    least = full.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("a"), F.max("first_id").alias("b")).where("a < b")
+    later = salted_join(full, saved(least.select("window", "n", "a"), "least"), "window", "text_id").where("a < first_id").groupBy("text_id").agg(F.collect_set("place").alias("starts"))
+    starts = saved(later.join(alive, "text_id").select("doc_id", "text_id", "starts"), "starts")
     return rows, starts
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, first: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, whole (digest of all words), kept (words left, joined by one space; null if none is
     removed, or if the row is a later copy, of which nothing is kept unless it is shorter than a window)."""
-    rows, starts = repeated_windows(documents, length)
+    rows, starts = repeated_windows(documents, length, first)
     run, schema = cut_words(length)
     cut = saved(fetch(documents, starts).select("text_id", "starts", "text").mapInArrow(run, schema).dropDuplicates(["text_id"]), "cut")
     later = F.coalesce((F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= length), F.lit(False))
