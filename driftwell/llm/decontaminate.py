@@ -20,8 +20,9 @@ from .common import broadcast_if, saved, table, text_or_empty
 #: Everything below U+0080 but digits and letters parts words.
 DELIMITERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Windows that are broadcast at once (about 150 bytes each); more windows take more passes over the documents.
-BLOCK_WINDOWS = 100_000
+#: Windows that are broadcast (about 150 bytes each).  Of more, only their rarest words' keys are, up to the second limit;
+#: the places of those words, with the words around them, then meet the windows by a shuffle.
+BLOCK_WINDOWS, BROADCAST_KEYS = 100_000, 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -61,25 +62,28 @@ def find_windows(documents: DataFrame, windows: DataFrame, block_windows: int =
     """For each (doc_id, text) of documents: how often the row occurs, its words, and all places where a window occurs.
 
     documents: doc_id, text.  Returns doc_id, text_key, copies, n_words, hits array<struct<start, n, items>>, one row
-    per distinct (doc_id, text).  Only windows are broadcast, a counted block at a time.
+    per distinct (doc_id, text).  Documents are read once, however many windows there are.
     """
-    total = windows.count()
-    blocks = max(1, -(-total // block_windows))
+    windows = windows.withColumnRenamed("n", "len")
     #: An empty word ends every document; its key leads to a window of no words, which so gives the document's own row.
-    end = windows.sparkSession.range(1).select(F.lit("").alias("window"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("items"), key_of(F.lit("")).alias("key"), F.lit(0).alias("off"))
+    end = windows.sparkSession.range(1).select(F.lit("").alias("window"), F.lit(0).alias("len"), F.array().cast("array<bigint>").alias("items"), key_of(F.lit("")).alias("key"), F.lit(0).alias("off"))
     text = text_or_empty()
     base = documents.select("doc_id", F.sha2(text, 256).alias("text_key"), words(text).alias("w"))
-    found = None
-    for block in range(blocks):
-        some = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
-        some = (some.unionByName(end) if block == 0 else some).withColumnRenamed("n", "len")
-        at = base.select("doc_id", "text_key", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word")).withColumn("key", key_of(F.col("word")))
-        start = F.col("pos") - F.col("off")
-        inside = (start >= 0) & (start + F.col("len") <= F.size("w"))
-        place = at.join(F.broadcast(some), "key").where(inside)
-        same = F.translate(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")), " "), UPPER, LOWER) == F.col("window")
-        hit = place.where(same).select("doc_id", "text_key", F.col("len"), start.alias("start"), "items")
-        found = hit if found is None else found.unionByName(hit)
+    at = base.select("doc_id", "text_key", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word")).withColumn("key", key_of(F.col("word")))
+    start = F.col("pos") - F.col("off")
+    inside = (start >= 0) & (start + F.col("len") <= F.col("n_w"))
+    if windows.count() <= block_windows:
+        place = at.withColumn("n_w", F.size("w")).withColumn("from", F.lit(0)).join(F.broadcast(windows.unionByName(end)), "key")
+    else:
+        keys = saved(windows.select("key").distinct(), "benchmark-keys")
+        reach = saved(windows.agg(F.max("off").alias("before"), F.max("len").alias("len")), "benchmark-reach").first()
+        low = F.greatest(F.col("pos") - reach["before"], F.lit(0))
+        near = at.where("word <> ''").join(broadcast_if(keys, keys.count(), BROADCAST_KEYS), "key")
+        near = near.select("doc_id", "text_key", "pos", "key", F.size("w").alias("n_w"), low.alias("from"), F.slice("w", low + 1, reach["before"] + reach["len"]).alias("w"))
+        own = at.where("word = ''").withColumn("n_w", F.size("w")).withColumn("from", F.lit(0)).select("doc_id", "text_key", "pos", "key", "n_w", "from", F.array().cast("array<string>").alias("w"))
+        place = near.join(windows, "key").unionByName(own.join(F.broadcast(end), "key"))
+    same = F.translate(F.array_join(F.slice("w", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.col("len")), " "), UPPER, LOWER) == F.col("window")
+    found = place.where(inside).where(same).select("doc_id", "text_key", "len", start.alias("start"), "items")
     real = F.col("len") > 0
     return found.groupBy("doc_id", "text_key").agg(
         F.count(F.when(~real, 1)).alias("copies"),
