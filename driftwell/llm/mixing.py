@@ -176,7 +176,8 @@ def plan(documents: DataFrame, sources: Column | None = None, weights: tuple[flo
 def op5_mix(spark, sf_dir: str) -> DataFrame:
     rows, sources, _ = plan(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("source", F.col("pattern")[0])
-    return rows.join(F.broadcast(sources.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "taken")
+    named = broadcast_if(sources.withColumnRenamed("source", "name"), sources.count(), MAX_PATTERNS)
+    return rows.join(named, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP5_SQL = r"""
