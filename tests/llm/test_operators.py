@@ -108,7 +108,7 @@ def test_one_inserted_word_keeps_likeness(spark):
     like = [len(of[0] & of[k]) / len(of[0] | of[k]) for k in range(1, 5)]
     assert min(like[:3]) > 0.94 and like[3] == 0 and len(of[0]) == 100 + 1 + 57 and len(of[5]) == len(of[6]) == 1
     pair = spark.createDataFrame([(2, text), (1, put_in[1])], "doc_id int, text string")
-    assert {r["doc_id"]: r["alike_next"] for r in fingerprint.compare_edits(pair).collect()} == {1: like[1], 2: like[1]}
+    assert {r["doc_id"]: r["near_next"] for r in fingerprint.compare_edits(pair).collect()} == {1: like[1], 2: like[1]}
 
 
 def test_next_in_many_blocks(spark):
@@ -143,6 +143,18 @@ def test_revisits(spark):
         assert got[0]["headers"] == {"a": "9", "content-length": "5"} and got[2]["headers"] == {"a": "2", "content-length": "5"}
 
 
+def test_only_full_responses_are_sources(spark):
+    """Parts, redirects and server errors aren't; of equal times and ids the largest validators count, in any order of rows."""
+    schema = "record_id long, url string, kind string, at long, status int, etag string, last_modified string, digest string, headers map<string,string>"
+    row = lambda i, kind, at, status, etag: (i, "http://x.example/a", kind, at, status, etag, None, None, {"k": etag or "-"})
+    rows = [row(1, "response", 1, 200, "a"), row(2, "response", 2, 206, "b"), row(3, "response", 3, 503, "b"), row(4, "response", 4, 302, "b"), row(5, "request", 5, 200, "b"), row(6, None, 5, 200, "b"), row(7, "revisit", 9, 304, "a")]
+    rows += [row(10, "response", 20, None, "y"), row(10, "response", 20, 203, "z"), row(11, "revisit", 21, 304, "z")]
+    for order in (rows, rows[::-1]):
+        for hot in (100, 1):
+            got = {r["record_id"]: (r["outcome"], r["source_id"], r["status"]) for r in revisits.resolve(spark.createDataFrame(order, schema), hot).collect()}
+            assert got == {7: ("resolved", 1, 200), 11: ("resolved", 10, 203)}
+
+
 # ---- 3 ---------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="session")
 def toxic_corpus(spark):
@@ -410,14 +422,70 @@ def test_substrings_keeps_words(spark):
 
 def test_windows_carry_their_anchors():
     text = prose(random.Random(5), 80)
-    run, schema = substrings.last_level(50)
+    run, schema = substrings.last_level(50, [25])
     hashed = textwords.WordHashes().of(substrings.words_of(text))
     want = substrings.sliding_min(substrings.windows(hashed, 25), 26).view(np.int64)
-    batch = pa.RecordBatch.from_pydict({"doc": [1], "doc_id": [2], "text_id": [substrings.text_id(text)], "anchors": [want.tolist()], "text": [text]})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [2], "text_id": [substrings.text_id(text)], "kept": [[want.tolist()]], "text": [text]})
     got = next(run(iter([batch])))
     assert got["anchor"].to_pylist() == want.tolist() and len(want) == 31 and "anchor bigint" in schema
 
 
+def removed_words(rows, length):
+    words = [(i, substrings.words_of(t)) for i, t in rows]
+    least = {}
+    for i, w in words:
+        for k in range(len(w) - length + 1):
+            x = tuple(w[k : k + length])
+            least[x] = min(i, least.get(x, i))
+    out = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - length + 1):
+            if least[tuple(w[k : k + length])] < i:
+                gone[k : k + length] = [True] * length
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("first", [None, 1, 2, 3, 100])
+def test_levels_change_nothing(spark, first, monkeypatch):
+    """However many levels, and with hot keys spread, the result is that of brute force."""
+    monkeypatch.setattr("driftwell.llm.common.HOT_ROWS", 3)
+    rng = random.Random(21)
+    shared = rng.choices("abcd", k=40)
+    rows = [(k, " ".join(rng.choices("abcde", k=rng.randrange(12)) + shared[rng.randrange(25) :][: rng.randrange(15)] + rng.choices("abc", k=rng.randrange(9)))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.remove_repeats(df, 9, first).collect()
+    want = {i: (n, gone, kept) for i, n, gone, kept in removed_words(rows, 9)}
+    assert sum(gone for _, gone, _ in want.values()) > 50
+    for r in got:
+        n, gone, kept = want[r["doc_id"]]
+        assert (r["n_words"], r["n_removed"]) == (n, gone) and (gone == 0 or r["kept"] == kept)
+
+
+def test_survivors_of_levels(spark, monkeypatch):
+    """Half-length repeats live on level 1 only; each level looks at what the one before left, and stops without any."""
+    assert substrings.level_sizes(50, 25) == [25, 50] and substrings.level_sizes(50, 12) == [13, 25, 50] and substrings.level_sizes(50, 1)[0] == 1
+    rng = random.Random(3)
+    half, most, whole = ([f"{c}{k}" for k in range(n)] for c, n in (("h", 14), ("m", 26), ("w", 60)))
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(2 * k + j, " ".join(fill(60) + part + fill(60))) for k, part in enumerate((half, most, whole)) for j in (0, 1)]
+    seen = []
+    real = substrings.survivors
+
+    def spy(each, kept):
+        out = real(each, kept)
+        seen.append({r["doc_id"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(substrings, "survivors", spy)
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50, 13).collect()}
+    assert {4, 5} <= seen[1] <= seen[0] and got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 60}
+    seen.clear()
+    substrings.remove_repeats(spark.createDataFrame([(k, " ".join(fill(80))) for k in range(4)], "doc_id long, text string"), 50, 13).collect()
+    assert seen == [set()]
+
+
 # ---- 7 ---------------------------------------------------------------------------------------------------------------
 def test_tokens_as_the_library(spark, edge):
     from tokenizers import Tokenizer
@@ -578,19 +646,63 @@ def test_tool_calls(spark):
     assert one["json"] == '{"after":[],"arguments":{"a":1},"id":"x","name":"t","result":"r0"}'
 
 
+def test_tool_calls_of_any_json(spark):
+    """Huge integers, halves of surrogate pairs, infinite and deeply nested values end in a status, not in an error."""
+    schema = {"t": {"type": "object", "properties": {"a": {"type": ["integer", "string"]}}, "additionalProperties": False}}
+    texts = ['{"a": %s}' % ("1" * 400), '{"a": "\\ud800"}', '{"\\udfff": 1}', '{"a": 1e999}', '{"a": 2.0}', '{"a": 2.5}', '{"a": %s}' % ("1" * 5000), '{"a": ' + "[" * 100_000 + "]" * 100_000 + "}", "[]", "null", '"\\ud83d\\ude00"', '{"a": -0.0, "a": 3}', "", "\ufeff{}"]
+    c = spark.createDataFrame([call(1, k, f"c{k}", arguments=t) for k, t in enumerate(texts)], "conv_id long, turn long, place int, call_id string, name string, arguments string, needs array<string>")
+    r = spark.createDataFrame([(1, k, f"c{k}", "r") for k in range(len(texts))], "conv_id long, turn long, call_id string, result string")
+    got = {x["turn"]: x for x in toolcalls.link(c, r, schema).collect()}
+    said = [got[k]["status"] for k in range(len(texts))]
+    assert said == ["ok", "ok", "invalid_arguments", "invalid_json", "ok", "invalid_arguments", "invalid_json", "invalid_json", "invalid_arguments", "invalid_arguments", "invalid_arguments", "ok", "invalid_json", "invalid_json"]
+    assert got[1]["arguments"] == '{"a":"\\ud800"}' and json.loads(got[1]["json"])["arguments"] == {"a": "\ud800"} and "\U0001f600" in got[10]["arguments"]
+
+
+@pytest.mark.parametrize("group", [1, 5, 50_000])
+def test_levels_by_brute_force(spark, group):
+    rng = random.Random(group)
+    rows = []
+    for conv in range(6):
+        n = rng.randrange(1, 9)
+        rows += [(str(conv), f"c{k}", rng.randrange(6), [f"c{rng.randrange(n + 1)}" for _ in range(rng.randrange(3))]) for k in range(n)]
+    want = {}
+    for conv in {r[0] for r in rows}:
+        mine = {c: (start, [x for x in needs if any(q[0] == conv and q[1] == x for q in rows)]) for k, c, start, needs in rows if k == conv}
+
+        def level(c, path=(), mine=mine):
+            if c in path:
+                return None
+            above = [level(x, (*path, c)) for x in mine[c][1]]
+            return None if None in above else max([mine[c][0], *(x + 1 for x in above)])
+
+        want |= {(conv, c): level(c) for c in mine}
+    df = spark.createDataFrame(rows, "conv_key string, call_id string, start long, needs array<string>")
+    got = {(r["conv_key"], r["call_id"]): (r["level"], r["cycle"]) for r in toolcalls.levels(df, group).collect()}
+    assert got == {k: (v, v is None) for k, v in want.items()}
+
+
+def test_long_chain_of_calls(spark):
+    """5,000 calls, each needing the next: one pass, not a job a call."""
+    n = 5000
+    df = spark.createDataFrame([("1", f"c{k}", k, [f"c{k + 1}"]) for k in range(n)], "conv_key string, call_id string, start long, needs array<string>")
+    got = {r["call_id"]: r["level"] for r in toolcalls.levels(df).collect()}
+    assert got == {f"c{k}": 2 * (n - 1) - k for k in range(n)}
+
+
 def test_tool_calls_by_brute_force(spark, edge):
     rows = [tuple(r) for r in table(spark, edge, "conversations").collect()]
     got = toolcalls.op10_tool_calls(spark, edge).collect()
     calls = Counter((c, t) for c, t, role, _ in rows if role in ("user", "system"))
     results = Counter((c, t) for c, t, role, _ in rows if role == "assistant")
-    linked = [r for r in got if r["status"] not in ("orphan_result", "duplicate_result", "no_id", "duplicate_call")]
+    linked = [r for r in got if r["status"] not in ("orphan_result", "duplicate_result", "no_id", "duplicate_call", "other_role")]
     assert {(r["conv_id"], r["turn"]) for r in linked} == {k for k in calls if k[1] is not None}
     for r in linked:
         answered = (r["conv_id"], r["turn"] + 1) in results
         assert (r["result_turn"] == r["turn"] + 1) == answered
         value = json.loads(r["json"])
         assert value["id"] == f"call-{r['turn']}" and r["json"] == toolcalls.canonical(value)
-    assert len(got) == sum(calls.values()) + sum(n - (1 if (c, t - 1) in calls else 0) for (c, t), n in results.items())
+    others = sum(role not in ("user", "system", "assistant") for *_, role, _ in rows)
+    assert len(got) == others + sum(calls.values()) + sum(n - (1 if (c, t - 1) in calls else 0) for (c, t), n in results.items())
 
 
 def test_json_schema():
