@@ -22,10 +22,37 @@ def dot(a: list[float], b: list[float]) -> float:
     return s
 
 
-class Linear:
+class Learner:
+    """state() is all that a learner would need to go on in another process, as text; restore() takes it up."""
+
+    STATE: tuple[str, ...] = ()
+
+    def state(self) -> str:
+        return json.dumps({k: pack(getattr(self, k, None)) for k in self.STATE})
+
+    def restore(self, text: str) -> None:
+        for k, v in json.loads(text).items():
+            setattr(self, k, unpack(v))
+
+
+def pack(value):
+    """Arrays as {"array": nested lists}, lists piece by piece."""
+    if isinstance(value, np.ndarray):
+        return {"array": value.tolist()}
+    return [pack(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
+def unpack(value):
+    if isinstance(value, dict):
+        return np.array(value["array"])
+    return [unpack(v) for v in value] if isinstance(value, list) else value
+
+
+class Linear(Learner):
     """Weights and an intercept, which appear with the first point."""
 
     parallel = True
+    STATE = ("w", "b")
 
     def __init__(self, **hyper):
         self.w: list[float] | None = None
@@ -106,6 +133,7 @@ class SVM(Linear):
     """Linear support vector machine whose steps shrink with the number of points; label 0 counts as -1."""
 
     C = 0.01
+    STATE = ("w", "b", "count")
 
     def __init__(self, **hyper):
         super().__init__(**hyper)
@@ -127,11 +155,12 @@ class SVM(Linear):
         return 1.0 if self.margin(x) >= 0.0 else -1.0
 
 
-class MulticlassPA:
+class MulticlassPA(Learner):
     """Passive-aggressive classifier of labels 0 to nClasses - 1, one linear model each.  Equal scores go to the lowest
     label.  It also updates when it is right (the loss is then 1)."""
 
     parallel = True
+    STATE = ("w", "b")
 
     def __init__(self, nClasses: int = 3, C: float = 0.01, updateType: str = "PA-II"):
         self.n, self.C, self.updateType = int(nClasses), float(C), updateType
@@ -179,10 +208,11 @@ class MulticlassPA:
         self.b = [values[(k + 1) * d - 1] for k in range(self.n)]
 
 
-class ORR:
+class ORR(Learner):
     """Online ridge regression by sums of x xᵀ and y x (x ends in 1); ``ridge`` adds lambda to the diagonal."""
 
     parallel = True
+    STATE = ("a", "v")
 
     def __init__(self, **hyper):
         self.lam, self.ridge = float(hyper.get("lambda", 0.0)), bool(hyper.get("ridge", False))
@@ -217,11 +247,12 @@ class ORR:
         self.a, self.v = np.array(values[: n * n]).reshape(n, n), np.array(values[n * n :])
 
 
-class KMeans:
+class KMeans(Learner):
     """Sequential or forgetful k-means from given centroids, or from the first graceInit * nClusters points: ``random``
     distinct picks or ``kmeans++``, by seed; those points are then learned from."""
 
     parallel = False
+    STATE = ("c", "n", "buffer")
 
     def __init__(self, nClusters: int = 2, method: str = "sequential", stepSize: float = 0.01, initMethod: str = "random", graceInit: int = 10, seed: int = 1, centroids: list[list[float]] | None = None):
         if method not in ("sequential", "forgetful") or initMethod not in ("random", "kmeans++"):
@@ -277,35 +308,159 @@ class KMeans:
         self.c = [list(values[k * d : (k + 1) * d]) for k in range(self.k)]
 
 
-class NN:
-    """A feed-forward classifier: dense layers with ReLU, softmax, Adam on mini-batches of batchSize points, L2, Xavier
-    weights by seed.  ``layers`` are sizes of hidden layers, or a JSON list of them; labels start at label_offset."""
+def configured(config: str | list | dict) -> list[dict]:
+    """A network's layers from a list, or from JSON or YAML text of one (or of {"layers": [...]})."""
+    if isinstance(config, str):
+        try:
+            config = json.loads(config)
+        except ValueError:
+            try:
+                import yaml
+            except ImportError:
+                raise ValueError("the network isn't JSON, and YAML can't be read here") from None
+            try:
+                config = yaml.safe_load(config)
+            except yaml.YAMLError as error:
+                raise ValueError("the network is neither JSON nor YAML") from error
+    layers = config.get("layers") if isinstance(config, dict) else config
+    if not isinstance(layers, (list, tuple)):
+        raise ValueError("a network is a list of layers")
+    out = [{"type": "dense", "size": int(v)} if not isinstance(v, dict) else dict(v) for v in layers]
+    for layer in out:
+        if layer.get("type") not in ("dense", "conv", "pool", "norm", "dropout"):
+            raise ValueError(f"unknown layer {layer.get('type')}")
+    return out
+
+
+def cut_patches(x: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """[points, height, width, channels] → [points, rows, columns, size, size, channels]."""
+    views = np.lib.stride_tricks.sliding_window_view(x, (size, size), (1, 2))[:, ::stride, ::stride]
+    return views.transpose(0, 1, 2, 4, 5, 3)
+
+
+class NN(Learner):
+    """A feed-forward classifier: softmax on top, Adam on mini-batches of batchSize points, L2, Xavier weights by seed.
+
+    ``layers``: sizes of dense layers with ReLU, or layers as dicts (or JSON or YAML of either): dense (size), conv (filters,
+    kernel, stride), pool (kernel, stride; the maximum), norm (by batch, by running statistics when predicting) and dropout
+    (rate), with ``relu`` true or false (default: dense and conv without a norm right after them have it, and so do norms).
+    conv and pool need ``inputShape`` (height, width, channels).  Labels start at label_offset."""
 
     parallel = True
+    STATE = ("p", "m", "v", "t", "held", "running")
 
-    def __init__(self, nClasses: int = 10, layers: list[int] | str = (32,), learningRate: float = 0.001, batchSize: int = 64, l2: float = 5e-4, seed: int = 1234, label_offset: int = 0):
-        self.classes, self.layers = int(nClasses), [int(v) for v in (json.loads(layers) if isinstance(layers, str) else layers)]
+    def __init__(self, nClasses: int = 10, layers: list | dict | str = (32,), learningRate: float = 0.001, batchSize: int = 64, l2: float = 5e-4, seed: int = 1234, label_offset: int = 0, inputShape: list[int] | None = None):
+        self.classes, self.layers = int(nClasses), [*configured(layers), {"type": "dense", "size": int(nClasses), "relu": False}]
+        for layer, after in zip(self.layers, [*self.layers[1:], {}]):
+            layer.setdefault("relu", layer["type"] in ("dense", "conv") and after.get("type") != "norm" or layer["type"] == "norm")
         self.learningRate, self.batch, self.l2, self.seed, self.offset = float(learningRate), int(batchSize), float(l2), int(seed), int(label_offset)
+        self.shape = tuple(inputShape) if inputShape else None
         self.p: list[np.ndarray] | None = None
+        self.running: list[np.ndarray] = []
         self.held: list[tuple[list[float], float]] = []
         self.t = 0
 
     def grow(self, x: list[float]) -> None:
-        if self.p is None:
-            rng, sizes = np.random.default_rng(self.seed), [len(x), *self.layers, self.classes]
-            self.p = []
-            for a, b in zip(sizes, sizes[1:]):
-                self.p += [rng.normal(0, math.sqrt(2.0 / (a + b)), (a, b)), np.zeros(b)]
-            self.m, self.v = [np.zeros_like(q) for q in self.p], [np.zeros_like(q) for q in self.p]
-
-    def forward(self, x: np.ndarray) -> list[np.ndarray]:
-        out = [x]
-        for k in range(0, len(self.p), 2):
-            z = out[-1] @ self.p[k] + self.p[k + 1]
-            out.append(np.maximum(z, 0) if k + 2 < len(self.p) else z)
-        e = np.exp(out[-1] - out[-1].max(1, keepdims=True))
-        out[-1] = e / e.sum(1, keepdims=True)
-        return out
+        if self.p is not None:
+            return
+        rng, shape = np.random.default_rng(self.seed), self.shape or (len(x),)
+        if math.prod(shape) != len(x):
+            raise ValueError(f"a point has {len(x)} features, the network takes {math.prod(shape)}")
+        self.p, self.running = [], []
+        for layer in self.layers:
+            if layer["type"] in ("conv", "pool"):
+                if len(shape) != 3:
+                    raise ValueError(f"{layer['type']} needs an input of height, width and channels")
+                size = int(layer.get("kernel", 5 if layer["type"] == "conv" else 2))
+                stride = int(layer.get("stride", 1 if layer["type"] == "conv" else size))
+                layer["kernel"], layer["stride"] = size, stride
+                over = tuple((n - size) // stride + 1 for n in shape[:2])
+                if min(over) < 1:
+                    raise ValueError(f"an input of {shape} is too small for {layer['type']}")
+                if layer["type"] == "conv":
+                    ins, outs = size * size * shape[2], int(layer["filters"])
+                    self.p += [rng.normal(0, math.sqrt(2.0 / (ins + outs)), (ins, outs)), np.zeros(outs)]
+                    shape = (*over, outs)
+                else:
+                    shape = (*over, shape[2])
+            elif layer["type"] == "dense":
+                ins, outs = math.prod(shape), int(layer["size"])
+                self.p += [rng.normal(0, math.sqrt(2.0 / (ins + outs)), (ins, outs)), np.zeros(outs)]
+                shape = (outs,)
+            elif layer["type"] == "norm":
+                self.p += [np.ones(shape[-1]), np.zeros(shape[-1])]
+                self.running += [np.zeros(shape[-1]), np.ones(shape[-1])]
+        self.m, self.v = [np.zeros_like(q) for q in self.p], [np.zeros_like(q) for q in self.p]
+
+    def forward(self, x: np.ndarray, train: bool = False) -> tuple[np.ndarray, list[tuple]]:
+        """Class probabilities, and what each layer needs to go back."""
+        x, k, r, kept = x.reshape(len(x), *(self.shape or x.shape[1:])), 0, 0, []
+        rng = np.random.default_rng((self.seed, self.t))
+        for layer in self.layers:
+            kind, before = layer["type"], x
+            if kind == "dense":
+                note = x.reshape(len(x), -1)
+                x = note @ self.p[k] + self.p[k + 1]
+            elif kind == "conv":
+                cut = cut_patches(x, layer["kernel"], layer["stride"])
+                note = cut.reshape(*cut.shape[:3], -1)
+                x = note @ self.p[k] + self.p[k + 1]
+            elif kind == "pool":
+                cut = cut_patches(x, layer["kernel"], layer["stride"])
+                flat = cut.reshape(*cut.shape[:3], -1, cut.shape[-1])
+                note = flat.argmax(3)
+                x = flat.max(3)
+            elif kind == "norm":
+                axes = tuple(range(x.ndim - 1))
+                if train:
+                    mean, var = x.mean(axes), x.var(axes)
+                    self.running[r], self.running[r + 1] = 0.9 * self.running[r] + 0.1 * mean, 0.9 * self.running[r + 1] + 0.1 * var
+                else:
+                    mean, var = self.running[r], self.running[r + 1]
+                r += 2
+                scale = 1 / np.sqrt(var + 1e-5)
+                note = ((x - mean) * scale, scale)
+                x = note[0] * self.p[k] + self.p[k + 1]
+            else:
+                rate = float(layer.get("rate", 0.5))
+                note = (rng.random(x.shape) >= rate) / (1 - rate) if train else np.ones(x.shape)
+                x = x * note
+            kept.append((before.shape, note, k, x > 0 if layer["relu"] else None))
+            x = np.maximum(x, 0) if layer["relu"] else x
+            k += 2 * (kind in ("dense", "conv", "norm"))
+        e = np.exp(x - x.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True), kept
+
+    def gradients(self, delta: np.ndarray, kept: list[tuple]) -> list[np.ndarray]:
+        """Of all parameters, from the loss's gradient before the softmax; weights with their L2 part."""
+        grads: list[np.ndarray] = [None] * len(self.p)
+        for layer, (shape, note, k, positive) in zip(self.layers[::-1], kept[::-1]):
+            kind = layer["type"]
+            delta = delta if positive is None else delta * positive
+            if kind == "dense":
+                grads[k], grads[k + 1] = note.T @ delta + self.l2 * self.p[k], delta.sum(0)
+                delta = (delta @ self.p[k].T).reshape(shape)
+            elif kind == "norm":
+                normal, scale = note
+                axes, n = tuple(range(delta.ndim - 1)), delta.size / delta.shape[-1]
+                grads[k], grads[k + 1] = (delta * normal).sum(axes), delta.sum(axes)
+                delta = self.p[k] * scale * (delta - grads[k + 1] / n - normal * grads[k] / n)
+            elif kind == "dropout":
+                delta = delta * note
+            else:
+                size, stride, back = layer["kernel"], layer["stride"], np.zeros(shape)
+                if kind == "conv":
+                    ins, outs = self.p[k].shape
+                    grads[k], grads[k + 1] = note.reshape(-1, ins).T @ delta.reshape(-1, outs) + self.l2 * self.p[k], delta.reshape(-1, outs).sum(0)
+                    each = (delta @ self.p[k].T).reshape(*delta.shape[:3], size, size, shape[3])
+                else:
+                    each = ((np.arange(size * size)[:, None] == note[..., None, :]) * delta[..., None, :]).reshape(*delta.shape[:3], size, size, shape[3])
+                rows, columns = delta.shape[1:3]
+                for i in range(size):
+                    for j in range(size):
+                        back[:, i : i + rows * stride : stride, j : j + columns * stride : stride] += each[:, :, :, i, j]
+                delta = back
+        return grads
 
     def fit(self, x: list[float], y: float) -> float:
         """0 until a mini-batch is full, then its mean negative log-likelihood."""
@@ -315,25 +470,19 @@ class NN:
             return 0.0
         xs, ys = np.array([p for p, _ in self.held]), np.array([int(q) - self.offset for _, q in self.held])
         self.held = []
-        out = self.forward(xs)
-        loss = float(-np.log(np.maximum(out[-1][np.arange(len(ys)), ys], 1e-12)).mean())
-        delta = out[-1].copy()
+        said, kept = self.forward(xs, True)
+        loss = float(-np.log(np.maximum(said[np.arange(len(ys)), ys], 1e-12)).mean())
+        delta = said.copy()
         delta[np.arange(len(ys)), ys] -= 1
-        delta /= len(ys)
-        grads: list[np.ndarray] = [None] * len(self.p)
-        for k in range(len(self.p) - 2, -1, -2):
-            grads[k], grads[k + 1] = out[k // 2].T @ delta + self.l2 * self.p[k], delta.sum(0)
-            if k:
-                delta = (delta @ self.p[k].T) * (out[k // 2] > 0)
         self.t += 1
-        for k, g in enumerate(grads):
+        for k, g in enumerate(self.gradients(delta / len(ys), kept)):
             self.m[k] = 0.9 * self.m[k] + 0.1 * g
             self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
             self.p[k] = self.p[k] - self.learningRate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
         return loss
 
     def predict(self, x: list[float]) -> float:
-        return UNFITTED if self.p is None else float(self.forward(np.array([x]))[-1].argmax() + self.offset)
+        return UNFITTED if self.p is None else float(self.forward(np.array([x]))[0].argmax() + self.offset)
 
     def get(self) -> list[float]:
         return [] if self.p is None else np.concatenate([q.ravel() for q in self.p]).tolist()

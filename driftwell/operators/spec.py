@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -24,6 +27,27 @@ PREPROCESSORS = {
 }
 
 
+def _bounds(h: dict, n: int) -> list[tuple[float, float]]:
+    lo, hi = h.get("min", 0.0), h.get("max", 255.0)
+    return list(zip(lo, hi)) if isinstance(lo, list) else [(float(lo), float(hi))] * n
+
+
+def _powers(x: list[float], degree: int) -> list[float]:
+    out = list(x)
+    for _ in range(degree - 1):
+        out += [a * f for a in out for f in x]
+    return out
+
+
+#: The same for one point, in a fold.
+ROWS: dict[str, Callable[[list[float], dict], list[float]]] = {
+    "MinMaxScaler": lambda x, h: [(v - a) / (b - a) for v, (a, b) in zip(x, _bounds(h, len(x)))],
+    "PolynomialFeatures": lambda x, h: _powers(x, int(h.get("degree", 2))),
+    "FeatureFilter": lambda x, h: [v for k, v in enumerate(x) if k not in {int(i) for i in h.get("numeric", [])}],
+    "StandardScaler": lambda x, h: [(v - m) / math.sqrt(s) for v, m, s in zip(x, h["mean"], h["variance"])],
+}
+
+
 @dataclass(frozen=True)
 class LearnerSpec:
     name: str
@@ -45,8 +69,61 @@ class PreprocessorSpec:
     def __post_init__(self):
         if self.name not in PREPROCESSORS:
             raise ValueError(f"unknown preprocessor {self.name}")
-        if self.name == "StandardScaler" and not {"mean", "variance"} <= self.hyper.keys():
-            raise ValueError("a fixed StandardScaler needs mean and variance; see transforms for one that learns")
+        if self.name == "StandardScaler" and not self.learns and not {"mean", "variance"} <= self.hyper.keys():
+            raise ValueError("a StandardScaler that doesn't learn needs mean and variance")
+
+    @property
+    def learns(self) -> bool:
+        """A StandardScaler learns unless it is told not to (learn: false) or has fixed statistics."""
+        return self.name == "StandardScaler" and self.hyper.get("learn", "mean" not in self.hyper)
+
+
+class Pipeline:
+    """Preprocessors and a learner as one learner: each point goes through the preprocessors, of which those that learn
+    learn from it first, and then to the learner.  Predictions teach nothing."""
+
+    def __init__(self, spec: PipelineSpec):
+        self.spec, self.learner = spec, spec.learner.make()
+        self.scalers = {k: transforms.Scaler(**{n: v for n, v in p.hyper.items() if n in ("learn", "mean", "variance", "count", "flat")}) for k, p in enumerate(spec.preprocessors) if p.learns}
+        self.parallel = self.learner.parallel
+
+    def through(self, x: list[float], train: bool) -> list[float]:
+        for k, p in enumerate(self.spec.preprocessors):
+            if k in self.scalers:
+                x = self.scalers[k].train(x) if train else self.scalers[k].transform(x)
+            else:
+                x = ROWS[p.name](x, p.hyper)
+        return x
+
+    def fit(self, x: list[float], y: float) -> float:
+        return self.learner.fit(self.through(x, True), y)
+
+    def predict(self, x: list[float]) -> float:
+        return self.learner.predict(self.through(x, False))
+
+    def freeze(self) -> None:
+        for s in self.scalers.values():
+            s.freeze()
+
+    def get(self) -> list[float]:
+        return self.learner.get()
+
+    def set(self, values: list[float]) -> None:
+        self.learner.set(values)
+
+    def state(self) -> str:
+        return json.dumps([self.learner.state(), {k: s.state() for k, s in self.scalers.items()}])
+
+    def restore(self, text: str) -> None:
+        learner, scalers = json.loads(text)
+        self.learner.restore(learner)
+        for k, s in scalers.items():
+            self.scalers[int(k)].restore(s)
+
+    def merge(self, other: Pipeline) -> Pipeline:
+        """When workers are put together: the other's learner and preprocessors are taken over (of several, the last's)."""
+        self.restore(other.state())
+        return self
 
 
 @dataclass(frozen=True)
@@ -114,7 +191,17 @@ class PipelineSpec:
     def describe(self) -> dict:
         return {"learner": {"name": self.learner.name, "hyper": dict(self.learner.hyper)}, "preprocessors": [{"name": p.name, "hyper": dict(p.hyper)} for p in self.preprocessors], "training": {"protocol": self.protocol.name, "workers": self.protocol.workers}}
 
+    def make(self) -> Pipeline:
+        return Pipeline(self)
+
+    @property
+    def learning(self) -> bool:
+        return any(p.learns for p in self.preprocessors)
+
     def transform(self, x: Column) -> Column:
+        """As a column expression, which only preprocessors that don't learn have."""
+        if self.learning:
+            raise ValueError("a preprocessor that learns needs the fold of make()")
         for p in self.preprocessors:
             x = PREPROCESSORS[p.name](x, p.hyper)
         return x

@@ -51,12 +51,20 @@ def log_density(x: Column, mean: Column, variance: Column) -> Column:
     return F.when(variance > 0, spread).when(x == mean, 0.0).otherwise(-1e9)
 
 
-def naive_bayes(cells: DataFrame, stats: DataFrame, distribution: DataFrame, key: list[str]) -> DataFrame:
-    """Most likely class of each point; stats and distribution have a row per (attribute and) class."""
-    model = stats.join(distribution.select("class", F.col("fraction").alias("prior")), "class")
-    scored = cells.drop("class").join(F.broadcast(model), "attr").select(*key, "class", "prior", log_density(F.col("value"), F.col("mean"), F.col("variance")).alias("ll"))
-    by = scored.groupBy(*key, "class", "prior").agg(F.sum("ll").alias("ll")).withColumn("score", F.log("prior") + F.col("ll"))
-    return by.groupBy(*key).agg(F.max_by("class", F.struct("score", (-F.col("class")).alias("c"))).alias("predicted"))
+def naive_bayes(attributes: dict[str, Column], stats: DataFrame, distribution: DataFrame) -> Column:
+    """The most likely class of a row, of equally likely ones the smallest, as an expression over the row alone.
+
+    stats and distribution have a row per (attribute and) class; they are the model (its size doesn't follow the rows),
+    are collected and become literals, so that no row is exploded, joined or shuffled.  Without any the result is null."""
+    known = {(r["attr"], r["class"]): r for r in stats.select("attr", "class", "mean", "variance").collect()}
+    each = []
+    for r in distribution.select("class", "fraction").orderBy("class").collect():
+        score = F.lit(math.log(r["fraction"]))
+        for a, x in attributes.items():
+            if (s := known.get((a, r["class"]))) is not None:
+                score = score + log_density(x.cast("double"), F.lit(float(s["mean"])), F.lit(float(s["variance"])))
+        each.append(F.struct(score.alias("score"), F.lit(-r["class"]).alias("c")))
+    return -F.array_max(F.array(*each))["c"] if each else F.lit(None).cast("int")
 
 
 def candidates(stats: DataFrame, splits: int = 10) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Preprocessors as column expressions and running windows."""
+"""Preprocessors: as column expressions and running windows, and one that learns point by point within a pipeline."""
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +74,79 @@ def merge_states(states: DataFrame) -> DataFrame:
     some = states.where("count > 0")
     total = some.agg(F.sum("count").alias("count"), (F.sum(F.col("mean") * F.col("count")) / F.sum("count")).alias("mean"), F.sum(F.col("d") + F.col("mean") * F.col("mean") * F.col("count")).alias("raw"))
     return total.select("count", "mean", (F.col("raw") - F.col("mean") * F.col("mean") * F.col("count")).alias("d"))
+
+
+def vector_state(df: DataFrame, x: Column, dims: int) -> DataFrame:
+    """count, mean and d (arrays) of a vector column over all rows: one aggregate, one row."""
+    each = [x[k] for k in range(dims)]
+    return df.agg(F.count(F.lit(1)).alias("count"), F.array(*[F.avg(v) for v in each]).alias("mean"), F.array(*[F.var_pop(v) * F.count(v) for v in each]).alias("d"))
+
+
+def scale_vectors(df: DataFrame, x: str, dims: int, state: DataFrame | None = None) -> DataFrame:
+    """Adds scaled: (x - mean) / deviation for each feature, by all rows or by a given state; a feature that never varies
+    gives NaN where it equals its mean and an infinity elsewhere; one row alone is left as it is."""
+    state = vector_state(df, F.col(x), dims) if state is None else state
+    rows = df.join(F.broadcast(state.limit(1)))
+    deviation = F.transform("d", lambda v: F.sqrt(v / F.col("count")))
+    gaps = F.zip_with(F.col(x), F.col("mean"), lambda a, m: a - m)
+    z = F.zip_with(gaps, deviation, lambda g, s: F.when(s > 0, g / s).when(g > 0, float("inf")).when(g < 0, float("-inf")).otherwise(float("nan")))
+    return rows.withColumn("scaled", F.when(F.col("count") <= 1, F.col(x)).otherwise(z)).drop("count", "mean", "d")
+
+
+class Scaler:
+    """A standard scaler that learns from each point before it scales it, until it is frozen.  Mean and squared deviations
+    of each feature; the first point is left as it is.  A feature that hasn't varied gives NaN or an infinity, or
+    ``flat`` where that is given."""
+
+    def __init__(self, learn: bool = True, mean: list[float] | None = None, variance: list[float] | None = None, count: int = 0, flat: float | None = None):
+        if (variance is None) != (count == 0):
+            raise ValueError("variance and count go together")
+        self.learn, self.flat, self.count = bool(learn), flat, int(count)
+        self.mean = list(mean) if mean is not None else None
+        self.d = [v * count for v in variance] if variance is not None else None
+
+    def freeze(self) -> None:
+        self.learn = False
+
+    def thaw(self) -> None:
+        self.learn = True
+
+    def fit(self, x: list[float]) -> None:
+        if self.mean is None or len(self.mean) != len(x):
+            self.mean, self.d, self.count = [0.0] * len(x), [0.0] * len(x), 0
+        self.count += 1
+        mean = [m + (v - m) / self.count for m, v in zip(self.mean, x)]
+        self.d = [d + (v - new) * (v - old) for d, v, new, old in zip(self.d, x, mean, self.mean)]
+        self.mean = mean
+
+    def transform(self, x: list[float]) -> list[float]:
+        if self.count <= 1:
+            return list(x)
+        out = []
+        for v, m, d in zip(x, self.mean, self.d):
+            if d > 0:
+                out.append((v - m) / math.sqrt(d / self.count))
+            else:
+                out.append(self.flat if self.flat is not None else math.nan if v == m else math.copysign(math.inf, v - m))
+        return out
+
+    def train(self, x: list[float]) -> list[float]:
+        if self.learn:
+            self.fit(x)
+        return self.transform(x)
+
+    def merge(self, others: list[Scaler]) -> Scaler:
+        """The scaler of all points that any of them has seen."""
+        out = Scaler(self.learn, flat=self.flat)
+        seen = [s for s in (self, *others) if s.count]
+        if seen:
+            out.count = sum(s.count for s in seen)
+            out.mean = [sum(s.mean[k] * s.count for s in seen) / out.count for k in range(len(seen[0].mean))]
+            out.d = [sum(s.d[k] + s.count * (s.mean[k] - m) ** 2 for s in seen) for k, m in enumerate(out.mean)]
+        return out
+
+    def state(self) -> str:
+        return json.dumps([self.learn, self.mean, self.d, self.count])
+
+    def restore(self, text: str) -> None:
+        self.learn, self.mean, self.d, self.count = json.loads(text)

@@ -60,6 +60,7 @@ class Leaf:
         self.n = self.errors = 0
         self.inherited, self.share = majority, share
         self.active = True
+        self.dropped: set[int] = set()
         self.stats: list[dict] = [{} for _ in range(attributes)]
         self.low, self.high = [math.inf] * attributes, [-math.inf] * attributes
 
@@ -76,6 +77,8 @@ class Leaf:
         self.n += 1
         if self.active:
             for a, v in enumerate(x):
+                if a in self.dropped:
+                    continue
                 self.low[a], self.high[a] = min(self.low[a], v), max(self.high[a], v)
                 if self.discrete:
                     by = self.stats[a].setdefault(v, {})
@@ -84,8 +87,20 @@ class Leaf:
                     self.stats[a].setdefault(y, Gaussian()).add(v)
 
     def deactivate(self) -> None:
+        """Statistics of attributes go, class counts stay."""
         self.active, self.stats = False, [{} for _ in range(self.attributes)]
 
+    def activate(self) -> None:
+        """Statistics are gathered again, from nothing."""
+        if not self.active:
+            self.active = True
+            self.low, self.high = [math.inf] * self.attributes, [-math.inf] * self.attributes
+
+    def drop(self, a: int) -> None:
+        """Attribute a is neither counted nor split on nor judged by any more."""
+        self.dropped.add(a)
+        self.stats[a] = {}
+
     def candidates(self, a: int, splits: int) -> list[float]:
         if self.discrete:
             return sorted(self.stats[a])[:-1]
@@ -110,6 +125,8 @@ class Leaf:
         whole, out = entropy(list(self.counts.values())), []
         for a in range(self.attributes):
             best = (-math.inf, a, math.nan)
+            if a in self.dropped:
+                continue
             for at in self.candidates(a, splits):
                 left, right = self.sides(a, at)
                 l, r = sum(left.values()), sum(right.values())
@@ -127,6 +144,8 @@ class Leaf:
         for c, k in self.counts.items():
             p = k / self.n
             for a, v in enumerate(x):
+                if a in self.dropped:
+                    continue
                 p *= self.stats[a].get(v, {}).get(c, 0) / k if self.discrete else self.stats[a][c].density(v) if c in self.stats[a] else 0.0
             if p > score:
                 best, score = c, p
@@ -162,7 +181,7 @@ class HT:
         loss = float(leaf.predict(x)[0] != y)
         leaf.add(x, y)
         if leaf.active and leaf.n % self.n_min == 0 and len(leaf.counts) > 1:
-            gains = leaf.gains(self.splits)
+            gains = leaf.gains(self.splits) or [(0.0, 0, math.nan)]
             second = gains[1][0] if len(gains) > 1 and gains[1][0] > -math.inf else 0.0
             eps = bound(math.log2(max(self.classes, len(leaf.counts))), self.delta, leaf.n)
             if gains[0][0] > 0 and (gains[0][0] - second > eps or eps < self.tau):
@@ -177,6 +196,7 @@ class HT:
         for counts in leaf.sides(a, at):
             best = max(counts, key=counts.get)
             children.append(Leaf(leaf.attributes, self.discrete, leaf.height + 1, best, counts[best] / max(1e-12, sum(counts.values()))))
+            children[-1].dropped = set(leaf.dropped)
         node = [a, at, *children, leaf.height]
         if parent is None:
             self.root = node
@@ -194,12 +214,19 @@ class HT:
         return out
 
     def limit(self) -> None:
-        """Within the byte budget the leaves with the most errors stay active."""
-        left = self.max_bytes
-        for leaf in sorted(self.leaves(), key=lambda f: -f.errors):
-            left -= leaf.bytes()
-            if left < 0 and leaf.active:
+        """Within the byte budget the leaves with the most errors stay active, or become so again; an inactive one is
+        taken to grow to the mean size of the active."""
+        leaves = sorted(self.leaves(), key=lambda f: -f.errors)
+        sizes = [f.bytes() for f in leaves if f.active]
+        mean, left = sum(sizes) / max(1, len(sizes)), self.max_bytes
+        if sum(sizes) <= left and len(sizes) == len(leaves):
+            return
+        for leaf in leaves:
+            left -= leaf.bytes() if leaf.active else max(mean, leaf.bytes())
+            if left < 0:
                 leaf.deactivate()
+            else:
+                leaf.activate()
 
     def predict(self, x: list[float]) -> float:
         got = self.route(x)[0].predict(x)[0] if self.root is not None else None
@@ -223,7 +250,7 @@ class HT:
             stats = [[[k, v if self.discrete else [v.n, v.mean, v.d]] for k, v in s.items()] for s in f.stats]
             if self.discrete:
                 stats = [[[k, list(v.items())] for k, v in s.items()] for s in f.stats]
-            return {"counts": list(f.counts.items()), "n": f.n, "errors": f.errors, "height": f.height, "inherited": f.inherited, "share": f.share, "active": f.active, "stats": stats, "low": f.low, "high": f.high}
+            return {"counts": list(f.counts.items()), "n": f.n, "errors": f.errors, "height": f.height, "inherited": f.inherited, "share": f.share, "active": f.active, "dropped": sorted(f.dropped), "stats": stats, "low": f.low, "high": f.high}
 
         def walk(node):
             return {"leaf": leaf(node)} if isinstance(node, Leaf) else {"a": node[0], "at": node[1], "left": walk(node[2]), "right": walk(node[3]), "height": node[4]}
@@ -231,6 +258,20 @@ class HT:
         hyper = {"n_min": self.n_min, "tau": self.tau, "delta": self.delta, "splits": self.splits, "discrete": self.discrete, "classes": self.classes, "mem_period": self.mem_period, "maxByteSize": self.max_bytes}
         return json.dumps({"hyper": hyper, "seen": self.seen, "root": None if self.root is None else walk(self.root)})
 
+    def state(self) -> str:
+        return self.dump()
+
+    def restore(self, text: str) -> None:
+        self.__dict__.update(HT.load(text).__dict__)
+
+    def get(self) -> list[float]:
+        """A tree isn't a list of numbers: it goes as its state."""
+        return []
+
+    def set(self, values: list[float]) -> None:
+        if values:
+            raise ValueError("a tree can't be averaged")
+
     @classmethod
     def load(cls, text: str) -> HT:
         spec = json.loads(text)
@@ -243,6 +284,7 @@ class HT:
             f = d["leaf"]
             leaf = Leaf(len(f["stats"]), tree.discrete, f["height"], f["inherited"], f["share"])
             leaf.counts, leaf.n, leaf.errors, leaf.active, leaf.low, leaf.high = dict(map(tuple, f["counts"])), f["n"], f["errors"], f["active"], f["low"], f["high"]
+            leaf.dropped = set(f.get("dropped", ()))
             leaf.stats = [{k: dict(map(tuple, v)) if tree.discrete else Gaussian(*v) for k, v in s} for s in f["stats"]]
             return leaf
 

@@ -2,19 +2,31 @@
 
 Workers' interleaving is fixed: rounds in order, within a round workers in order, within a worker rows in order.  In the
 first round only worker 0 trains; its model then starts all others.  A block that isn't full at the end of the data is
-learned from locally and never merged.  The simulation is one streaming pass, in one task, that holds one model a
-worker; workers in parallel are in streaming/online.py alone, by micro-batches.
+learned from locally and never merged.
+
+Workers run in parallel: each is a task of a barrier stage that folds its own rows and, after each block, gathers the
+models of all (no rows) through the first worker's task.  If a task is lost, Spark begins the stage again.  Every task goes through the same pushes in the order of workers, so all know the hub's
+state.  Where a push changes the model that a later worker should have begun its block with, that worker does its block
+again.  With fewer task slots than workers the same is simulated by one streaming pass in one task, which holds one
+model a worker; both give the same results.
 """
 
 from __future__ import annotations
 
 import copy
+import json
 import math
+import secrets
+import socket
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.spec import LearnerSpec, ProtocolSpec
+from ..sources.tables import shared_dir
 from .fold import fold
 
 LABELS = {"Asynchronous": "AsynchronousAveraging", "Synchronous": "SynchronousAveraging", "SSP": "StaleSynchronousParallel", "EASGD": "ElasticAveragingSGD", "Centralized": "Centralized", "CentralizedTraining": "SingleLearner", "GM": "GM", "FGM": "FGM"}
@@ -46,6 +58,11 @@ def message_bytes(parameters: int, loss: bool = True) -> int:
     return 8 * parameters + 16 + 8 + (8 if loss else 0)
 
 
+def sparse_message_bytes(parameters: int, zeros: int, loss: bool = True) -> int:
+    """The same where zeros are left out: 8 bytes for each other parameter, 4 for its position, and 4 for the size."""
+    return 12 * (parameters - zeros) + 4 + 16 + 8 + (8 if loss else 0)
+
+
 class Simulation:
     def __init__(self, spec: LearnerSpec, protocol: ProtocolSpec):
         self.spec, self.p = spec, protocol
@@ -62,41 +79,51 @@ class Simulation:
 
     # Accounting of models that go over the wire.
     def ship(self, times: int = 1) -> None:
-        slices = buckets(len(self.global_) or len(self.local[0].get()), 1, self.p.max_message)
+        slices = buckets(len(self.global_), 1, self.p.max_message)
         self.models += times
         self.blocks += times * len(slices)
         self.bytes += times * sum(message_bytes(b - a + 1) for _, a, b in slices)
 
-    def install(self, k: int, values: list[float]) -> None:
+    def params(self, k: int) -> list[float]:
+        return self.local[k].get()
+
+    def put(self, k: int, values: list[float]) -> None:
         if self.local[k].get() and len(self.local[k].get()) == len(values):
             self.local[k].set(values)
         else:
             self.local[k] = copy.deepcopy(self.local[0])
             self.local[k].set(values)
+
+    def install(self, k: int, values: list[float]) -> None:
+        self.put(k, values)
         self.base[k] = list(values)
 
     def row(self, round_: int, worker: int, x: list[float], y: float):
         if round_ != self.round:
             self.close()
             self.round = round_
-        loss = self.local[worker].fit(x, y)
-        self.loss += loss
-        self.fitted += 1
-        self.block_loss[worker] += loss
+        self.block_loss[worker] += self.local[worker].fit(x, y)
         self.in_block[worker] += 1
         if self.in_block[worker] == self.p.block:
-            self.clock[worker] += 1
-            self.in_block[worker] = 0
-            self.merged_loss += self.block_loss[worker]
-            self.merged += self.p.block
-            self.block_loss[worker] = 0.0
-            self.push(worker)
+            self.count_in(worker)
         found, self.out = self.out, []
         return found
 
+    def count_in(self, k: int) -> None:
+        """What worker k's block adds, and its push if the block is full."""
+        n, loss = self.in_block[k], self.block_loss[k]
+        self.in_block[k], self.block_loss[k] = 0, 0.0
+        self.fitted += n
+        self.loss += loss
+        if n == self.p.block:
+            self.clock[k] += 1
+            self.merged_loss += loss
+            self.merged += n
+            self.push(k)
+
     def push(self, k: int) -> None:
         name, n = self.p.name, self.p.workers
-        model = self.local[k].get()
+        model = self.params(k)
         if not self.global_:
             # Warm-up: worker 0's first model starts everyone.
             self.global_ = list(model)
@@ -121,7 +148,7 @@ class Simulation:
         elif name == "EASGD":
             a = self.p.elasticity
             d = [w - g for w, g in zip(model, self.global_)]
-            self.local[k].set([w - a * e for w, e in zip(model, d)])
+            self.put(k, [w - a * e for w, e in zip(model, d)])
             self.global_ = [g + a * e for g, e in zip(self.global_, d)]
             self.ship(2)
         else:
@@ -134,7 +161,7 @@ class Simulation:
 
     def average(self) -> None:
         n = self.p.workers
-        models = [m.get() for m in self.local]
+        models = [self.params(j) for j in range(n)]
         self.global_ = [sum(v) / n for v in zip(*models)]
         self.ship(2 * n)
         self.rounds += 1
@@ -149,7 +176,7 @@ class Simulation:
         self.quantum, self.count, self.sent = self.zeta0 / 2, 0, [0] * self.p.workers
 
     def zeta(self, k: int) -> float:
-        return safe_zone(self.local[k].get(), self.base[k], self.p.threshold)
+        return safe_zone(self.params(k), self.base[k], self.p.threshold)
 
     def increment(self, k: int) -> None:
         now = max(0, math.floor((self.zeta0 - self.zeta(k)) / self.quantum)) if self.quantum > 0 else 0
@@ -167,15 +194,83 @@ class Simulation:
     def close(self) -> None:
         """The end of a round: geometric monitoring averages if any model left its ball."""
         if self.p.name == "GM" and self.ready and self.global_:
-            if any(distance(self.local[k].get(), self.base[k]) ** 2 > self.p.radius for k in sorted(self.ready)):
+            if any(distance(self.params(k), self.base[k]) ** 2 > self.p.radius for k in sorted(self.ready)):
                 self.average()
         self.ready.clear()
 
     def end(self):
         self.close()
+        for k in range(self.p.workers):
+            if self.in_block[k]:
+                self.count_in(k)
         return self.out
 
 
+class Rounds(Simulation):
+    """One worker's part of a run in parallel: its own learner, and what all pushes made of the hub and of the others'
+    parameters.  gather(message) gives every worker's message, in order of workers."""
+
+    def __init__(self, spec: LearnerSpec, protocol: ProtocolSpec, me: int, gather: Callable[[str], list[str]]):
+        super().__init__(spec, protocol)
+        self.me, self.gather = me, gather
+        self.mine, self.known = self.local[me], [m.get() for m in self.local]
+        self.local = []
+        self.changed: set[int] = set()
+        self.first_state = ""
+
+    def params(self, k: int) -> list[float]:
+        return self.known[k]
+
+    def put(self, k: int, values: list[float]) -> None:
+        self.known[k] = list(values)
+        self.changed.add(k)
+        if k == self.me:
+            self.take(values)
+
+    def take(self, values: list[float]) -> None:
+        have = self.mine.get()
+        if not have or len(have) != len(values):
+            self.mine.restore(self.first_state)
+        self.mine.set(values)
+
+    def learn(self, block: list[tuple]) -> float:
+        loss = 0.0
+        for x, y in block:
+            loss += self.mine.fit(x, y)
+        return loss
+
+    def run(self, blocks: Iterator[list[tuple]]) -> Iterator[tuple]:
+        """blocks: this worker's points.  Rows of what is pushed, the same for every worker."""
+        n, last = self.p.workers, False
+        self.round = 0
+        while not last:
+            block = next(blocks, []) if self.round or self.me == 0 else []
+            # Until there is a model at the hub, and with zones, a push may change what later workers begin with.
+            before = self.mine.state() if not self.global_ or self.p.name == "FGM" else None
+            loss, at, again = self.learn(block), 0, True
+            while again:
+                said = {"n": len(block), "loss": loss, "params": self.mine.get(), "state": self.mine.state() if self.me == 0 and not self.global_ else ""}
+                heard = [json.loads(m) for m in self.gather(json.dumps(said))]
+                last, again = not any(m["n"] for m in heard) and self.round > 0, False
+                self.first_state = heard[0]["state"] or self.first_state
+                for k in range(at, n):
+                    if not heard[k]["n"]:
+                        continue
+                    self.known[k], self.in_block[k], self.block_loss[k], self.changed = heard[k]["params"], heard[k]["n"], heard[k]["loss"], set()
+                    self.count_in(k)
+                    if any(j > k and heard[j]["n"] for j in self.changed):
+                        at, again = k + 1, True
+                        break
+                if again and self.me >= at and block:
+                    self.mine.restore(before)
+                    self.take(self.known[self.me])
+                    loss = self.learn(block)
+            yield from self.out
+            self.out = []
+            self.close()
+            self.round += 1
+
+
 class Final(Simulation):
     """Only the result: the global model's parameters with the run's statistics on each row."""
 
@@ -184,9 +279,7 @@ class Final(Simulation):
 
     def end(self):
         super().end()
-        values = self.global_ or self.local[0].get()
-        stats = (self.fitted, self.loss, self.models, self.bytes, self.blocks, self.rounds, self.subrounds)
-        return [(k, v, *stats) for k, v in enumerate(values)]
+        return final(self)
 
 
 FINAL = "pos int, value double, fitted bigint, loss double, models_shipped bigint, bytes_shipped bigint, blocks bigint, rounds bigint, subrounds bigint"
@@ -200,11 +293,115 @@ def rounds(df: DataFrame, order: list[str], protocol: ProtocolSpec) -> DataFrame
     return df.withColumn("round", (F.floor(F.col("rn") / protocol.block) + late).cast("int"))
 
 
-def train(df: DataFrame, spec: LearnerSpec, protocol: ProtocolSpec, order: list[str]) -> DataFrame:
-    """df: worker, numeric, label and the order's columns.  The global model and the statistics of the run."""
+def in_parallel(df: DataFrame, spec: LearnerSpec, protocol: ProtocolSpec, order: list[str], result: Callable[[Rounds, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """A task a worker, all at once; the first one's results are kept (all have the same).  They are written to the shared
+    folder, since a barrier stage can't be part of a union or be read in part."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    n, block, arrow = protocol.workers, protocol.block, to_arrow_schema(_parse_datatype_string(schema))
+    rows = df.where(F.col("worker").between(0, n - 1)).repartitionById(n, F.col("worker")).sortWithinPartitions(*order).select("worker", "numeric", "label")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        me = context.partitionId()
+
+        def blocks() -> Iterator[list[tuple]]:
+            held: list[tuple] = []
+            for batch in batches:
+                for worker, x, y in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    if worker != me:
+                        raise ValueError(f"a row of worker {worker} is with worker {me}")
+                    held.append((x, y))
+                    if len(held) == block:
+                        yield held
+                        held = []
+            if held:
+                yield held
+
+        run = Rounds(spec, protocol, me, meet(context, me, n))
+        found = result(run, list(run.run(blocks())))
+        if me == 0 and found:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], f.type) for k, f in enumerate(arrow)], arrow.names)
+
+    path = f"{shared_dir(df.sparkSession)}/protocol-{uuid.uuid4().hex}"
+    rows.mapInArrow(work, schema, barrier=True).write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def meet(context, me: int, n: int) -> Callable[[str], list[str]]:
+    """A function that gives all tasks of the barrier stage every task's message.  Spark's own gathering takes a second
+    each time, so it only tells where the first task listens (and the word by which it knows the others)."""
+    server = socket.create_server(("", 0), backlog=n) if me == 0 else None
+    told = context.allGather(json.dumps([server.getsockname()[1], secrets.token_hex(16)]) if server else "")
+    port, word = json.loads(told[0])
+    peers: dict[int, socket.socket] = {}
+
+    def send(to: socket.socket, text: str) -> None:
+        data = text.encode()
+        to.sendall(len(data).to_bytes(8, "big") + data)
+
+    def receive(of: socket.socket) -> str:
+        def exactly(size: int) -> bytes:
+            got = bytearray()
+            while len(got) < size:
+                part = of.recv(min(1 << 20, size - len(got)))
+                if not part:
+                    raise ConnectionError("a worker is gone")
+                got += part
+            return bytes(got)
+
+        return exactly(int.from_bytes(exactly(8), "big")).decode()
+
+    if server:
+        while len(peers) < n - 1:
+            peer, _ = server.accept()
+            peer.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+            who, said = json.loads(receive(peer))
+            if secrets.compare_digest(said, word):
+                peers[who] = peer
+            else:
+                peer.close()
+        server.close()
+    else:
+        hub = socket.create_connection((context.getTaskInfos()[0].address.rsplit(":", 1)[0], port))
+        hub.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+        send(hub, json.dumps([me, word]))
+
+    def gather(message: str) -> list[str]:
+        if server is None:
+            send(hub, message)
+            return json.loads(receive(hub))
+        every = [message, *(receive(peers[k]) for k in range(1, n))]
+        for peer in peers.values():
+            send(peer, json.dumps(every))
+        return every
+
+    return gather
+
+
+def slots(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def final(run: Simulation) -> list[tuple]:
+    stats = (run.fitted, run.loss, run.models, run.bytes, run.blocks, run.rounds, run.subrounds)
+    return [(k, v, *stats) for k, v in enumerate(run.global_ or run.params(0))]
+
+
+def train(df: DataFrame, spec: LearnerSpec, protocol: ProtocolSpec, order: list[str], parallel: bool | None = None) -> DataFrame:
+    """df: worker, numeric, label and the order's columns.  The global model and the statistics of the run.
+    parallel: None for as many tasks as workers where there are slots for them."""
+    if parallel or parallel is None and slots(df) >= protocol.workers:
+        return in_parallel(df, spec, protocol, order, lambda run, out: final(run), FINAL)
     return fold(rounds(df, order, protocol), ["round", "worker", "rn"], ["round", "worker", "numeric", "label"], lambda: Final(spec, protocol), FINAL)
 
 
-def curve(df: DataFrame, spec: LearnerSpec, protocol: ProtocolSpec, order: list[str]) -> DataFrame:
+def curve(df: DataFrame, spec: LearnerSpec, protocol: ProtocolSpec, order: list[str], parallel: bool | None = None) -> DataFrame:
     """Mean loss of all merged blocks after each push: round, worker, mean_loss, fitted."""
-    return fold(rounds(df, order, protocol), ["round", "worker", "rn"], ["round", "worker", "numeric", "label"], lambda: Simulation(spec, protocol), "round int, worker int, mean_loss double, fitted bigint")
+    schema = "round int, worker int, mean_loss double, fitted bigint"
+    if parallel or parallel is None and slots(df) >= protocol.workers:
+        return in_parallel(df, spec, protocol, order, lambda run, out: out, schema)
+    return fold(rounds(df, order, protocol), ["round", "worker", "rn"], ["round", "worker", "numeric", "label"], lambda: Simulation(spec, protocol), schema)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import scores, statistics, transforms
+from .operators import scores, statistics, transforms, tree_plan
 from .operators.spec import LearnerSpec, PipelineSpec, PreprocessorSpec, ProtocolSpec
 from .plans import fold, protocols
 from .sources import tables
@@ -20,7 +20,9 @@ SQL: dict[str, str] = {}
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
 X = "l_quantity / 50 AS x1, l_discount * 10 AS x2, l_tax * 12.5::DOUBLE AS x3"
 W, B = [0.5, -0.3, 0.2], -0.1
-CENTERS = [[0.1, -0.1, 0.05, 0.0], [-0.1, 0.1, 0.0, 0.05], [0.0, 0.0, -0.1, 0.1]]
+#: Three centres of as many dimensions as the embeddings have.
+DIMS = 64
+CENTERS = [[((i * 7 + k * 13) % 11 - 5) / 50 for i in range(DIMS)] for k in range(3)]
 
 
 def query(name: str, sql: str | None = None):
@@ -118,6 +120,20 @@ def _(spark, d):
     return transforms.scale_prequential(table(spark, d, "events").select("event_id", "value"), "value", "event_id").select("event_id", "n", r6("scaled").alias("scaled"))
 
 
+@query("standard_scale_frozen", "WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM events), m AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM r WHERE rn < 300) SELECT event_id, round((value - m) / sd, 6) + 0.0 AS scaled FROM r, m")
+def _(spark, d):
+    """Statistics learned from the first 300 events and then frozen."""
+    rows = tables.numbered(table(spark, d, "events").select("event_id", "value"), ["event_id"])
+    state = transforms.scaler_state(rows.where("rn < 300"), "value")
+    return transforms.scale_batch(rows, "value", state).select("event_id", r6("scaled").alias("scaled"))
+
+
+@query("standard_scale_vectors", "WITH c AS (SELECT vec_id, i - 1 AS pos, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)), m AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM c GROUP BY 1) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((v - m) / sd, 6) + 0.0 AS scaled FROM c JOIN m USING (pos)")
+def _(spark, d):
+    rows = transforms.scale_vectors(tables.embedding_points(spark, d), "numeric", 64)
+    return rows.select("vec_id", F.posexplode("scaled").alias("pos", "v")).select("vec_id", "pos", r6("v").alias("scaled"))
+
+
 @query("running_mean", "SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w + 1.234e-7, 6) + 0.0 AS mean FROM events WINDOW w AS (ORDER BY event_id)")
 def _(spark, d):
     return transforms.running(table(spark, d, "events").select("event_id", "value"), "value", "event_id").select("event_id", "n", r6(F.col("mean") + 1.234e-7).alias("mean"))  # off the ties of means of cents
@@ -143,6 +159,14 @@ def _(spark, d):
     return _spread(_raw(spark, d), V.without(F.col("numeric"), [1]), 2)
 
 
+@query("feature_filter_record", "SELECT event_id, round(value / 2, 6) + 0.0 AS n0, CAST(user_id % 5 AS DOUBLE) AS d0, event_type AS c0 FROM events")
+def _(spark, d):
+    """Positions dropped from the numeric, the discrete and the categorical vector of a point."""
+    rows = tables.points(table(spark, d, "events"), [F.col("value"), F.col("value") / 2], discrete=[F.pmod("user_id", F.lit(3)), F.pmod("user_id", F.lit(5))], categorical=[F.col("props"), F.col("event_type"), F.col("props")], keep=["event_id"])
+    rows = tables.without_features(rows, numeric=[0], discrete=[0], categorical=[0, 2])
+    return rows.select("event_id", r6(F.col("numeric")[0]).alias("n0"), F.col("discrete")[0].alias("d0"), F.col("categorical")[0].alias("c0"))
+
+
 @query("pipeline_transform", f"SELECT {KEY}, round((l_quantity - 1) / 49 * ((l_quantity - 1) / 49), 6) + 0.0 AS p2, round((l_quantity - 1) / 49 * (l_tax / 0.08::DOUBLE), 6) + 0.0 AS p3 FROM lineitem")
 def _(spark, d):
     spec = PipelineSpec(LearnerSpec("PA"), (PreprocessorSpec("MinMaxScaler", {"min": [1.0, 0.0, 0.0], "max": [50.0, 0.1, 0.08]}), PreprocessorSpec("FeatureFilter", {"numeric": [1]}), PreprocessorSpec("PolynomialFeatures", {"degree": 2})))
@@ -216,54 +240,58 @@ def _(spark, d):
 
 
 # ---- k-means ---------------------------------------------------------------------------------------------------------
-D2 = "list_transform([[0.1, -0.1, 0.05, 0.0], [-0.1, 0.1, 0.0, 0.05], [0.0, 0.0, -0.1, 0.1]]::DOUBLE[][], lambda c: (x[1] - c[1]) ** 2 + (x[2] - c[2]) ** 2 + (x[3] - c[3]) ** 2 + (x[4] - c[4]) ** 2)"
+CENTERS_SQL = "[" + ", ".join(f"list_transform(range(64), lambda i: ((i * 7 + {13 * k}) % 11 - 5) / 50e0)" for k in range(3)) + "]"
+D2 = f"list_transform({CENTERS_SQL}, lambda c: list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) ** 2)))"
 
 
 @query("kmeans_assign", f"SELECT vec_id, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS cluster, round(sqrt(list_min(d)), 6) AS distance FROM (SELECT vec_id, {D2} AS d FROM {EMB})")
 def _(spark, d):
-    rows = tables.embedding_points(spark, d, 4)
+    rows = tables.embedding_points(spark, d)
     return rows.select("vec_id", V.nearest(F.col("numeric"), CENTERS).alias("cluster"), r6(F.array_min(V.distances(F.col("numeric"), CENTERS))).alias("distance"))
 
 
 @query("score_inertia", f"SELECT round(sum(list_min(d)), 6) AS inertia FROM (SELECT {D2} AS d FROM {EMB})")
 def _(spark, d):
-    rows = tables.embedding_points(spark, d, 4).select(F.array_min(V.distances(F.col("numeric"), CENTERS)).alias("m"))
+    rows = tables.embedding_points(spark, d).select(F.array_min(V.distances(F.col("numeric"), CENTERS)).alias("m"))
     return rounded(scores.inertia(rows, F.col("m") * F.col("m")), "inertia")
 
 
 def _kmeans(spark, d, method):
-    rows = tables.embedding_points(spark, d, 2).withColumn("label", F.lit(0.0))
-    spec = LearnerSpec("K-means", {"nClusters": 2, "method": method, "centroids": [[0.1, 0.0], [-0.1, 0.0]]})
+    rows = tables.embedding_points(spark, d).withColumn("label", F.lit(0.0))
+    spec = LearnerSpec("K-means", {"nClusters": 2, "method": method, "centroids": CENTERS[:2]})
     return fold.train(rows, spec, ["vec_id"]).select("pos", r6("value").alias("value"), "fitted", r6("loss").alias("loss"))
 
 
-def _kmeans_sql(rate1: str, rate2: str) -> str:
-    near = "((r.x1 - a.c11) * (r.x1 - a.c11) + (r.x2 - a.c12) * (r.x2 - a.c12)) <= ((r.x1 - a.c21) * (r.x1 - a.c21) + (r.x2 - a.c22) * (r.x2 - a.c22))"
-    d = "least((r.x1 - a.c11) * (r.x1 - a.c11) + (r.x2 - a.c12) * (r.x2 - a.c12), (r.x1 - a.c21) * (r.x1 - a.c21) + (r.x2 - a.c22) * (r.x2 - a.c22))"
-    zero = "c11: 0.1::DOUBLE, c12: 0.0::DOUBLE, c21: -0.1::DOUBLE, c22: 0.0::DOUBLE, n1: 0.0::DOUBLE, n2: 0.0::DOUBLE, loss: 0.0::DOUBLE"
-    step = f"c11: CASE WHEN {near} THEN a.c11 + {rate1.format('r.x1 - a.c11')} ELSE a.c11 END, c12: CASE WHEN {near} THEN a.c12 + {rate1.format('r.x2 - a.c12')} ELSE a.c12 END, c21: CASE WHEN {near} THEN a.c21 ELSE a.c21 + {rate2.format('r.x1 - a.c21')} END, c22: CASE WHEN {near} THEN a.c22 ELSE a.c22 + {rate2.format('r.x2 - a.c22')} END, n1: a.n1 + ({near})::INTEGER, n2: a.n2 + (NOT {near})::INTEGER, loss: a.loss + {d}"
-    return f"WITH l AS (SELECT list({{x1: x[1], x2: x[2], {zero}}} ORDER BY vec_id) AS xs FROM {EMB}), m AS (SELECT list_reduce(xs, lambda a, r: {{x1: r.x1, x2: r.x2, {step}}}, {{x1: 0.0::DOUBLE, x2: 0.0::DOUBLE, {zero}}}) AS m, len(xs) AS fitted FROM l) SELECT CAST(i - 1 AS INTEGER) AS pos, round([m.c11, m.c12, m.c21, m.c22][i], 6) + 0.0 AS value, fitted, round(m.loss, 6) AS loss FROM m, range(1, 5) t(i)"
+def _kmeans_sql(rate: str) -> str:
+    """rate: of the gap, given n, the points that the centroid had before."""
+    d2 = "list_sum(list_transform(range(1, 65), lambda i: (r.x[i] - {c}[i]) * (r.x[i] - {c}[i])))"
+    moved = "CASE WHEN {near} THEN list_transform(range(1, 65), lambda i: {c}[i] + (r.x[i] - {c}[i]) * {rate}) ELSE {c} END"
+    one = moved.format(near="e[1] <= e[2]", c="a.c1", rate=rate.format(n="a.n1"))
+    two = moved.format(near="e[1] > e[2]", c="a.c2", rate=rate.format(n="a.n2"))
+    zero = f"c1: ({CENTERS_SQL})[1], c2: ({CENTERS_SQL})[2], n1: 0e0, n2: 0e0, loss: 0e0"
+    step = f"list_transform([[{d2.format(c='a.c1')}, {d2.format(c='a.c2')}]], lambda e: {{x: r.x, c1: {one}, c2: {two}, n1: a.n1 + (e[1] <= e[2])::INTEGER, n2: a.n2 + (e[1] > e[2])::INTEGER, loss: a.loss + least(e[1], e[2])}})[1]"
+    return f"WITH l AS (SELECT list({{x: x, {zero}}} ORDER BY vec_id) AS xs FROM {EMB}), m AS (SELECT list_reduce(xs, lambda a, r: {step}, {{x: [0e0], {zero}}}) AS m, len(xs) AS fitted FROM l) SELECT CAST(i - 1 AS INTEGER) AS pos, round(list_concat(m.c1, m.c2)[i], 6) + 0.0 AS value, fitted, round(m.loss, 6) AS loss FROM m, range(1, 129) t(i)"
 
 
-@query("kmeans_sequential", _kmeans_sql("({}) / (a.n1 + 1)", "({}) / (a.n2 + 1)"))
+@query("kmeans_sequential", _kmeans_sql("(1e0 / ({n} + 1))"))
 def _(spark, d):
     return _kmeans(spark, d, "sequential")
 
 
-@query("kmeans_forgetful", _kmeans_sql("0.01::DOUBLE * ({})", "0.01::DOUBLE * ({})"))
+@query("kmeans_forgetful", _kmeans_sql("0.01::DOUBLE"))
 def _(spark, d):
     return _kmeans(spark, d, "forgetful")
 
 
 @query("kmeans_init_random")
 def _(spark, d):
-    rows = tables.embedding_points(spark, d, 4).withColumn("label", F.lit(0.0))
+    rows = tables.embedding_points(spark, d).withColumn("label", F.lit(0.0))
     return fold.train(rows, LearnerSpec("K-means", {"nClusters": 3, "initMethod": "random", "seed": 7}), ["vec_id"])
 
 
 @query("kmeans_init_plus_plus")
 def _(spark, d):
-    rows = tables.embedding_points(spark, d, 4).withColumn("label", F.lit(0.0))
+    rows = tables.embedding_points(spark, d).withColumn("label", F.lit(0.0))
     return fold.train(rows, LearnerSpec("K-means", {"nClusters": 3, "initMethod": "kmeans++", "seed": 7}), ["vec_id"])
 
 
@@ -318,6 +346,18 @@ def _(spark, d):
     return out.select("pos", r6("value").alias("value"), "fitted", F.round("loss", 4).alias("loss"))
 
 
+_Z = lambda k: f"CASE WHEN count(*) OVER w <= 1 THEN x{k} WHEN stddev_pop(x{k}) OVER w > 1e-9 THEN (x{k} - avg(x{k}) OVER w) / stddev_pop(x{k}) OVER w ELSE 0e0 END AS x{k}"
+SCALED = f"(SELECT {KEY}, y, {', '.join(map(_Z, (1, 2, 3)))} FROM {LINES} WINDOW w AS (ORDER BY {KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+
+
+@query("pipeline_standard_prequential", fold_sql(HINGE, f"({TAU['PA-II']}) * r.y", source=SCALED).replace("[i], 6) + 0.0 AS value", "[i], 4) + 0.0 AS value").replace("round(m.loss, 4)", "round(m.loss, 1)"))
+def _(spark, d):
+    """A scaler that learns from each point before the learner does, within one pipeline."""
+    spec = PipelineSpec(LearnerSpec("PA"), (PreprocessorSpec("StandardScaler", {"learn": True, "flat": 0.0}),))
+    out = fold.train(lineitem_points(spark, d), spec, LINE_ORDER)
+    return out.select("pos", (F.round("value", 4) + F.lit(0.0)).alias("value"), "fitted", F.round("loss", 1).alias("loss"))
+
+
 @query("learning_curve", fold_sql(HINGE, f"({TAU['PA-II']}) * r.y", curve=256))
 def _(spark, d):
     return rounded(fold.learning_curve(lineitem_points(spark, d), LearnerSpec("PA"), LINE_ORDER), "mean_loss")
@@ -333,16 +373,17 @@ def _(spark, d):
     return rounded(fold.learning_curve(lineitem_points(spark, d, "zero"), LearnerSpec("SVM"), LINE_ORDER, 512), "mean_loss")
 
 
-_SC = "list_transform(range(1, 11), lambda k: r.x[1] * a.w[k][1] + r.x[2] * a.w[k][2] + r.x[3] * a.w[k][3] + r.x[4] * a.w[k][4] + a.w[k][5])"
+_SC = "list_transform(range(1, 11), lambda k: list_sum(list_transform(range(1, 65), lambda i: r.x[i] * a.w[k][i])) + a.w[k][65])"
+_NOUGHT = "list_transform(range(10), lambda k: list_transform(range(65), lambda i: 0e0))"
 _TAU = "(0.5::DOUBLE * (1e0 - (s[r.y] - list_max(s))) / (r.q + 1e0 / (2e0 * 0.01::DOUBLE)))"
-MULTI = f"""WITH l AS (SELECT list({{x: x[1:4], y: CAST(label AS INTEGER) + 1, q: x[1] * x[1] + x[2] * x[2] + x[3] * x[3] + x[4] * x[4] + 1e0, w: list_transform(range(10), lambda k: [0e0, 0e0, 0e0, 0e0, 0e0]), loss: 0e0}} ORDER BY vec_id) AS xs FROM {EMB}),
-m AS (SELECT list_reduce(xs, lambda a, r: list_transform([{_SC}], lambda s: {{x: r.x, y: r.y, q: r.q, w: list_transform(range(1, 11), lambda k: list_transform(range(1, 6), lambda i: CASE WHEN k = r.y THEN a.w[k][i] + {_TAU} * list_append(r.x, 1e0)[i] WHEN k = list_position(s, list_max(s)) THEN a.w[k][i] - {_TAU} * list_append(r.x, 1e0)[i] ELSE a.w[k][i] END)), loss: a.loss + (1e0 - (s[r.y] - list_max(s)))}})[1], {{x: [0e0], y: 1, q: 0e0, w: list_transform(range(10), lambda k: [0e0, 0e0, 0e0, 0e0, 0e0]), loss: 0e0}}) AS m, len(xs) AS fitted FROM l)
-SELECT CAST(i - 1 AS INTEGER) AS pos, round(flatten(m.w)[i], 6) + 0.0 AS value, fitted, round(m.loss, 4) AS loss FROM m, range(1, 51) t(i)"""
+MULTI = f"""WITH l AS (SELECT list({{x: x, y: CAST(label AS INTEGER) + 1, q: list_sum(list_transform(x, lambda v: v * v)) + 1e0, w: {_NOUGHT}, loss: 0e0}} ORDER BY vec_id) AS xs FROM {EMB}),
+m AS (SELECT list_reduce(xs, lambda a, r: list_transform([{_SC}], lambda s: {{x: r.x, y: r.y, q: r.q, w: list_transform(range(1, 11), lambda k: CASE WHEN k = r.y THEN list_transform(range(1, 66), lambda i: a.w[k][i] + {_TAU} * CASE WHEN i < 65 THEN r.x[i] ELSE 1e0 END) WHEN k = list_position(s, list_max(s)) THEN list_transform(range(1, 66), lambda i: a.w[k][i] - {_TAU} * CASE WHEN i < 65 THEN r.x[i] ELSE 1e0 END) ELSE a.w[k] END), loss: a.loss + (1e0 - (s[r.y] - list_max(s)))}})[1], {{x: [0e0], y: 1, q: 0e0, w: {_NOUGHT}, loss: 0e0}}) AS m, len(xs) AS fitted FROM l)
+SELECT CAST(i - 1 AS INTEGER) AS pos, round(flatten(m.w)[i], 6) + 0.0 AS value, fitted, round(m.loss, 4) AS loss FROM m, range(1, 651) t(i)"""
 
 
 @query("multiclass_pa_train", MULTI)
 def _(spark, d):
-    out = fold.train(tables.embedding_points(spark, d, 4), LearnerSpec("MulticlassPA", {"nClasses": 10}), ["vec_id"])
+    out = fold.train(tables.embedding_points(spark, d), LearnerSpec("MulticlassPA", {"nClasses": 10}), ["vec_id"])
     return out.select("pos", r6("value").alias("value"), "fitted", F.round("loss", 4).alias("loss"))
 
 
@@ -363,11 +404,20 @@ def _(spark, d):
     return tables.Buffer(500).evicted(table(spark, d, "events").select("event_id", "value"), "event_id")
 
 
-@query("buffer_random_remove")
+@query("buffer_random_remove", "SELECT event_id, value FROM events ORDER BY md5('1|' || event_id), event_id LIMIT 500")
 def _(spark, d):
     return tables.Buffer(500).keep_random(table(spark, d, "events").select("event_id", "value"), "event_id")
 
 
+@query("buffer_complete_merge", "SELECT event_id, row_number() OVER (ORDER BY md5('3|' || event_id), event_id) > 700 AS evicted FROM events")
+def _(spark, d):
+    """Two buffers merged beyond the bound: what stays and what goes."""
+    rows = table(spark, d, "events").select("event_id", "value")
+    merged = tables.merge_buffers(rows.where("value >= 50"), rows.where("value < 50"), "event_id", 2)
+    kept, gone = tables.Buffer(700).complete_merge(merged.select("event_id"), "event_id", 3)
+    return kept.withColumn("evicted", F.lit(False)).unionByName(gone.withColumn("evicted", F.lit(True)))
+
+
 @query("buffer_merge", "WITH a AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS rn, count(*) OVER () AS n FROM events WHERE value >= 50), b AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM events WHERE value < 50) SELECT event_id, CAST(rn + rn // 2 AS BIGINT) AS place FROM a UNION ALL SELECT event_id, CAST(CASE WHEN rn < (SELECT count(*) // 2 FROM a) THEN (rn + 1) * 2 + rn ELSE (SELECT count(*) FROM a) + rn END AS BIGINT) FROM b")
 def _(spark, d):
     rows = table(spark, d, "events").select("event_id", "value")
@@ -445,12 +495,61 @@ def _(spark, d):
     return statistics.candidates(stats).select("attr", "i", r6("at").alias("at_value"))
 
 
-@query("nb_predict", f"WITH s AS (SELECT attr, class, avg(value) AS m, var_samp(value) AS v FROM {CELLS} GROUP BY 1, 2), p AS (SELECT {CLASS} AS class, count(*) / (SELECT count(*) FROM lineitem)::DOUBLE AS prior FROM lineitem GROUP BY 1), q AS (SELECT {KEY}, s.class, ln(p.prior) + sum(-((value - m) ** 2) / (2 * v) - ln(sqrt(v * 2 * pi()))) AS score FROM (SELECT DISTINCT * FROM {CELLS}) c JOIN s USING (attr) JOIN p ON p.class = s.class GROUP BY ALL HAVING true), z AS (SELECT {KEY}, s_class AS predicted, row_number() OVER (PARTITION BY {KEY} ORDER BY score DESC, s_class) AS k FROM (SELECT {KEY}, class AS s_class, score FROM q)) SELECT predicted, count(*) AS n FROM z WHERE k = 1 GROUP BY 1".replace("s.class, ln(p.prior)", "s.class, ln(p.prior)").replace("GROUP BY ALL HAVING true", f"GROUP BY {KEY}, s.class, p.prior"))
+def _cdf(z: str) -> str:
+    t = f"(1e0 / (1e0 + 0.3275911::DOUBLE * abs({z}) / sqrt(2e0)))"
+    tail = "0e0"
+    for c in tree_plan.ERF[::-1]:
+        tail = f"(({tail} + {c}::DOUBLE) * {t})"
+    tail = f"({tail} * exp(-({z}) * ({z}) / 2) / 2)"
+    return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+@query("normal_cdf", f"SELECT event_id, round({_cdf('((value - 50) / 20)')}, 6) + 0.0 AS p FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", r6(tree_plan.normal_cdf((F.col("value") - 50) / 20)).alias("p"))
+
+
+_STATS = f"SELECT attr, class, count(*)::DOUBLE AS n, avg(value) AS mean, var_samp(value) AS v FROM {CELLS} GROUP BY 1, 2"
+_CANDIDATES = f"SELECT attr, CAST(i AS INTEGER) AS i, lo + i / 11::DOUBLE * (hi - lo) AS cut FROM (SELECT attr, min(value) AS lo, max(value) AS hi FROM {CELLS} GROUP BY 1), range(1, 11) t(i)"
+_SIDES = f"s AS ({_STATS}), c AS ({_CANDIDATES}), e AS (SELECT attr, i, cut, class, n, exp(-((cut - mean) ** 2) / (2 * v)) / (sqrt(v) * sqrt(2 * pi())) * n AS same, {_cdf('((cut - mean) / sqrt(v))')} * n AS upto FROM c JOIN s USING (attr))"
+
+
+def _gaussian_splits(spark, d):
+    stats = statistics.gaussians(statistics.long_form(_classes(spark, d), _attributes(), "class"))
+    return stats, statistics.candidates(stats)
+
+
+@query("split_weights", f"WITH {_SIDES} SELECT attr, i, class, round(upto - same, 2) + 0.0 AS below, round(same, 2) + 0.0 AS same, round(greatest(0, n - upto), 2) + 0.0 AS above FROM e")
+def _(spark, d):
+    stats, thresholds = _gaussian_splits(spark, d)
+    rows = thresholds.join(stats, "attr")
+    parts = tree_plan.weights(F.col("at"), F.col("n"), F.col("mean"), F.col("variance"))
+    return rows.select("attr", "i", "class", *[(F.round(c, 2) + F.lit(0.0)).alias(n) for n, c in zip(("below", "same", "above"), parts)])
+
+
+@query("numeric_gain", f"WITH {_SIDES}, g AS (SELECT attr, i, cut, sum(n) AS n, sum(upto) AS l, sum(greatest(0, n - upto)) AS r FROM e GROUP BY 1, 2, 3), h AS (SELECT e.attr, e.i, sum(-e.n / g.n * log2(e.n / g.n)) AS hn, sum(CASE WHEN upto > 0 THEN -upto / l * log2(upto / l) ELSE 0 END) AS hl, sum(CASE WHEN e.n - upto > 0 THEN -(e.n - upto) / r * log2((e.n - upto) / r) ELSE 0 END) AS hr FROM e JOIN g ON e.attr = g.attr AND e.i = g.i GROUP BY 1, 2) SELECT attr, i, round(cut, 6) + 0.0 AS at_value, round(hn - (l * hl + r * hr) / (l + r), 6) + 0.0 AS gain FROM g JOIN h USING (attr, i) WHERE least(l, r) / (l + r) >= 0.01::DOUBLE")
+def _(spark, d):
+    return tree_plan.numeric_gains(*_gaussian_splits(spark, d)).select("attr", "i", r6("at").alias("at_value"), r6("gain").alias("gain"))
+
+
+@query("tree_route", f"SELECT CAST(CASE WHEN l_quantity <= 25 THEN CASE WHEN l_tax * 100 <= 4.5::DOUBLE THEN 0 ELSE 1 END ELSE CASE WHEN l_extendedprice / 1000 <= 50 THEN 2 ELSE CASE WHEN l_discount * 100 <= 5.5::DOUBLE THEN 3 ELSE 4 END END END AS INTEGER) AS leaf, {CLASS} AS class, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def _(spark, d):
+    """A given tree (attributes in the order discount, price, quantity, tax) as conditions on the rows."""
+    tree, leaf = tree_plan.HT(classes=3), lambda: tree_plan.Leaf(4, False)
+    tree.root = [2, 25.0, [3, 4.5, leaf(), leaf(), 1], [1, 50.0, leaf(), [0, 5.5, leaf(), leaf(), 2], 1], 0]
+    rows = _tree_points(spark, d).select(tree_plan.route(tree, F.col("numeric")).alias("leaf"), F.col("label").cast("int").alias("class"))
+    return rows.groupBy("leaf", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NB = " + ".join(f"(-(({x} - max(m) FILTER (attr = '{a}')) ** 2) / (2 * max(v) FILTER (attr = '{a}')) - ln(sqrt(max(v) FILTER (attr = '{a}') * 2 * pi())))" for a, x in (("discount", "l_discount * 100"), ("price", "l_extendedprice / 1000"), ("quantity", "l_quantity"), ("tax", "l_tax * 100")))
+
+
+@query("nb_predict", f"WITH s AS (SELECT attr, class, avg(value) AS m, var_samp(value) AS v FROM {CELLS} GROUP BY 1, 2), p AS (SELECT {CLASS} AS class, count(*) / (SELECT count(*) FROM lineitem)::DOUBLE AS prior FROM lineitem GROUP BY 1), j AS (SELECT row_number() OVER () AS r, l_discount, l_extendedprice, l_quantity, l_tax FROM lineitem), q AS (SELECT r, s.class, ln(prior) + {_NB} AS score FROM j, s JOIN p ON p.class = s.class GROUP BY r, l_discount, l_extendedprice, l_quantity, l_tax, s.class, prior), z AS (SELECT class AS predicted, row_number() OVER (PARTITION BY r ORDER BY score DESC, class) AS k FROM q) SELECT predicted, count(*) AS n FROM z WHERE k = 1 GROUP BY 1")
 def _(spark, d):
     rows = _classes(spark, d)
-    cells = statistics.long_form(rows, _attributes(), "class", LINE_ORDER)
-    out = statistics.naive_bayes(cells.dropDuplicates([*LINE_ORDER, "attr"]), statistics.gaussians(cells), statistics.class_distribution(rows, "class"), LINE_ORDER)
-    return out.groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
+    stats = statistics.gaussians(statistics.long_form(rows, _attributes(), "class"))
+    predicted = statistics.naive_bayes(_attributes(), stats, statistics.class_distribution(rows, "class"))
+    return rows.select(predicted.alias("predicted")).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
 DISC = f"(SELECT {CLASS} AS class, unnest(['linenumber', 'quantity']) AS attr, unnest([l_linenumber::DOUBLE, l_quantity]) AS value FROM lineitem)"
@@ -512,19 +611,10 @@ class _Dump(fold.Train):
 
 @query("hoeffding_tree_predict")
 def _(spark, d):
-    from .operators.tree import HT
-
+    """Routing as conditions, naive Bayes at the leaves by a join with their statistics."""
     rows = _tree_points(spark, d)
     text = fold.fold(rows, LINE_ORDER, ["numeric", "label"], lambda: _Dump(LearnerSpec("HT", {"classes": 3})), "tree string").first()
-
-    def run(batches):
-        import pyarrow as pa
-
-        tree = HT.load(text[0])
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tree.predict(x) for x in batch.column(1).to_pylist()], pa.float64())], ["label", "predicted"])
-
-    out = rows.select("label", "numeric").mapInArrow(run, "label double, predicted double")
+    out = tree_plan.predict(rows.select("label", "numeric"), tree_plan.HT.load(text[0]))
     return out.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -536,15 +626,69 @@ def _workers(spark, d, label="returned", n=4):
 def _protocol(name, n=4, learner="PA", label="returned", hyper=None, **more):
     def run(spark, d):
         out = protocols.train(_workers(spark, d, label, n), LearnerSpec(learner, hyper or {}), ProtocolSpec(name, workers=n, **more), LINE_ORDER)
-        return rounded(out, "value", "loss")
+        return out.withColumns({"value": r6("value"), "loss": F.round("loss", 4)})
 
     return run
 
 
-query("sync_train")(_protocol("Synchronous"))
-query("async_train")(_protocol("Asynchronous"))
-query("ssp_train")(_protocol("SSP"))
-query("gm_train")(_protocol("GM"))
+ROW = "{x1: x1, x2: x2, x3: x3, y: y, q: x1 * x1 + x2 * x2 + x3 * x3 + 1e0, w1: 0e0, w2: 0e0, w3: 0e0, b: 0e0, loss: 0e0}"
+BLOCKS = f"SELECT w, rd, list({ROW} ORDER BY rn) AS rows FROM (SELECT *, rn // 256 + (w > 0)::INTEGER AS rd FROM (SELECT *, l_orderkey % 4 AS w, row_number() OVER (PARTITION BY l_orderkey % 4 ORDER BY {KEY}) - 1 AS rn FROM {LINES})) GROUP BY 1, 2"
+_M = "(r.x1 * a.w1 + r.x2 * a.w2 + r.x3 * a.w3 + a.b)"
+_H = f"greatest(0e0, 1e0 - r.y * {_M})"
+_T = f"({_H} / (r.q + 1e0 / (2e0 * 0.01::DOUBLE)) * r.y)"
+_BLANK = "{w1: 0e0, w2: 0e0, w3: 0e0, b: 0e0, loss: 0e0}"
+
+
+def _learned(rows: str, model: str) -> str:
+    """The model after a block of rows: a left fold, whose loss begins at 0."""
+    start = f"{{x1: 0e0, x2: 0e0, x3: 0e0, y: 0e0, q: 0e0, w1: {model}.w1, w2: {model}.w2, w3: {model}.w3, b: {model}.b, loss: 0e0}}"
+    step = "{x1: r.x1, x2: r.x2, x3: r.x3, y: r.y, q: r.q, " + ", ".join(f"w{k}: a.w{k} + {_T} * r.x{k}" for k in (1, 2, 3)) + f", b: a.b + {_T}, loss: a.loss + {_H}}}"
+    return f"list_transform([list_reduce({rows}, lambda a, r: {step}, {start})], lambda z: {{w1: z.w1, w2: z.w2, w3: z.w3, b: z.b, loss: z.loss}})[1]"
+
+
+def _each(form: str) -> str:
+    return "{" + ", ".join(f"{c}: {form.format(c=c)}" for c in ("w1", "w2", "w3", "b")) + ", loss: 0e0}"
+
+
+def _final_sql(models: str) -> str:
+    stats = f"(SELECT CAST(sum(n) AS BIGINT) AS fitted, CAST(sum(n // 256) AS BIGINT) AS pushes, CAST(min(n // 256 - (w = 0)::INTEGER) AS BIGINT) AS full_rounds FROM (SELECT l_orderkey % 4 AS w, count(*) AS n FROM lineitem GROUP BY 1))"
+    return f"SELECT CAST(i - 1 AS INTEGER) AS pos, round([m.g.w1, m.g.w2, m.g.w3, m.g.b][i], 6) + 0.0 AS value, fitted, round(m.loss, 4) AS loss, {models} AS models_shipped, ({models}) * 64 AS bytes_shipped, {models} AS blocks, {{rounds}} AS rounds, CAST(0 AS BIGINT) AS subrounds FROM m, {stats}, range(1, 5) t(i)"
+
+
+def rounds_sql(when: str, models: str, shipped_rounds: str) -> str:
+    """Protocols that look at all workers' models at the end of a round. when: whether they are averaged."""
+    mean = _each("(s[1].{c} + s[2].{c} + s[3].{c} + s[4].{c}) / 4")
+    step = f"""list_transform([list_transform([1, 2, 3, 4], lambda k: {_learned("e.blocks[k]", "c.models[k]")})], lambda s: list_transform([CASE WHEN e.rd = 0 THEN s[1] WHEN {when} THEN {mean} END], lambda g: {{rd: e.rd, blocks: e.blocks[1:0], models: CASE WHEN g IS NULL THEN s ELSE [g, g, g, g] END, g: coalesce(g, c.g), loss: c.loss + s[1].loss + s[2].loss + s[3].loss + s[4].loss, averaged: c.averaged + (e.rd > 0 AND g IS NOT NULL)::BIGINT}})[1])[1]"""
+    zero = f"models: [{_BLANK}, {_BLANK}, {_BLANK}, {_BLANK}], g: {_BLANK}, loss: 0e0, averaged: 0::BIGINT"
+    return f"""WITH b AS ({BLOCKS}),
+r AS (SELECT rd, [coalesce(any_value(rows) FILTER (w = 0), []), coalesce(any_value(rows) FILTER (w = 1), []), coalesce(any_value(rows) FILTER (w = 2), []), coalesce(any_value(rows) FILTER (w = 3), [])] AS blocks FROM b GROUP BY 1),
+l AS (SELECT list({{rd: rd, blocks: blocks, {zero}}} ORDER BY rd) AS es FROM r),
+m AS (SELECT list_reduce(es, lambda c, e: {step}, {{rd: -1::BIGINT, blocks: es[1].blocks[1:0], {zero}}}) AS m FROM l)
+{_final_sql(models).format(rounds=shipped_rounds)}"""
+
+
+def pushes_sql(installed: str, base: str, models: str) -> str:
+    """Protocols that take one worker's model at a time. installed, base: what the worker goes on with and counts its
+    next difference from, of new model s, new hub g and clocks k."""
+    hub = _each("c.g.{c} + (s.{c} - c.bases[e.w].{c}) / 4")
+    clocks = "list_transform([1, 2, 3, 4], lambda j: c.clocks[j] + (j = e.w)::BIGINT)"
+    turn = lambda what, old: f"CASE WHEN c.g IS NULL THEN [s, s, s, s] ELSE list_transform([1, 2, 3, 4], lambda j: CASE WHEN j = e.w THEN {what} ELSE {old}[j] END) END"
+    step = f"""list_transform([{_learned("e.rows", "c.models[e.w]")}], lambda s: CASE WHEN len(e.rows) < 256
+THEN {{w: e.w, rows: e.rows[1:0], models: list_transform([1, 2, 3, 4], lambda j: CASE WHEN j = e.w THEN s ELSE c.models[j] END), bases: c.bases, clocks: c.clocks, g: c.g, loss: c.loss + s.loss, sent: c.sent}}
+ELSE list_transform([{clocks}], lambda k: list_transform([CASE WHEN c.g IS NULL THEN s ELSE {hub} END], lambda g: {{w: e.w, rows: e.rows[1:0], models: {turn(installed, "c.models")}, bases: {turn(base, "c.bases")}, clocks: k, g: g, loss: c.loss + s.loss, sent: c.sent + CASE WHEN c.g IS NULL THEN 4 ELSE {models} END}})[1])[1] END)[1]"""
+    zero = f"models: [{_BLANK}, {_BLANK}, {_BLANK}, {_BLANK}], bases: [{_BLANK}, {_BLANK}, {_BLANK}, {_BLANK}], clocks: [0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT], g: CASE WHEN true THEN NULL ELSE {_BLANK} END, loss: 0e0, sent: 0::BIGINT"
+    return f"""WITH b AS ({BLOCKS}), l AS (SELECT list({{w: w + 1, rows: rows, {zero}}} ORDER BY rd, w) AS es FROM b),
+m AS (SELECT list_reduce(es, lambda c, e: {step}, {{w: 1::BIGINT, rows: es[1].rows[1:0], {zero}}}) AS m FROM l)
+{_final_sql("m.sent").format(rounds="CAST(0 AS BIGINT)")}"""
+
+
+_FULL = "len(e.blocks[1]) = 256 AND len(e.blocks[2]) = 256 AND len(e.blocks[3]) = 256 AND len(e.blocks[4]) = 256"
+_FAR = " OR ".join(f"(len(e.blocks[{k}]) = 256 AND (s[{k}].w1 - c.g.w1) ** 2 + (s[{k}].w2 - c.g.w2) ** 2 + (s[{k}].w3 - c.g.w3) ** 2 + (s[{k}].b - c.g.b) ** 2 > 0.0008::DOUBLE)" for k in (1, 2, 3, 4))
+_LATE = "k[e.w] - list_min(k) > 3"
+query("sync_train", rounds_sql(_FULL, "4 + 8 * full_rounds", "full_rounds"))(_protocol("Synchronous"))
+query("async_train", pushes_sql("g", "g", "2"))(_protocol("Asynchronous"))
+query("ssp_train", pushes_sql(f"CASE WHEN {_LATE} THEN g ELSE s END", f"CASE WHEN {_LATE} THEN g ELSE s END", f"CASE WHEN {_LATE} THEN 2 ELSE 1 END"))(_protocol("SSP"))
+query("gm_train", rounds_sql(_FAR, "4 + 8 * m.averaged", "m.averaged"))(_protocol("GM"))
 query("fgm_train")(_protocol("FGM"))
 query("single_train", fold_sql(HINGE, f"({TAU['PA-II']}) * r.y", source=f"(SELECT * FROM {LINES} ORDER BY {KEY} LIMIT (SELECT count(*) // 256 * 256 FROM lineitem))").replace(", CAST(m.n AS BIGINT) AS fitted, round(m.loss, 4) AS loss", ""))(lambda spark, d: _protocol("CentralizedTraining", 1)(spark, d).select("pos", "value"))
 
@@ -577,24 +721,35 @@ def _(spark, d):
     return _protocol("Synchronous", learner="ORR", label="price")(spark, d).select("pos", "value")
 
 
-@query("protocol_statistics")
-def _(spark, d):
+def _statistics(spark, d, names):
     out = None
-    for name in ("CentralizedTraining", "Asynchronous", "Synchronous", "SSP", "GM", "FGM"):
+    for name in names:
         one = protocols.train(_workers(spark, d), LearnerSpec("PA"), ProtocolSpec(name, workers=4), LINE_ORDER).where("pos = 0")
         one = one.select(F.lit(protocols.LABELS[name]).alias("protocol"), "fitted", "models_shipped", "bytes_shipped", "blocks", "rounds", "subrounds")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-PAIR = f"(SELECT vec_id, list_transform(x[1:8], lambda v: v / 50) AS w, list_transform(x[9:16], lambda v: v / 50) AS g FROM {EMB})"
-DIST2 = "list_sum(list_transform(range(1, 9), lambda i: (w[i] - g[i]) * (w[i] - g[i])))"
+@query("protocol_statistics", "WITH w AS (SELECT l_orderkey % 4 AS w, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT sum(n) AS fitted, sum(n // 256) AS pushes, min(n // 256 - (w = 0)::INTEGER) AS full_rounds FROM w), p AS (SELECT 'SingleLearner' AS protocol, fitted, pushes AS models, 0 AS rounds FROM s UNION ALL SELECT 'AsynchronousAveraging', fitted, 4 + 2 * (pushes - 1), 0 FROM s UNION ALL SELECT 'SynchronousAveraging', fitted, 4 + 8 * full_rounds, full_rounds FROM s) SELECT protocol, CAST(fitted AS BIGINT) AS fitted, CAST(models AS BIGINT) AS models_shipped, CAST(models * 64 AS BIGINT) AS bytes_shipped, CAST(models AS BIGINT) AS blocks, CAST(rounds AS BIGINT) AS rounds, CAST(0 AS BIGINT) AS subrounds FROM p")
+def _(spark, d):
+    """What goes over the wire where that follows from the workers' numbers of points alone."""
+    return _statistics(spark, d, ("CentralizedTraining", "Asynchronous", "Synchronous"))
+
+
+@query("protocol_statistics_monitored")
+def _(spark, d):
+    """Where it depends on the models too."""
+    return _statistics(spark, d, ("SSP", "GM", "FGM"))
+
+
+PAIR = f"(SELECT vec_id, list_transform(x[1:32], lambda v: v / 50) AS w, list_transform(x[33:64], lambda v: v / 50) AS g FROM {EMB})"
+DIST2 = "list_sum(list_transform(range(1, 33), lambda i: (w[i] - g[i]) * (w[i] - g[i])))"
 
 
 def _pairs(spark, d):
-    rows = tables.embedding_points(spark, d, 16)
-    half = lambda a: F.transform(F.slice("numeric", a, 8), lambda v: v / 50)
-    rows = rows.select("vec_id", half(1).alias("w"), half(9).alias("g"))
+    rows = tables.embedding_points(spark, d)
+    half = lambda a: F.transform(F.slice("numeric", a, 32), lambda v: v / 50)
+    rows = rows.select("vec_id", half(1).alias("w"), half(33).alias("g"))
     diff = V.subtract(F.col("w"), F.col("g"))
     return rows.withColumn("d2", V.dot(diff, diff))
 
@@ -621,11 +776,11 @@ def _(spark, d):
     return g.select("grp", r6("psi").alias("psi"), (F.col("psi") > 0.01 * F.col("k") * F.sqrt(F.lit(0.0008))).alias("goes_on"), r6(F.col("psi") / (2 * F.col("k"))).alias("quantum"))
 
 
-@query("easgd_step", f"SELECT vec_id, round(w[1] - 0.1::DOUBLE * (w[1] - g[1]), 6) + 0.0 AS worker, round(g[1] + 0.1::DOUBLE * (w[1] - g[1]), 6) + 0.0 AS hub FROM {PAIR}")
+@query("easgd_step", f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(w[i] - 0.1::DOUBLE * (w[i] - g[i]), 6) + 0.0 AS worker, round(g[i] + 0.1::DOUBLE * (w[i] - g[i]), 6) + 0.0 AS hub FROM {PAIR}, range(1, 33) t(i)")
 def _(spark, d):
     gap = V.subtract(F.col("w"), F.col("g"))
-    rows = _pairs(spark, d).select("vec_id", V.axpy(-0.1, gap, F.col("w")).alias("w"), V.axpy(0.1, gap, F.col("g")).alias("g"))
-    return rows.select("vec_id", r6(F.col("w")[0]).alias("worker"), r6(F.col("g")[0]).alias("hub"))
+    rows = _pairs(spark, d).select("vec_id", F.arrays_zip(V.axpy(-0.1, gap, F.col("w")).alias("w"), V.axpy(0.1, gap, F.col("g")).alias("g")).alias("z"))
+    return rows.select("vec_id", F.posexplode("z").alias("pos", "z")).select("vec_id", "pos", r6("z.w").alias("worker"), r6("z.g").alias("hub"))
 
 
 # ---- vectors and messages --------------------------------------------------------------------------------------------
@@ -635,17 +790,18 @@ def _(spark, d):
     return rows.select("vec_id", r6(V.dot(F.slice("numeric", 1, 32), F.slice("numeric", 33, 32))).alias("dot"), r6(V.norm(F.col("numeric"))).alias("norm"))
 
 
-@query("vector_outer", f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(x[i] * x[j], 6) + 0.0 AS value FROM {EMB}, range(1, 4) a(i), range(1, 4) b(j)")
+@query("vector_outer", f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(list_sum(list_transform(x, lambda v: x[i] * v)), 5) + 0.0 AS total, round(x[i] * x[1], 6) + 0.0 AS first, round(x[i] * x[64], 6) + 0.0 AS last FROM {EMB}, range(1, 65) t(i)")
 def _(spark, d):
-    rows = tables.embedding_points(spark, d, 3)
-    rows = rows.select("vec_id", F.posexplode(V.outer(F.col("numeric"), F.col("numeric"))).alias("i", "row"))
-    return rows.select("vec_id", "i", F.posexplode("row").alias("j", "v")).select("vec_id", "i", "j", r6("v").alias("value"))
+    """The outer product of each vector with itself, told by its rows."""
+    rows = tables.embedding_points(spark, d).select("vec_id", F.posexplode(V.outer(F.col("numeric"), F.col("numeric"))).alias("i", "row"))
+    return rows.select("vec_id", "i", (F.round(V.total(F.col("row")), 5) + F.lit(0.0)).alias("total"), r6(F.col("row")[0]).alias("first"), r6(F.col("row")[63]).alias("last"))
 
 
-@query("vector_axpy", f"SELECT vec_id, round(2 * x[1] + x[5], 6) + 0.0 AS a, round(x[1] + x[5], 6) + 0.0 AS s, round(x[1] - x[5], 6) + 0.0 AS m, round(3 * x[1], 6) + 0.0 AS k FROM {EMB}")
+@query("vector_axpy", f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(2 * x[i] + x[i + 32], 6) + 0.0 AS a, round(x[i] + x[i + 32], 6) + 0.0 AS s, round(x[i] - x[i + 32], 6) + 0.0 AS m, round(3 * x[i], 6) + 0.0 AS k FROM {EMB}, range(1, 33) t(i)")
 def _(spark, d):
-    rows = tables.embedding_points(spark, d).select("vec_id", F.slice("numeric", 1, 4).alias("u"), F.slice("numeric", 5, 4).alias("v"))
-    return rows.select("vec_id", *[r6(c[0]).alias(n) for n, c in (("a", V.axpy(2.0, F.col("u"), F.col("v"))), ("s", V.add(F.col("u"), F.col("v"))), ("m", V.subtract(F.col("u"), F.col("v"))), ("k", V.scale(3.0, F.col("u"))))])
+    rows = tables.embedding_points(spark, d).select("vec_id", F.slice("numeric", 1, 32).alias("u"), F.slice("numeric", 33, 32).alias("v"))
+    parts = F.arrays_zip(V.axpy(2.0, F.col("u"), F.col("v")).alias("a"), V.add(F.col("u"), F.col("v")).alias("s"), V.subtract(F.col("u"), F.col("v")).alias("m"), V.scale(3.0, F.col("u")).alias("k"))
+    return rows.select("vec_id", F.posexplode(parts).alias("pos", "z")).select("vec_id", "pos", *[r6(f"z.{n}").alias(n) for n in "asmk"])
 
 
 @query("sparse_encode", f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS idx, round(x[i], 6) AS value FROM (SELECT vec_id, list_transform(x, lambda v: CASE WHEN v > 0.1::DOUBLE THEN v ELSE 0e0 END) AS x FROM {EMB}), range(1, 65) t(i) WHERE x[i] <> 0")
@@ -691,19 +847,35 @@ def _(spark, d):
     return buckets(rows, "sz").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("messages"), F.sum(8 * (F.col("last") - F.col("first") + 1) + 32).cast("bigint").alias("bytes"))
 
 
+_BIG = f"(SELECT vec_id, list_transform(x, lambda v: CASE WHEN v > 0.1::DOUBLE THEN v ELSE 0e0 END) AS x FROM {EMB})"
+
+
+def _messages(spark, d, sparse):
+    rows = tables.embedding_points(spark, d).select("vec_id", F.transform("numeric", lambda v: F.when(v > 0.1, v).otherwise(0.0)).alias("v"))
+    return tables.slices(rows, "v", 3, 10, 64, sparse)
+
+
+@query("message_reassembly", f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(x[i], 6) + 0.0 AS value FROM {_BIG}, range(1, 65) t(i)")
+def _(spark, d):
+    """Vectors cut into sparse messages of ten parameters over three hubs, and put together again."""
+    whole = tables.reassemble(_messages(spark, d, True), "vec_id", 64, True)
+    return whole.select("vec_id", F.posexplode("vector").alias("pos", "v")).select("vec_id", "pos", r6("v").alias("value"))
+
+
+@query("message_bytes_sparse", f"WITH h AS (SELECT vec_id, hub, 64 // 3 + (hub < 64 % 3)::INTEGER AS len, hub * (64 // 3) + least(hub, 64 % 3) AS frm, x FROM {_BIG}, range(3) t(hub)), m AS (SELECT vec_id, x[first + 1:least(first + 10, frm + len)] AS part FROM (SELECT *, unnest(range(frm, frm + len, 10)) AS first FROM h)) SELECT vec_id, count(*) AS messages, CAST(sum(12 * len(list_filter(part, lambda v: v <> 0)) + 36) AS BIGINT) AS bytes, CAST(sum(8 * len(part) + 32) AS BIGINT) AS dense_bytes FROM m GROUP BY 1")
+def _(spark, d):
+    full, kept = F.col("last") - F.col("first") + 1, F.size("part.values")
+    size = 12 * kept + F.lit(protocols.sparse_message_bytes(0, 0))
+    return _messages(spark, d, True).groupBy("vec_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(size).cast("bigint").alias("bytes"), F.sum(8 * full + F.lit(protocols.message_bytes(0))).cast("bigint").alias("dense_bytes"))
+
+
 # ---- streams ---------------------------------------------------------------------------------------------------------
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 STREAMED = LearnerSpec("PA")
 
 
 def _shared(spark) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = f"{tempfile.gettempdir()}/driftwell-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where}/stream-{uuid.uuid4().hex}"
+    return f"{tables.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _event_points(df: DataFrame) -> DataFrame:
@@ -711,11 +883,11 @@ def _event_points(df: DataFrame) -> DataFrame:
     return df.select("event_id", F.pmod("event_id", F.lit(10)).alias("turn"), x.alias("numeric"), F.when(F.col("event_type") == "click", 1.0).otherwise(-1.0).alias("label"), F.lit(0).alias("worker"))
 
 
-def _stream(spark, d):
+def _stream(spark, d, learner=STREAMED):
     from .streaming import online
 
     where = _shared(spark)
-    spec = PipelineSpec(STREAMED, protocol=ProtocolSpec("CentralizedTraining"))
+    spec = PipelineSpec(learner, protocol=ProtocolSpec("CentralizedTraining"))
     models = online.ModelTable(spark, f"{where}/models")
     rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
     training = _event_points(rows).where("turn < 8")
@@ -738,6 +910,33 @@ def _(spark, d):
     return rows.select("event_id", (F.round(margin, 4) + F.lit(0.0)).alias("margin"))
 
 
+SVM_ROWS = "(SELECT l_orderkey + 0 AS l_orderkey, * EXCLUDE (l_orderkey) FROM " + STREAM_ROWS + ")"
+SVM_MODEL = fold_sql(HINGE, "", svm=True, source=SVM_ROWS).rpartition(" SELECT CAST(i - 1")[0]
+
+
+@query("svm_stream", f"{SVM_MODEL} SELECT CAST(i - 1 AS INTEGER) AS pos, round([m.w1, m.w2, m.b][i], 4) + 0.0 AS value, CAST(m.n AS BIGINT) AS fitted FROM m, range(1, 4) t(i)")
+def _(spark, d):
+    """A learner whose steps shrink with the points it has seen, over micro-batches: their count goes on with the model."""
+    from .streaming import online
+
+    spec, models = _stream(spark, d, LearnerSpec("SVM"))
+    trained = online.model(spec, models)
+    fitted = next(r["fitted"] for r in models.latest() if r["worker"] == -1)
+    return spark.createDataFrame([(k, v, fitted) for k, v in enumerate(trained.get())], "pos int, value double, fitted bigint").select("pos", (F.round("value", 4) + F.lit(0.0)).alias("value"), "fitted")
+
+
+@query("predict_function", f"{STREAM_MODEL} SELECT event_id, CASE WHEN (value / 100) * m.w1 + ((user_id % 7) / 7) * m.w2 + m.b >= 0 THEN 1e0 ELSE -1e0 END AS predicted FROM events, m")
+def _(spark, d):
+    """The trained pipeline as a function of SQL."""
+    from .streaming import online
+
+    spec, models = _stream(spark, d)
+    name = online.register(spec, models, "clicks")
+    view = f"points_{uuid.uuid4().hex}"
+    _event_points(table(spark, d, "events")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT event_id, {name}(numeric) AS predicted FROM {view}")
+
+
 @query("model_query", f"{STREAM_MODEL}, s AS (SELECT avg((y = CASE WHEN x1 * m.w1 + x2 * m.w2 + m.b >= 0 THEN 1e0 ELSE -1e0 END)::INTEGER) AS score FROM {STREAM_ROWS.replace('< 8', '>= 8')}, m) SELECT CAST(7 AS BIGINT) AS query_id, 'PA' AS learner, 'CentralizedTraining' AS protocol, CAST(m.n AS BIGINT) AS fitted, round(m.loss, 4) AS cumulative_loss, round(score, 6) AS score FROM m, s")
 def _(spark, d):
     from .streaming import online

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share.  Only a session on one machine may lack the setting; it gets a folder there."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = os.path.join(tempfile.gettempdir(), "driftwell-shared")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
 def points(df: DataFrame, numeric: list[Column], label: Column | None = None, discrete: list[Column] = (), categorical: list[Column] = (), raw: Column | None = None, keep: list[str] = ()) -> DataFrame:
     """Records of one shape: label, numeric, discrete, categorical, raw; keep names columns that stay beside them."""
     vector = lambda xs, t: F.array(*[x.cast(t) for x in xs]) if xs else F.array().cast(f"array<{t}>")
@@ -105,7 +120,12 @@ class Buffer:
 
     def keep_random(self, df: DataFrame, key: str, seed: int = 1) -> DataFrame:
         """What is left when evictions are random: a uniform choice, by seeded hash."""
-        return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(self.max_size)
+        return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key)).limit(self.max_size)
+
+    def complete_merge(self, merged: DataFrame, key: str, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+        """After a merge: what stays of a buffer that may have grown too large, and what is evicted, at random."""
+        kept = self.keep_random(merged, key, seed)
+        return kept, merged.join(kept.select(F.col(key)), key, "left_anti")
 
     def clear(self) -> Buffer:
         """Emptying resets the bound to its default."""
@@ -131,3 +151,33 @@ def insert(xs: Column, index: int, value: Column) -> Column:
 
 def remove(xs: Column, index: int) -> Column:
     return F.filter(xs, lambda x, i: i != index)
+
+
+def without_features(df: DataFrame, numeric: list[int] = (), discrete: list[int] = (), categorical: list[int] = ()) -> DataFrame:
+    """Points without the named positions of each of their vectors."""
+    from ..functions.vectors import without
+
+    return df.withColumns({c: without(F.col(c), list(drop)) for c, drop in (("numeric", numeric), ("discrete", discrete), ("categorical", categorical)) if drop})
+
+
+def slices(df: DataFrame, vector: str, hubs: int, most: int, size: int, sparse: bool = False) -> DataFrame:
+    """A row a message: hub, first and last position, and the slice of a vector of a known size; sparse: as a struct of
+    size, indices and values without zeros."""
+    from ..functions.vectors import sparse as pack
+    from ..plans.protocols import buckets
+
+    cut = F.array(*[F.struct(F.lit(h).alias("hub"), F.lit(a).alias("first"), F.lit(b).alias("last")) for h, a, b in buckets(size, hubs, most)])
+    rows = df.select("*", F.explode(cut).alias("b")).select(*df.columns, "b.*")
+    part = F.slice(vector, F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    return rows.withColumn("part", pack(part) if sparse else part).drop(vector)
+
+
+def reassemble(messages: DataFrame, key: str, size: int, sparse: bool = False) -> DataFrame:
+    """key, vector: the slices of a key in order of position, whatever order they came in; null while some are missing.
+    A slice that came twice counts once."""
+    from ..functions.vectors import dense
+
+    part = dense(F.col("part")) if sparse else F.col("part")
+    got = messages.select(key, F.struct("first", "last", part.alias("part")).alias("m")).groupBy(key).agg(F.array_sort(F.collect_set("m")).alias("ms"))
+    whole = F.flatten(F.transform("ms", lambda m: m["part"]))
+    return got.select(key, F.when(F.size(whole) == size, whole).alias("vector"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -284,29 +285,221 @@ def test_statistics_edges(spark):
     assert statistics.ridge_weights(sums) == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("files", [1, 3])
-def test_stream_is_batch(spark, tmp_path, files):
+STREAMED = {
+    "PA": {}, "RegressorPA": {}, "SVM": {}, "ORR": {}, "MulticlassPA": {"nClasses": 3}, "K-means": {"nClusters": 2, "graceInit": 20},
+    "NN": {"nClasses": 3, "layers": [4], "batchSize": 7}, "HT": {"n_min": 20, "classes": 3, "tau": 0.5},
+}
+
+
+@pytest.mark.parametrize("files", [1, 3, 10])
+@pytest.mark.parametrize("name", STREAMED)
+def test_stream_is_batch(spark, tmp_path, name, files):
+    """All that a learner knows goes on from one micro-batch to the next: counts, moments, held points, trees."""
     from driftwell.streaming import online
 
-    df = frame(spark, 240, 2)
-    parts = sorted(df.collect(), key=lambda r: r["k"])
-    for k in range(files):
-        step = len(parts) // files
-        spark.createDataFrame(parts[k * step : (k + 1) * step], df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    spec = PipelineSpec(LearnerSpec("PA"), protocol=ProtocolSpec("CentralizedTraining"))
+    df = frame(spark, 120, 2).withColumn("worker", F.lit(0))
+    if name in ("MulticlassPA", "NN", "HT"):
+        df = df.withColumn("label", (F.col("k") % 3).cast("double")).withColumn("numeric", F.transform("numeric", lambda v: v + F.col("label")))
+    learner = LearnerSpec(name, STREAMED[name])
+    spec = PipelineSpec(learner, (PreprocessorSpec("StandardScaler", {"flat": 0.0}),) if name in ("SVM", "HT") else (), ProtocolSpec("CentralizedTraining"))
     table = online.ModelTable(spark, f"{tmp_path}/models")
-    assert table.latest() == []
+    assert table.latest() == [] and online.model(spec, table) is None
     step = online.train_batch(spec, table, ["k"])
+    size = 120 // files
     for k in range(files):
-        batch = spark.read.parquet(f"{tmp_path}/in/{k}").withColumn("worker", F.lit(0))
+        batch = df.where(F.expr(f"k div {size} = {k}")).coalesce(1)
         step(batch, k)
-        step(batch, k)  # a batch that is run again changes nothing
+        if k == 0:
+            step(batch, k)  # a batch that is run again changes nothing
     hub = next(r for r in table.latest() if r["worker"] == -1)
-    want = values(fold.train(df, LearnerSpec("PA"), ["k"]))
-    assert np.allclose(hub["params"], want) and hub["fitted"] == 240
+    want = spec.make()
+    loss = sum(want.fit(list(r["numeric"]), r["label"]) for r in df.orderBy("k").collect())
+    assert hub["fitted"] == 120 and np.isclose(hub["loss"], loss)
+    got = online.model(spec, table)
+    assert got.get() == want.get() == hub["params"] and got.state() == want.state()
+    assert name == "HT" or len(want.get()) > 1
     assert online.answer(table, spec, -1, 0.5).first()["learner"] is None
 
 
+def test_function_and_rescale(spark, tmp_path):
+    from driftwell.streaming import online
+
+    spec = PipelineSpec(LearnerSpec("SVM"), (PreprocessorSpec("StandardScaler"),), ProtocolSpec("Asynchronous", workers=2))
+    table = online.ModelTable(spark, f"{tmp_path}/models")
+    df = frame(spark, 60, 2)
+    name = online.register(spec, table, "early")
+    df.createOrReplaceTempView("rescaled")
+    assert {r[0] for r in spark.sql(f"SELECT {name}(numeric) FROM rescaled").collect()} == {None}
+    online.train_batch(spec, table, ["k"])(df, 0)
+    more = PipelineSpec(spec.learner, spec.preprocessors, ProtocolSpec("Asynchronous", workers=3))
+    online.rescale(more, table, 1)
+    rows = {r["worker"]: r for r in table.latest()}
+    assert set(rows) == {-1, 0, 1, 2} and rows[2]["state"] == rows[1]["state"] != rows[0]["state"]
+    online.train_batch(more, table, ["k"])(df.withColumn("worker", F.lit(2)), 2)
+    last = {r["worker"]: r for r in table.latest()}
+    assert last[0]["state"] == rows[0]["state"] and last[2]["state"] != rows[2]["state"] and last[-1]["fitted"] == 120
+    name, trained = online.register(more, table, "late"), online.model(more, table)
+    got = spark.sql(f"SELECT numeric, {name}(numeric) AS p FROM rescaled UNION ALL SELECT NULL, {name}(NULL)").collect()
+    assert all(r["p"] == (None if r["numeric"] is None else trained.predict(list(r["numeric"]))) for r in got)
+
+
+@pytest.mark.parametrize("name", ["Synchronous", "Asynchronous", "SSP", "GM", "FGM", "CentralizedTraining"])
+def test_parallel_is_simulated(spark, name):
+    """Workers in tasks of their own give what one task simulates: parameters, counts, curves."""
+    df = frame(spark, 130, 3).where("worker < 2 or k > 40")
+    for learner, block in (("PA", 4), ("SVM", 7)):
+        p = ProtocolSpec(name, workers=3, mini_batches=block, staleness=1)
+        one, many = (protocols.train(df, LearnerSpec(learner), p, ["k"], parallel=x).toPandas() for x in (False, True))
+        assert len(one) == 4 and np.allclose(one, many, rtol=1e-12, atol=1e-12)
+    one, many = (protocols.curve(df, LearnerSpec("PA"), p, ["k"], parallel=x).toPandas().sort_values(["round", "worker"]) for x in (False, True))
+    assert len(one) and np.allclose(one, many)
+
+
+def test_lost_worker_ends_the_wait(spark):
+    """A point that a learner can't take fails its worker; the others don't wait for ever."""
+    df = frame(spark, 40, 2).withColumn("numeric", F.when(F.col("k") == 33, F.array(F.lit(1.0))).otherwise(F.col("numeric")))
+    with pytest.raises(Exception, match="weights|barrier|worker is gone"):
+        protocols.train(df, LearnerSpec("PA"), ProtocolSpec("Synchronous", workers=2, mini_batches=4), ["k"], parallel=True)
+
+
+def test_scaler_learns_and_freezes():
+    from driftwell.operators.transforms import Scaler
+
+    rng = np.random.default_rng(3)
+    xs = rng.normal(size=(30, 2)).tolist()
+    s = Scaler()
+    out = [s.train([*x, 5.0]) for x in xs]
+    assert out[0] == [*xs[0], 5.0] and math.isnan(out[1][2]) and Scaler(flat=0.0).transform([1.0]) == [1.0]
+    z = (np.array(xs[:9])[-1] - np.mean(xs[:9], 0)) / np.std(xs[:9], 0)
+    assert np.allclose(out[8][:2], z)
+    s.freeze()
+    before = s.state()
+    assert s.train([0.0, 0.0, 6.0])[2] == math.inf and s.train([0.0, 0.0, 4.0])[2] == -math.inf and s.state() == before
+    s.thaw()
+    s.train([0.0, 0.0, 6.0])
+    assert s.count == 31
+    a, b, whole = Scaler(), Scaler(), Scaler()
+    for k, x in enumerate(xs):
+        (a if k < 11 else b).fit(x)
+        whole.fit(x)
+    both = a.merge([b, Scaler()])
+    assert both.count == 30 and np.allclose(both.mean, whole.mean) and np.allclose(both.d, whole.d)
+    again = Scaler(mean=whole.mean, variance=[d / 30 for d in whole.d], count=30)
+    assert np.allclose(again.transform(xs[4]), whole.transform(xs[4]))
+    with pytest.raises(ValueError):
+        Scaler(variance=[1.0])
+
+
+def test_pipeline_rows_are_columns(spark):
+    """Preprocessors give the same in a fold as in an expression."""
+    steps = (PreprocessorSpec("MinMaxScaler", {"min": [0.0, 1.0, 2.0], "max": [2.0, 4.0, 9.0]}), PreprocessorSpec("FeatureFilter", {"numeric": [1]}), PreprocessorSpec("PolynomialFeatures", {"degree": 3}), PreprocessorSpec("StandardScaler", {"mean": [0.1] * 18, "variance": [4.0] * 18}))
+    spec = PipelineSpec(LearnerSpec("PA"), steps)
+    rows = [[0.5, 2.0, 3.0], [1.5, -2.0, 7.0]]
+    got = spark.createDataFrame([(x,) for x in rows], "numeric array<double>").select(spec.transform(F.col("numeric"))).collect()
+    assert np.allclose([r[0] for r in got], [spec.make().through(x, False) for x in rows])
+    learning = PipelineSpec(LearnerSpec("PA"), (PreprocessorSpec("StandardScaler"),))
+    with pytest.raises(ValueError):
+        learning.transform(F.col("numeric"))
+    with pytest.raises(ValueError):
+        PreprocessorSpec("StandardScaler", {"learn": False})
+    one, other = learning.make(), learning.make()
+    other.fit([1.0, 2.0], 1.0)
+    other.fit([2.0, 2.5], -1.0)
+    assert one.merge(other).state() == other.state()
+
+
+NET = [{"type": "conv", "filters": 3, "kernel": 3}, {"type": "norm"}, {"type": "pool", "kernel": 2}, {"type": "conv", "filters": 2, "kernel": 2, "stride": 1}, {"type": "pool", "kernel": 2, "stride": 1}, {"type": "dense", "size": 5}, {"type": "norm"}, {"type": "dropout", "rate": 0.25}]
+
+
+def test_network_gradients():
+    """Of every kind of layer, against differences of the loss."""
+    net = L.NN(nClasses=3, layers=NET, inputShape=[8, 9, 2], l2=0.0, seed=5)
+    rng = np.random.default_rng(1)
+    xs, ys = rng.normal(size=(6, 144)), rng.integers(0, 3, 6)
+    net.grow(xs[0].tolist())
+
+    def loss():
+        said, kept = net.forward(xs, True)
+        return -np.log(said[np.arange(6), ys]).mean(), said, kept
+
+    _, said, kept = loss()
+    delta = said.copy()
+    delta[np.arange(6), ys] -= 1
+    for q, g in zip(net.p, net.gradients(delta / 6, kept)):
+        for at in rng.integers(0, q.size, 3):
+            i, step = np.unravel_index(at, q.shape), 1e-6
+            q[i] += step
+            up = loss()[0]
+            q[i] -= 2 * step
+            down = loss()[0]
+            q[i] += step
+            assert abs((up - down) / (2 * step) - g[i]) < 1e-4
+
+
+def test_network_learns_and_is_configured():
+    rng = np.random.default_rng(2)
+    net = L.NN(nClasses=2, layers=json.dumps({"layers": NET[:3]}), inputShape=[6, 6, 1], batchSize=20, learningRate=0.01)
+    points = []
+    for k in range(600):
+        x = rng.normal(0, 0.3, (6, 6))
+        x[2 * (k % 2) + 1] += 1.0 if k % 2 else -1.0
+        points.append((x.ravel().tolist(), float(k % 2)))
+    for x, y in points:
+        net.fit(x, y)
+    assert np.mean([net.predict(x) == y for x, y in points[-200:]]) > 0.95
+    twin = L.NN(nClasses=2, layers=NET[:3], inputShape=[6, 6, 1], batchSize=20, learningRate=0.01)
+    twin.grow(points[0][0])
+    twin.restore(net.state())
+    assert twin.get() == net.get() and twin.predict(points[3][0]) == net.predict(points[3][0])
+    for wrong in ("{", [{"type": "wing"}]):
+        with pytest.raises(ValueError):
+            L.configured(wrong)
+    with pytest.raises(ValueError):
+        L.NN(layers=NET[:1]).grow([1.0] * 9)
+
+
+def test_tree_as_plan(spark):
+    """Routing and prediction by expressions are those of the tree, with dropped attributes and inactive leaves too."""
+    from driftwell.operators import tree_plan
+    from driftwell.operators.tree import HT
+
+    rng = np.random.default_rng(7)
+    tree = HT(n_min=30, classes=3, tau=0.4)
+    xs = rng.normal(size=(600, 3))
+    ys = (xs[:, 0] > 0).astype(float) + (xs[:, 1] > 0.5)
+    for x, y in zip(xs.tolist(), ys.tolist()):
+        tree.fit(x, y)
+    leaves = tree.leaves()
+    assert len(leaves) > 2
+    leaves[0].drop(2)
+    leaves[1].deactivate()
+    tree.fit(xs[0].tolist(), float(ys[0]))
+    df = spark.createDataFrame([(x,) for x in xs.tolist()], "numeric array<double>")
+    got = tree_plan.predict(df, tree).withColumn("leaf", tree_plan.route(tree, F.col("numeric"))).collect()
+    number = {id(leaf): k for k, leaf in enumerate(tree.leaves())}
+    assert all(r["leaf"] == number[id(tree.route(list(r["numeric"]))[0])] for r in got)
+    assert np.mean([r["predicted"] == tree.predict(list(r["numeric"])) for r in got]) > 0.998
+    again = HT.load(tree.dump())
+    assert again.dump() == tree.dump() and [f.dropped for f in again.leaves()] == [f.dropped for f in tree.leaves()]
+    leaves[1].activate()
+    assert leaves[1].active and leaves[1].low == [math.inf] * 3
+    assert tree_plan.predict(df.limit(2), HT()).where("not isnan(predicted)").count() == 0
+
+
+def test_slices_come_in_any_order(spark):
+    from driftwell.sources import tables
+
+    rows = [(k, [float(j) if (j + k) % 3 else 0.0 for j in range(11)]) for k in range(4)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    for sparse in (False, True):
+        m = tables.slices(df, "v", 2, 4, 11, sparse)
+        assert m.count() == 4 * 4
+        m = m.unionByName(m.where("id = 1")).where("id <> 2 or first <> 4").orderBy(F.rand(3))
+        got = {r["id"]: r["vector"] for r in tables.reassemble(m, "id", 11, sparse).collect()}
+        assert got == {0: rows[0][1], 1: rows[1][1], 2: None, 3: rows[3][1]}
+    assert protocols.sparse_message_bytes(10, 4) == 12 * 6 + 36
+
+
 @pytest.mark.parametrize("name", ["Synchronous", "Asynchronous", "GM", "FGM", "SSP"])
 def test_stream_protocols_run(spark, tmp_path, name):
     from driftwell.streaming import online
