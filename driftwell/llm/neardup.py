@@ -4,9 +4,11 @@ A text is the weighted set of its five-word shingles (lower-cased runs of letter
 words has a single shingle), a shingle seen c times weighing 1 + ln c.  Every shingle is a Poisson process whose rate is
 its weight; each arrival falls on one of the signature's registers, and the first arrival there wins it.  Arrivals are
 made round by round and a shingle stops when its time is past the slowest register, so few arrivals are made beyond
-those that count.  Two texts agree in a register with the probability Jaccard of their weighted sets.
+those that count.  Two texts agree in a register with the probability Jaccard of their weighted sets.  A text in which
+a shingle recurs has a second signature, of weights of 1 each, whose registers agree with the Jaccard of distinct
+shingles; other texts' first signature is that too.
 
-Candidates agree in a whole band of registers.  A pair is a link if its exact probability Jaccard or its exact Jaccard
+Candidates agree in a whole band of registers of either signature.  A pair is a link if its exact probability Jaccard or its exact Jaccard
 of distinct shingles is at least the threshold; classes are what links connect.  Verification goes in two steps:
 
 1. every text against the most similar of the leaders (smallest ids) of its buckets: one pair a text;
@@ -105,24 +107,43 @@ def content_id(words: list[str]) -> bytes:
     return xxhash.xxh128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
+def unweighted(sets: list[tuple[np.ndarray, np.ndarray]], signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets have weights other than 1, and all sets' signatures without weights."""
+    heavy = np.flatnonzero([w.max() > 1 for _, w in sets])
+    plain = signatures.copy()
+    if len(heavy):
+        plain[heavy] = probminhash([(sets[k][0], np.ones(len(sets[k][0]))) for k in heavy])
+    return heavy, plain
+
+
+def both(registers: list[bytes]) -> np.ndarray:
+    """[texts, signatures (with weights, without), registers]; texts with equal signatures have one of them stored."""
+    return np.frombuffer(b"".join(r if len(r) > REGISTERS else r + r for r in registers), np.uint8).reshape(-1, 2, REGISTERS)
+
+
 SIGNED = "doc_id bigint, node binary, bands array<bigint>, registers binary"
 
 
 @lean
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text → doc_id, node (hash of its words), bands, registers (eight bits each); nulls without words."""
+    """doc_id, text → doc_id, node (hash of its words), bands, registers (eight bits each, of one signature or both);
+    nulls without words."""
     memo = WordHashes()
     ids, nodes, sets, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
         live = [k for k, s in enumerate(sets) if s is not None]
         signatures = probminhash([sets[k] for k in live])
+        heavy, plain = unweighted([sets[k] for k in live], signatures)
         bands, short = [None] * len(sets), [None] * len(sets)
         for row, k in enumerate(live):
             short[k] = row
         hashes, bits = band_hashes(signatures), mix(signatures).astype(np.uint8)
+        second, more = mix(plain).astype(np.uint8), dict(zip(heavy.tolist(), band_hashes(plain[heavy])))
         for k in live:
-            bands[k], short[k] = hashes[short[k]], bits[short[k]].tobytes()
+            row = short[k]
+            bands[k] = hashes[row] if row not in more else np.unique(np.concatenate([hashes[row], more[row]]))
+            short[k] = bits[row].tobytes() + (second[row].tobytes() if row in more else b"")
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "node", "bands", "registers"])
 
     for batch in batches:
@@ -143,8 +164,8 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, registers of a, of b → a, b, estimate; pairs that can't reach the threshold go."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3))
-        estimate = (x == y).mean(1)
+        x, y = (both(batch.column(k).to_pylist()) for k in (2, 3))
+        estimate = (x == y).mean(2).max(1)
         keep = pa.array(np.flatnonzero(estimate >= THRESHOLD - MARGIN))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(estimate).take(keep)], ["a", "b", "estimate"])
 
@@ -175,11 +196,10 @@ def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs() -> pa.RecordBatch:
         left, right = [], []
         if probes and targets:
-            p = np.frombuffer(b"".join(r for _, _, r in probes), np.uint8).reshape(-1, REGISTERS)
-            t = np.frombuffer(b"".join(r for _, _, r in targets), np.uint8).reshape(-1, REGISTERS)
+            p, t = both([r for _, _, r in probes]), both([r for _, _, r in targets])
             least = (THRESHOLD - MARGIN) * REGISTERS
             for k, (node, label, _) in enumerate(probes):
-                for j in np.flatnonzero((t == p[k]).sum(1) >= least):
+                for j in np.flatnonzero((t == p[k]).sum(2).max(1) >= least):
                     if targets[j][1] != label:
                         left.append(min(node, targets[j][0]))
                         right.append(max(node, targets[j][0]))

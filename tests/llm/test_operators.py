@@ -316,6 +316,21 @@ def test_near_duplicates_by_brute_force(spark, corpus):
     assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=repr) == sorted(classes_by_brute_force(rows), key=repr)
 
 
+def test_repeated_lines_hide_no_copy(spark):
+    """Pairs whose distinct shingles agree, but not their weights: found by the signatures without weights."""
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        words = prose(rng, 90).split()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[10:40] * 40))]
+    sets = [neardup.weighted(textwords.WordHashes().of(textwords.tokens(t))) for _, t in rows[:2]]
+    signed = neardup.probminhash(sets)
+    assert (signed[0] == signed[1]).mean() < neardup.THRESHOLD - neardup.MARGIN and neardup.similarity(*sets) > 0.9
+    heavy, plain = neardup.unweighted(sets, signed)
+    assert heavy.tolist() == [1] and (plain[0] == plain[1]).mean() > 0.85 and (plain[0] == signed[0]).all()
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k in range(120)}
+
+
 def test_all_links_without_leaders(spark, monkeypatch):
     """Blocks alone (small ones) find what leaders miss."""
     monkeypatch.setattr(neardup, "PROBES", 2)
