@@ -3,7 +3,7 @@
 The tree: a text is parted into paragraphs (lines), and consecutive paragraphs into sections.  A section ends at an
 empty line and after a paragraph whose own digest says so (one in eight), so an edit moves only the section ends near
 it.  Paragraph digests are SHA-256 of the whole line, a section's is SHA-256 of its paragraphs' digests, the root's that
-of its sections' digests.  Below a paragraph hang its phrases of four words, counted from the paragraph's start, which
+of its sections' digests.  Below a paragraph hang all its runs of four words, which
 grade how much two differing paragraphs share.
 
 Cases: a null text is the empty text, whose tree is one section of one empty paragraph; equal texts have equal trees;
@@ -44,12 +44,10 @@ def section_digests(nodes: Column) -> Column:
 def leaves(text: Column) -> Column:
     """Distinct hashes of all runs of four words within a paragraph, however far from its start."""
 
-    def of_paragraph(p: Column) -> Column:
-        words = F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - LEAF_WORDS + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(words, k, LEAF_WORDS)))
-
-    worded = F.filter(paragraphs(text), lambda p: p.rlike(r"\S"))
-    return F.when(F.size(worded) > 0, F.array_distinct(F.flatten(F.transform(worded, of_paragraph)))).otherwise(F.array(F.xxhash64(text)))
+    # Words become a lambda's variable, else they would be cut out anew for each run.
+    worded = F.filter(F.transform(paragraphs(text), lambda p: F.filter(F.split(p, r"\s+"), lambda w: w != "")), lambda words: F.size(words) > 0)
+    runs = F.flatten(F.transform(worded, lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - LEAF_WORDS + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(words, k, LEAF_WORDS)))))
+    return F.when(F.size(runs) > 0, F.array_distinct(runs)).otherwise(F.array(F.xxhash64(text)))
 
 
 def likeness(a: Column, b: Column) -> Column:
