@@ -113,9 +113,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 8, min
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 8, min_items: int = 1) -> DataFrame:
     """The rows, with all columns, in which windows of fewer than min_items items occur."""
     found = decontaminate(documents, benchmark, size, min_items).where("contaminated")
-    bad = saved(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "contaminated")
+    bad = saved(found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct(), "contaminated")
     some = broadcast_if(bad, bad.count(), BLOCK_WINDOWS)
-    return documents.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(text_or_empty(), 256) == F.col("__key")), "left_anti")
+    # Rows as structs, so that no column of theirs clashes with one of these.
+    packed = documents.select(F.struct("*").alias("row"))
+    return packed.join(some, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.sha2(text_or_empty("row.text"), 256) == F.col("key")), "left_anti").select("row.*")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -272,34 +272,37 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "node", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), first.alias("first"))
 
 
-def add_node(schema_names: list[str]):
+def add_node(schema):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the hash of each row's words as its last column."""
-        at = schema_names.index("text")
+        """row, text → row, node (hash of the text's words)."""
         for batch in batches:
-            words = [tokens(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([content_id(w) if w else None for w in words], pa.binary())], [*schema_names, "__node"])
+            words = [tokens(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([content_id(w) if w else None for w in words], pa.binary())], ["row", "node"])
 
-    return run
+    return run, StructType([StructField("row", schema), StructField("node", BinaryType())])
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
     """One row of each class, with all its columns: the one with the smallest doc_id (any one of equal rows)."""
     found = saved(near_duplicates(documents), "classes")
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("first").alias("first"))
-    gone = saved(ids.where("n > 1 or not first").select(F.col("doc_id").alias("__id"), "n"), "gone")
+    gone = saved(ids.where("n > 1 or not first").select(F.col("doc_id").alias("id"), "n"), "gone")
     some = broadcast_if(gone, gone.count(), BROADCAST_IDS)
-    kept = documents.join(some, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    # Rows as structs, so that no column of theirs clashes with one of these.
+    packed, same = documents.select(F.struct("*").alias("row")), F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("id"))
+    kept = packed.join(some, same, "left_anti").select("row.*")
     # Ids that occur more than once are told apart by their words too.
-    many = gone.where("n > 1").select("__id")
+    many = gone.where("n > 1").select("id")
     if many.isEmpty():
         return kept
-    rows = documents.join(many, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(add_node(documents.columns), StructType([*documents.schema.fields, StructField("__node", BinaryType())]))
-    firsts = found.where("first and node is not null").select(F.col("doc_id").alias("__id"), F.col("node").alias("__first")).distinct()
-    alike = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__first")), "left_semi")
+    run, schema = add_node(documents.schema)
+    rows = packed.join(many, same, "left_semi").select("row", F.col("row.text").alias("text")).mapInArrow(run, schema)
+    firsts = found.where("first and node is not null").select(F.col("doc_id").alias("id"), F.col("node").alias("first")).distinct()
+    alike = rows.join(firsts, same & (F.col("node") == F.col("first")), "left_semi")
     # Rows without words are in no class, so all of them stay.
-    return kept.unionByName(alike.dropDuplicates(["doc_id", "__node"]).drop("__node")).unionByName(rows.where("__node is null").drop("__node"))
+    alike = alike.withColumn("doc_id", F.col("row.doc_id")).dropDuplicates(["doc_id", "node"])
+    return kept.unionByName(alike.select("row.*")).unionByName(rows.where("node is null").select("row.*"))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

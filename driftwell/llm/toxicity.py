@@ -15,7 +15,7 @@ each distinct word of the texts to be judged is looked up by joins, and texts me
 A text's score compares length-normalised log-likelihoods: the mean over its words of the difference of the classes, and
 the greatest such mean over passages of 16 words, so that a long text doesn't hide a short passage; with them go the
 second and third greatest differences among its distinct words, the logarithm of what its clearly toxic words add up to,
-and that of its length.  A logistic curve over these figures, fitted to at most FIT_ROWS labelled texts of each class
+and that of its length, since the greatest of many differences is greater by chance.  A logistic curve over these figures, fitted to at most FIT_ROWS labelled texts of each class
 (smallest hashes of doc_id first), gives a score from 0 to 1.  Nothing but the text enters a score.
 
 Cases: null and empty texts and texts without words have all figures 0 and so the score of the intercept; several labels

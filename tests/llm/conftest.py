@@ -64,7 +64,7 @@ def nothing(tmp_path_factory) -> str:
 
 
 #: Names that operators use inside, as columns of the input.
-CLASH = ["text_id", "text_key", "block", "node", "first_id", "size", "pattern", "h", "w", "pos", "word", "key", "label", "score", "hits", "start", "n", "anchor", "ghost", "label_", "band"]
+CLASH = ["text_id", "text_key", "block", "node", "first_id", "size", "pattern", "h", "w", "pos", "word", "key", "label", "score", "hits", "start", "n", "anchor", "ghost", "label_", "band", "__id", "__key", "__kept", "__node", "__first", "__hot", "__salt", "id", "row", "node", "kept", "copies", "runs", "id2", "k", "n0", "first", "times", "call_id", "url_key", "at", "part", "source_id"]
 
 
 def clashing(df):

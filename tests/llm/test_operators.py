@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 from collections import Counter
@@ -53,6 +54,14 @@ def test_clashing_columns(spark, edge):
         assert by_id(run(wide), *names) == by_id(run(docs), *names)
     assert set(neardup.keep_first(wide).columns) == set(wide.columns) == set(runindex.cut_documents(wide).columns)
     assert decontaminate.drop_contaminated(wide, bench).columns == wide.columns
+    for cut in (neardup.keep_first, runindex.cut_documents, lambda d: decontaminate.drop_contaminated(d, bench)):
+        assert sorted(map(repr, cut(wide).select(docs.columns).collect())) == sorted(map(repr, cut(docs).collect()))
+    extra = {c: F.lit("clash") for c in ("url_key", "answer", "tie", "part", "source", "outcome", "conv_key", "level", "wrong", "result_turn", "lacks")}
+    records = revisits.archive(table(spark, edge, "pages"))
+    assert by_id(revisits.resolve(records.withColumns(extra)), "record_id", "outcome", "source_id") == by_id(revisits.resolve(records), "record_id", "outcome", "source_id")
+    calls, results = toolcalls.calls_of(table(spark, edge, "conversations"))
+    link = lambda c, r: by_id(toolcalls.link(c, r, toolcalls.SCHEMAS), "conv_id", "turn", "status", "json")
+    assert link(calls.withColumns(extra), results.withColumns(extra)) == link(calls, results)
 
 
 # ---- shared parts ----------------------------------------------------------------------------------------------------
@@ -232,6 +241,40 @@ def test_kneser_ney_by_hand(spark):
     assert np.allclose(model.differences(some), [word(w, 1) - word(w, 0) for w in some], atol=1e-5)
 
 
+def test_score_by_brute_force(spark, toxic_corpus):
+    """Figures word by word, and the curve as the least of its loss."""
+    docs, labels = toxic_corpus[0], toxic_corpus[1]
+    model = toxicity.train(docs, labels)
+    weights, bias, mean, scale = model.curve
+
+    known_words = {}
+
+    def figures(text, own=None):
+        words = textwords.tokens(text)
+        if not words:
+            return [0.0] * 6
+        for w in words:
+            if (w, own) not in known_words:
+                known_words[w, own] = float(model.differences([w], own)[0])
+        d = [known_words[w, own] for w in words]
+        passages = [sum(d[k : k + 16]) / 16 for k in range(len(d) - 15)] if len(d) > 16 else [sum(d) / len(d)]
+        top = sorted(set(d), reverse=True)
+        top += [min(top[-1], 0.0)] * 2
+        return [sum(d) / len(d), max(passages), top[1], top[2], math.log(1 + sum(max(x - 1.5, 0) for x in d)), math.log(len(d))]
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
+    for k in list(texts)[:60]:
+        z = (np.array(figures(texts[k])) - mean) / scale
+        assert abs(got[k] - 1 / (1 + np.exp(-np.clip(bias + z @ weights, -500, 500)))) < 1e-5
+    known = {r["doc_id"]: r["toxic"] for r in labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).collect() if r["doc_id"] in texts and r["toxic"] is not None}
+    x, y = np.array([figures(texts[k], c) for k, c in known.items()]), np.array(list(known.values()))
+    assert np.allclose(mean, x.mean(0), atol=1e-5) and np.allclose(scale, np.maximum(x.std(0), 1e-6), atol=1e-5)
+    z, w = (x - mean) / scale, np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    miss = w * (y - 1 / (1 + np.exp(-(bias + z @ weights))))
+    assert abs(miss.sum()) < 1e-5 and np.allclose(z.T @ miss, 1e-3 * weights, atol=1e-5)
+
+
 def test_counts_are_of_one_ngram_each(spark):
     """More n-grams than 18 bits tell apart: as many counts as n-grams, with each its own."""
     rng = random.Random(6)
