@@ -7,6 +7,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +87,23 @@ class Pipeline:
         self.spec, self.learner = spec, spec.learner.make()
         self.scalers = {k: transforms.Scaler(**{n: v for n, v in p.hyper.items() if n in ("learn", "mean", "variance", "count", "flat")}) for k, p in enumerate(spec.preprocessors) if p.learns}
         self.parallel = self.learner.parallel
+        if len(self.scalers) < len(spec.preprocessors) or not getattr(self.learner, "columns", None):
+            self.columns = None
+
+    def columns(self, x: np.ndarray, y: np.ndarray) -> list[list[float]]:
+        return [*(c.tolist() for c in x.T), y.tolist()]
+
+    def stretch(self, columns: list[list[float]], loss: float) -> float:
+        *xs, y = columns
+        for k in range(len(self.spec.preprocessors)):
+            xs = self.scalers[k].train_columns(xs)
+        x, y = np.array(xs).T, np.array(y)
+        scaled = self.learner.columns(x, y) if np.isfinite(x).all() else None
+        if scaled:
+            return self.learner.stretch(scaled, loss)
+        for p, q in zip(x.tolist(), y.tolist()):
+            loss += self.learner.fit(p, q)
+        return loss
 
     def through(self, x: list[float], train: bool) -> list[float]:
         for k, p in enumerate(self.spec.preprocessors):

@@ -127,7 +127,7 @@ class Scaler:
             if d > 0:
                 out.append((v - m) / math.sqrt(d / self.count))
             else:
-                out.append(self.flat if self.flat is not None else math.nan if v == m else math.copysign(math.inf, v - m))
+                out.append(self.unvaried(v, m))
         return out
 
     def train(self, x: list[float]) -> list[float]:
@@ -135,6 +135,31 @@ class Scaler:
             self.fit(x)
         return self.transform(x)
 
+    def train_columns(self, columns: list[list[float]]) -> list[list[float]]:
+        """train() of points one after another, given and returned as a list a feature."""
+        if not self.learn:
+            return [list(c) for c in zip(*map(self.transform, zip(*columns)))]
+        if self.mean is None or len(self.mean) != len(columns):
+            self.mean, self.d, self.count = [0.0] * len(columns), [0.0] * len(columns), 0
+        out, root = [], math.sqrt
+        for k, values in enumerate(columns):
+            n, m, d, scaled = self.count, self.mean[k], self.d[k], []
+            for v in values:
+                n += 1
+                old = m
+                m = old + (v - old) / n
+                d = d + (v - m) * (v - old)
+                if n > 1:
+                    v = (v - m) / root(d / n) if d > 0 else self.unvaried(v, m)
+                scaled.append(v)
+            self.mean[k], self.d[k] = m, d
+            out.append(scaled)
+        self.count += len(columns[0])
+        return out
+
+    def unvaried(self, v: float, mean: float) -> float:
+        return self.flat if self.flat is not None else math.nan if v == mean else math.copysign(math.inf, v - mean)
+
     def merge(self, others: list[Scaler]) -> Scaler:
         """The scaler of all points that any of them has seen."""
         out = Scaler(self.learn, flat=self.flat)

@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate tables."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def points(df: DataFrame, numeric: list[Column], label: Column | None = None, discrete: list[Column] = (), categorical: list[Column] = (), raw: Column | None = None, keep: list[str] = ()) -> DataFrame:
     """Records of one shape: label, numeric, discrete, categorical, raw; keep names columns that stay beside them."""
     vector = lambda xs, t: F.array(*[x.cast(t) for x in xs]) if xs else F.array().cast(f"array<{t}>")
@@ -76,8 +82,8 @@ def with_worker(df: DataFrame, key: str, workers: int) -> DataFrame:
     return df.withColumn("worker", F.pmod(F.col(key), F.lit(workers)).cast("int"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int | None = None) -> DataFrame:
-    """Adds each row's place (from 0) in a total order of the whole table.
+def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int | None = None, by: str | None = None) -> DataFrame:
+    """Adds each row's place (from 0) in a total order of the whole table, or of all rows with its value of ``by``.
 
     Rows are parted into ranges of the first (integral) key and each range is numbered for itself; counts of the ranges
     before (one small row for each) are added.  So no task sees more than its range.
@@ -85,11 +91,13 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int | Non
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.withColumn("__block", F.coalesce(block_of(F.col(order[0]), cuts_of(df, order[0], parts)), F.lit(-1)))
-    counts = rows.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__block", (F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
-    w = Window.partitionBy("__block").orderBy(*order)
-    # At most ``parts`` rows are broadcast.
-    return rows.withColumn(name, F.row_number().over(w)).join(F.broadcast(before), "__block").withColumn(name, F.col(name) - 1 + F.col("__before")).drop("__block", "__before")
+    keys = [*([by] if by else []), "__block"]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(by).orderBy("__block") if by else Window.orderBy("__block")
+    before = counts.select(*keys, (F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    # At most ``parts`` rows (for each value of ``by``) are broadcast.
+    return rows.withColumn(name, F.row_number().over(w)).join(F.broadcast(before), keys).withColumn(name, F.col(name) - 1 + F.col("__before")).drop("__block", "__before")
 
 
 def holdout(df: DataFrame, order: list[str], test_size: int = 256) -> DataFrame:

@@ -511,3 +511,53 @@ def test_stream_protocols_run(spark, tmp_path, name):
     for k in range(2):
         step(df.where(F.expr(f"k div 60 = {k}")), k)
     assert len(next(r for r in table.latest() if r["worker"] == -1)["params"]) == 4
+
+
+@pytest.mark.parametrize("name,hyper", [("PA", {"updateType": "STANDARD"}), ("PA", {"updateType": "PA-I"}), ("PA", {}), ("RegressorPA", {}), ("RegressorPA", {"updateType": "PA-I", "epsilon": 0.1}), ("SVM", {}), ("MulticlassPA", {"nClasses": 2}), ("scaled", {})])
+def test_stretches_are_single_points(name, hyper):
+    """Learning from columns gives the digits of learning point by point; nulls and infinities go point by point too."""
+    import pyarrow as pa
+
+    xs, ys = points(300)
+    ys = [max(0.0, y) for y in ys] if name in ("SVM", "MulticlassPA") else ys
+    spec = PipelineSpec(LearnerSpec("PA"), (PreprocessorSpec("StandardScaler", {"flat": 0.0}),)) if name == "scaled" else LearnerSpec(name, hyper)
+    one, many = spec.make(), spec.make()
+    held = L.Held(many, pa.array(xs), pa.array(ys))
+    assert bool(held.columns) == (name != "MulticlassPA")
+    want = got = 0.0
+    for x, y in zip(xs, ys):
+        want += one.fit(x, y)
+    for start, stop in ((0, 1), (1, 2), (2, 150), (150, 300)):
+        got = held.learn(many, start, stop, got)
+    assert got == want and one.get() == many.get() and one.state() == many.state()
+    for odd in (pa.array([*xs[:3], None]), pa.array([*xs[:3], [math.inf] * len(xs[0])]), pa.array([*xs[:3], [1.0]])):
+        assert L.Held(many, odd, pa.array(ys[:4])).columns is None
+
+
+def test_long_folds_are_chains(spark):
+    """Ranges of a long table folded by a task each give what one task gives, rows on the way and state alike."""
+    from pyspark import TaskContext
+
+    df = frame(spark, 700).repartition(5)
+    for spec in (LearnerSpec("PA"), LearnerSpec("MulticlassPA", {"nClasses": 2}), PipelineSpec(LearnerSpec("SVM"), (PreprocessorSpec("StandardScaler", {"flat": 0.0}),))):
+        rows = df.withColumn("label", F.greatest("label", F.lit(0.0)))
+        one, chained = (fold.fold(rows, ["k"], ["numeric", "label"], lambda spec=spec: fold.Train(spec), "pos int, value double, fitted bigint, loss double", piece=p).orderBy("pos").collect() for p in (700, 90))
+        assert one == chained and len(one) > 1
+    one, chained = (fold.fold(df, ["k"], ["numeric", "label"], lambda: fold.Curve(LearnerSpec("PA"), 64), "bucket int, mean_loss double, fitted bigint", piece=p).orderBy("bucket").collect() for p in (700, 90))
+    assert one == chained and len(one) == 10
+
+    class Most:
+        """The most rows that a task of the fold saw."""
+
+        def __init__(self):
+            self.rows, self.task = {}, None
+
+        def row(self, k):
+            task = TaskContext.get().taskAttemptId()
+            self.rows[task] = self.rows.get(task, 0) + 1
+
+        def end(self):
+            return [(max(self.rows.values()), sum(self.rows.values()))]
+
+    most, every = fold.fold(df, ["k"], ["k"], Most, "most bigint, every bigint", piece=90).first()
+    assert every == 700 and most < 250
