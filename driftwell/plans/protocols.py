@@ -7,8 +7,9 @@ learned from locally and never merged.
 Workers run in parallel: each is a task of a barrier stage that folds its own rows and, after each block, gathers the
 models of all (no rows) through the first worker's task.  If a task is lost, Spark begins the stage again.  Every task goes through the same pushes in the order of workers, so all know the hub's
 state.  Where a push changes the model that a later worker should have begun its block with, that worker does its block
-again.  With fewer task slots than workers the same is simulated by one streaming pass in one task, which holds one
-model a worker; both give the same results.
+again.  The same can be simulated by one streaming pass over the rows of all workers, which holds one model a worker; both
+give the same results.  Learners that have a fast loop over a batch are simulated, since a block costs them less than the
+meeting after it, and over long tables that pass is a chain of tasks which read some rounds each.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ import secrets
 import socket
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.learners import Held
 from ..operators.spec import LearnerSpec, ProtocolSpec
-from ..sources.tables import shared_dir
-from .fold import fold
+from ..sources.tables import drop_dir, numbered, shared_dir
+from .fold import PIECE, chain, fold, store
 
 LABELS = {"Asynchronous": "AsynchronousAveraging", "Synchronous": "SynchronousAveraging", "SSP": "StaleSynchronousParallel", "EASGD": "ElasticAveragingSGD", "Centralized": "Centralized", "CentralizedTraining": "SingleLearner", "GM": "GM", "FGM": "FGM"}
 
@@ -64,8 +68,10 @@ def sparse_message_bytes(parameters: int, zeros: int, loss: bool = True) -> int:
 
 
 class Simulation:
-    def __init__(self, spec: LearnerSpec, protocol: ProtocolSpec):
-        self.spec, self.p = spec, protocol
+    """Losses are null where ``losses`` is false."""
+
+    def __init__(self, spec: LearnerSpec, protocol: ProtocolSpec, losses: bool = True):
+        self.spec, self.p, self.losses = spec, protocol, losses
         n = protocol.workers
         self.local = [spec.make() for _ in range(n)]
         self.base: list[list[float]] = [[] for _ in range(n)]
@@ -98,14 +104,24 @@ class Simulation:
         self.put(k, values)
         self.base[k] = list(values)
 
-    def row(self, round_: int, worker: int, x: list[float], y: float):
-        if round_ != self.round:
-            self.close()
-            self.round = round_
-        self.block_loss[worker] += self.local[worker].fit(x, y)
-        self.in_block[worker] += 1
-        if self.in_block[worker] == self.p.block:
-            self.count_in(worker)
+    def many(self, columns: list[pa.Array]):
+        """Rows (round, worker, numeric, label) in order: each run of one worker's rows within a round is learned at once."""
+        round_, worker = columns[0].to_numpy(), columns[1].to_numpy()
+        points, n = Held(self.local[0], *columns[2:]), len(round_)
+        cuts = (np.flatnonzero((round_[1:] != round_[:-1]) | (worker[1:] != worker[:-1])) + 1).tolist()
+        for start, stop in zip([0, *cuts], [*cuts, n]) if n else ():
+            if round_[start] != self.round:
+                self.close()
+                self.round = int(round_[start])
+            k = int(worker[start])
+            while start < stop:
+                end = min(stop, start + self.p.block - self.in_block[k])
+                loss = points.learn(self.local[k], start, end, self.block_loss[k] if self.losses else None)
+                self.block_loss[k] = loss if self.losses else math.nan
+                self.in_block[k] += end - start
+                start = end
+                if self.in_block[k] == self.p.block:
+                    self.count_in(k)
         found, self.out = self.out, []
         return found
 
@@ -274,8 +290,10 @@ class Rounds(Simulation):
 class Final(Simulation):
     """Only the result: the global model's parameters with the run's statistics on each row."""
 
-    def row(self, *values):
-        super().row(*values)
+    quiet = True
+
+    def many(self, columns: list[pa.Array]):
+        super().many(columns)
 
     def end(self):
         super().end()
@@ -288,7 +306,10 @@ FINAL = "pos int, value double, fitted bigint, loss double, models_shipped bigin
 def rounds(df: DataFrame, order: list[str], protocol: ProtocolSpec) -> DataFrame:
     """Adds rn (place within the worker's rows) and round to rows that have a worker."""
     w = Window.partitionBy("worker").orderBy(*order)
-    df = df.withColumn("rn", F.row_number().over(w) - 1)
+    return in_rounds(df.withColumn("rn", F.row_number().over(w) - 1), protocol)
+
+
+def in_rounds(df: DataFrame, protocol: ProtocolSpec) -> DataFrame:
     late = F.when(F.col("worker") == 0, 0).otherwise(1)
     return df.withColumn("round", (F.floor(F.col("rn") / protocol.block) + late).cast("int"))
 
@@ -387,21 +408,54 @@ def slots(df: DataFrame) -> int:
 
 
 def final(run: Simulation) -> list[tuple]:
-    stats = (run.fitted, run.loss, run.models, run.bytes, run.blocks, run.rounds, run.subrounds)
+    stats = (run.fitted, run.loss if run.losses else None, run.models, run.bytes, run.blocks, run.rounds, run.subrounds)
     return [(k, v, *stats) for k, v in enumerate(run.global_ or run.params(0))]
 
 
-def train(df: DataFrame, spec: LearnerSpec, protocol: ProtocolSpec, order: list[str], parallel: bool | None = None) -> DataFrame:
+def apart(spec: LearnerSpec, df: DataFrame, protocol: ProtocolSpec) -> bool:
+    """Whether workers are worth tasks of their own."""
+    return slots(df) >= protocol.workers and not getattr(spec.make(), "columns", None)
+
+
+def simulated(df: DataFrame, protocol: ProtocolSpec, order: list[str], makes: list[Callable[[], Simulation]], schema: str, piece: int = PIECE) -> list[DataFrame]:
+    """The results of several simulations over the same rows, which are put in order once; each is a chain of its own."""
+    rows = df.where(F.col("worker").between(0, protocol.workers - 1)).select(*dict.fromkeys(["worker", *order, "numeric", "label"]))
+    sizes = [r["count"] for r in rows.groupBy("worker").count().collect()]
+    columns, key = ["round", "worker", "numeric", "label"], ["round", "worker", "rn"]
+    if sum(sizes) <= piece:
+        return [fold(rounds(rows, order, protocol), key, columns, make, schema, piece=piece) for make in makes]
+    # A round has at most a block of each worker's rows.
+    each = max(1, piece // (protocol.workers * protocol.block))
+    spark, parts = df.sparkSession, (max(sizes) // protocol.block + 1) // each + 1
+    rows = numbered(rows, order, by="worker", parts=max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = in_rounds(rows, protocol).select(*key, "numeric", "label")
+    path = store(rows.repartitionById(parts, F.expr(f"round div {each}").cast("int")).sortWithinPartitions(*key).select(*columns))
+    try:
+        with ThreadPoolExecutor(len(makes)) as pool:
+            return list(pool.map(lambda make: chain(spark, path, make, schema), makes))
+    finally:
+        drop_dir(spark, path)
+
+
+def train(df: DataFrame, spec: LearnerSpec, protocol: ProtocolSpec, order: list[str], parallel: bool | None = None, losses: bool = True, piece: int = PIECE) -> DataFrame:
     """df: worker, numeric, label and the order's columns.  The global model and the statistics of the run.
-    parallel: None for as many tasks as workers where there are slots for them."""
-    if parallel or parallel is None and slots(df) >= protocol.workers:
+    parallel: None for as many tasks as workers where that is worth it and there are slots for them.
+    losses: false leaves loss null, for learners that learn faster without it."""
+    if parallel or parallel is None and losses and apart(spec, df, protocol):
         return in_parallel(df, spec, protocol, order, lambda run, out: final(run), FINAL)
-    return fold(rounds(df, order, protocol), ["round", "worker", "rn"], ["round", "worker", "numeric", "label"], lambda: Final(spec, protocol), FINAL)
+    return simulated(df, protocol, order, [lambda: Final(spec, protocol, losses)], FINAL, piece)[0]
+
+
+def trains(df: DataFrame, spec: LearnerSpec, protocols: list[ProtocolSpec], order: list[str], piece: int = PIECE) -> list[DataFrame]:
+    """train() by several protocols of the same workers and blocks."""
+    if len({(p.workers, p.block) for p in protocols}) > 1:
+        raise ValueError("protocols that are run together have the same workers and blocks")
+    return simulated(df, protocols[0], order, [lambda p=p: Final(spec, p) for p in protocols], FINAL, piece)
 
 
-def curve(df: DataFrame, spec: LearnerSpec, protocol: ProtocolSpec, order: list[str], parallel: bool | None = None) -> DataFrame:
+def curve(df: DataFrame, spec: LearnerSpec, protocol: ProtocolSpec, order: list[str], parallel: bool | None = None, piece: int = PIECE) -> DataFrame:
     """Mean loss of all merged blocks after each push: round, worker, mean_loss, fitted."""
     schema = "round int, worker int, mean_loss double, fitted bigint"
-    if parallel or parallel is None and slots(df) >= protocol.workers:
+    if parallel or parallel is None and apart(spec, df, protocol):
         return in_parallel(df, spec, protocol, order, lambda run, out: out, schema)
-    return fold(rounds(df, order, protocol), ["round", "worker", "rn"], ["round", "worker", "numeric", "label"], lambda: Simulation(spec, protocol), schema)
+    return simulated(df, protocol, order, [lambda: Simulation(spec, protocol)], schema, piece)[0]

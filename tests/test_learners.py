@@ -561,3 +561,24 @@ def test_long_folds_are_chains(spark):
 
     most, every = fold.fold(df, ["k"], ["k"], Most, "most bigint, every bigint", piece=90).first()
     assert every == 700 and most < 250
+
+
+@pytest.mark.parametrize("name", ["Synchronous", "Asynchronous", "SSP", "GM", "FGM", "CentralizedTraining"])
+def test_long_simulations_are_chains(spark, name):
+    df = frame(spark, 330, 3).where("worker < 2 or k > 40").withColumn("k", F.col("k") - 100)
+    p = ProtocolSpec(name, workers=3, mini_batches=4, staleness=1)
+    one, chained = (protocols.train(df, LearnerSpec("PA"), p, ["k"], parallel=False, piece=n).orderBy("pos").collect() for n in (400, 30))
+    assert one == chained and len(one) == 4
+    one, chained = (protocols.curve(df, LearnerSpec("PA"), p, ["k"], parallel=False, piece=n).orderBy("round", "worker").collect() for n in (400, 30))
+    assert one == chained and len(one) > 20
+    together = protocols.trains(df, LearnerSpec("PA"), [p, ProtocolSpec("Asynchronous", workers=3, mini_batches=4)], ["k"], piece=30)
+    assert together[0].orderBy("pos").collect() == protocols.train(df, LearnerSpec("PA"), p, ["k"]).orderBy("pos").collect()
+
+
+def test_sums_without_losses(spark):
+    """Ridge regression's sums don't depend on losses, which cost it a matrix inversion a point."""
+    df = frame(spark, 200, 2)
+    p = ProtocolSpec("Synchronous", workers=2, mini_batches=16)
+    one, without = (protocols.train(df, LearnerSpec("ORR"), p, ["k"], parallel=False, losses=x).orderBy("pos").collect() for x in (True, False))
+    assert [r["value"] for r in one] == [r["value"] for r in without] and one[0]["rounds"] == without[0]["rounds"] > 0
+    assert one[0]["loss"] > 0 and without[0]["loss"] is None
