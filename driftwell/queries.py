@@ -718,14 +718,14 @@ f AS (SELECT min(n) AS last FROM (SELECT w, count(*) // 256 + CASE WHEN w = 0 TH
 s AS (SELECT sum(CASE WHEN rd = 0 THEN x1 * x1 ELSE x1 * x1 / 4 END) AS a, sum(CASE WHEN rd = 0 THEN x1 ELSE x1 / 4 END) AS b, sum(CASE WHEN rd = 0 THEN 1e0 ELSE 0.25::DOUBLE END) AS c, sum(CASE WHEN rd = 0 THEN price * x1 ELSE price * x1 / 4 END) AS e, sum(CASE WHEN rd = 0 THEN price ELSE price / 4 END) AS g FROM r, f WHERE rd <= last)
 SELECT CAST(i - 1 AS INTEGER) AS pos, round([a, b, b, c, e, g][i], 6) AS value FROM s, range(1, 7) t(i)""")
 def _(spark, d):
-    return _protocol("Synchronous", learner="ORR", label="price")(spark, d).select("pos", "value")
+    out = protocols.train(_workers(spark, d, "price"), LearnerSpec("ORR"), ProtocolSpec("Synchronous", workers=4), LINE_ORDER, losses=False)
+    return out.select("pos", r6("value").alias("value"))
 
 
 def _statistics(spark, d, names):
-    out = None
-    for name in names:
-        one = protocols.train(_workers(spark, d), LearnerSpec("PA"), ProtocolSpec(name, workers=4), LINE_ORDER).where("pos = 0")
-        one = one.select(F.lit(protocols.LABELS[name]).alias("protocol"), "fitted", "models_shipped", "bytes_shipped", "blocks", "rounds", "subrounds")
+    out, every = None, protocols.trains(_workers(spark, d), LearnerSpec("PA"), [ProtocolSpec(name, workers=4) for name in names], LINE_ORDER)
+    for name, one in zip(names, every):
+        one = one.where("pos = 0").select(F.lit(protocols.LABELS[name]).alias("protocol"), "fitted", "models_shipped", "bytes_shipped", "blocks", "rounds", "subrounds")
         out = one if out is None else out.unionByName(one)
     return out
 
