@@ -6,6 +6,8 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+
 
 def bound(span: float, delta: float, n: float) -> float:
     return math.sqrt(span * span * math.log(1 / delta) / (2 * n))
@@ -86,6 +88,33 @@ class Leaf:
                 else:
                     self.stats[a].setdefault(y, Gaussian()).add(v)
 
+    def add_all(self, x: np.ndarray, y: np.ndarray) -> None:
+        """add() of finite rows one after another, a column at a time."""
+        counts, best, errors, labels = self.counts, self.majority()[0], self.errors, y.tolist()
+        for c in labels:
+            errors += best != c
+            k = counts[c] = counts.get(c, 0) + 1
+            if best != c and (best not in counts or k >= counts[best]):
+                best = max(counts, key=counts.get)
+        self.errors, self.n = errors, self.n + len(labels)
+        if not self.active:
+            return
+        of = {c: x[y == c].T.tolist() for c in dict.fromkeys(labels)}
+        low, high = x.min(0).tolist(), x.max(0).tolist()
+        for a in range(x.shape[1]):
+            if a in self.dropped:
+                continue
+            self.low[a], self.high[a] = min(self.low[a], low[a]), max(self.high[a], high[a])
+            for c, columns in of.items():
+                g = self.stats[a].setdefault(c, Gaussian())
+                n, mean, d = g.n, g.mean, g.d
+                for v in columns[a]:
+                    n += 1
+                    gap = v - mean
+                    mean += gap / n
+                    d += gap * (v - mean)
+                g.n, g.mean, g.d = n, mean, d
+
     def deactivate(self) -> None:
         """Statistics of attributes go, class counts stay."""
         self.active, self.stats = False, [{} for _ in range(self.attributes)]
@@ -180,16 +209,60 @@ class HT:
         leaf, parent, side = self.route(x)
         loss = float(leaf.predict(x)[0] != y)
         leaf.add(x, y)
-        if leaf.active and leaf.n % self.n_min == 0 and len(leaf.counts) > 1:
-            gains = leaf.gains(self.splits) or [(0.0, 0, math.nan)]
-            second = gains[1][0] if len(gains) > 1 and gains[1][0] > -math.inf else 0.0
-            eps = bound(math.log2(max(self.classes, len(leaf.counts))), self.delta, leaf.n)
-            if gains[0][0] > 0 and (gains[0][0] - second > eps or eps < self.tau):
-                self.split(leaf, parent, side, gains[0])
+        self.judge(leaf, parent, side)
         if self.seen % self.mem_period == 0:
             self.limit()
         return loss
 
+    def judge(self, leaf: Leaf, parent: list | None, side: int) -> bool:
+        """Splits a leaf that has come to a multiple of n_min points and whose best gain is far enough ahead."""
+        if not (leaf.active and leaf.n % self.n_min == 0 and len(leaf.counts) > 1):
+            return False
+        gains = leaf.gains(self.splits) or [(0.0, 0, math.nan)]
+        second = gains[1][0] if len(gains) > 1 and gains[1][0] > -math.inf else 0.0
+        eps = bound(math.log2(max(self.classes, len(leaf.counts))), self.delta, leaf.n)
+        if gains[0][0] > 0 and (gains[0][0] - second > eps or eps < self.tau):
+            self.split(leaf, parent, side, gains[0])
+            return True
+        return False
+
+    def absorb(self, x: np.ndarray, y: np.ndarray) -> None:
+        """What fit() of finite rows one after another makes of the tree, without losses.  Between two checks of the byte
+        budget leaves don't depend on each other, so each takes its rows at once."""
+        if self.discrete:
+            for p, q in zip(x.tolist(), y.tolist()):
+                self.fit(p, q)
+            return
+        if self.root is None and len(x):
+            self.root = Leaf(x.shape[1], False)
+        at = 0
+        while at < len(x):
+            stop = min(len(x), at + self.mem_period - self.seen % self.mem_period)
+            self.descend(x[at:stop], y[at:stop])
+            self.seen += stop - at
+            at = stop
+            if self.seen % self.mem_period == 0:
+                self.limit()
+
+    def descend(self, x: np.ndarray, y: np.ndarray) -> None:
+        stack = [(self.root, None, 0, np.arange(len(x)))]
+        while stack:
+            node, parent, side, rows = stack.pop()
+            if not len(rows):
+                continue
+            if isinstance(node, list):
+                left = x[rows, node[0]] <= node[1]
+                stack += [(node[3], node, 3, rows[~left]), (node[2], node, 2, rows[left])]
+                continue
+            at = 0
+            while at < len(rows):
+                stop = min(len(rows), at + self.n_min - node.n % self.n_min)
+                node.add_all(x[rows[at:stop]], y[rows[at:stop]])
+                at = stop
+                if self.judge(node, parent, side):
+                    stack.append((self.root if parent is None else parent[side], parent, side, rows[at:]))
+                    break
+
     def split(self, leaf: Leaf, parent: list | None, side: int, gain: tuple[float, int, float]) -> None:
         _, a, at = gain
         children = []
@@ -213,6 +286,23 @@ class HT:
                 out.append(node)
         return out
 
+    def places(self) -> list[tuple[list | None, int]]:
+        """Where each leaf hangs, in the order of leaves(): its parent (None: it is the root) and side."""
+        out, stack = [], [(self.root, None, 0)] if self.root is not None else []
+        while stack:
+            node, parent, side = stack.pop()
+            if isinstance(node, list):
+                stack += [(node[3], node, 3), (node[2], node, 2)]
+            else:
+                out.append((parent, side))
+        return out
+
+    def idle(self, leaves: int, classes: int) -> bool:
+        """Whether limit() changes nothing while there are at most so many leaves, of so many classes."""
+        now = self.leaves()
+        attributes = now[0].attributes if now else 0
+        return not self.discrete and all(f.active for f in now) and leaves * (64 + 24 * attributes * classes) <= self.max_bytes
+
     def limit(self) -> None:
         """Within the byte budget the leaves with the most errors stay active, or become so again; an inactive one is
         taken to grow to the mean size of the active."""

@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
+from .learners import Held
 from .tree import HT, Leaf
 
+#: Leaves up to which routing is by conditions on the row; nested deeper or wider they don't compile.
+CONDITIONS = 64
+
 
 def route(tree: HT, x: Column) -> Column:
     """The number of the leaf that a point falls into, leaves counted from the left."""
@@ -22,6 +31,153 @@ def route(tree: HT, x: Column) -> Column:
     return walk(tree.root) if tree.root is not None else F.lit(None).cast("int")
 
 
+def matrix(xs: pa.Array) -> np.ndarray:
+    """Of vectors of one size; NaN where something is missing."""
+    sizes = np.diff(xs.offsets.to_numpy())
+    if not xs.null_count and len(sizes) and sizes[0] and (sizes == sizes[0]).all():
+        return xs.flatten().to_numpy(zero_copy_only=False).reshape(len(xs), sizes[0])
+    rows = [x or [] for x in xs.to_pylist()]
+    width = max(map(len, rows), default=0)
+    return np.array([[*(math.nan if v is None else v for v in x), *[math.nan] * (width - len(x))] for x in rows]).reshape(len(rows), width)
+
+
+class Router:
+    """A tree's tests as arrays: points go down all at once, a level at a time."""
+
+    def __init__(self, tree: HT):
+        self.attribute, self.at, self.next, self.leaf = [], [], [], []
+        stack, leaves = [(tree.root, None, 0)], 0
+        while stack:
+            node, parent, side = stack.pop()
+            k = len(self.leaf)
+            if parent is not None:
+                self.next[parent][side] = k
+            inner = isinstance(node, list)
+            self.attribute.append(node[0] if inner else 0)
+            self.at.append(float(node[1]) if inner else math.nan)
+            self.next.append([k, k])
+            self.leaf.append(-1 if inner else leaves)
+            leaves += not inner
+            if inner:
+                stack += [(node[3], k, 1), (node[2], k, 0)]
+        self.attribute, self.at, self.next, self.leaf = np.array(self.attribute), np.array(self.at), np.array(self.next, np.int32), np.array(self.leaf, np.int32)
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int32)
+        going = np.flatnonzero(self.leaf[node] < 0)
+        while len(going):
+            here = node[going]
+            right = ~(x[going, self.attribute[here]] <= self.at[here])
+            node[going] = here = self.next[here, right.astype(np.int8)]
+            going = going[self.leaf[here] < 0]
+        return self.leaf[node]
+
+
+def with_leaf(df: DataFrame, tree: HT, numeric: str, name: str = "__leaf") -> DataFrame:
+    """Adds route(), for a tree of any size."""
+    if tree.root is None or len(tree.leaves()) <= CONDITIONS:
+        return df.withColumn(name, route(tree, F.col(numeric)))
+    router, schema = Router(tree), StructType([*df.schema.fields]).add(name, IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(router.route(matrix(b.column(numeric))))], [*b.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
+class Grown:
+    """A tree that goes on; at the end itself."""
+
+    quiet = True
+
+    def __init__(self, tree: HT):
+        self.tree = tree
+
+    def many(self, columns: list[pa.Array]):
+        Held(self.tree, *columns).learn(self.tree, 0, len(columns[0]), None)
+
+    def end(self):
+        return [(cloudpickle.dumps(self.tree),)]
+
+
+def grow(df: DataFrame, order: list[str], tree: HT, first: int = 200_000, times: int = 4) -> HT:
+    """The tree after all points (numeric, label) in order, without their losses.
+
+    The first points are one fold.  Then leaves don't depend on each other, so the next points, up to ``times`` as many as
+    before, are parted by leaf and each leaf grows by a task; the tree put together from them parts the points after.  A
+    leaf splits after some thousand points, so no leaf's share of a part grows with the table.  Where the byte budget may
+    make leaves depend on each other, that part is a fold too."""
+    from ..plans.fold import fold
+
+    rows = df.select(*dict.fromkeys([*order, "numeric", "label"]))
+    n, key = rows.count(), F.col(order[0])
+    sizes = []
+    while (sizes[-1] if sizes else 0) * (times + 1) < n and (first if not sizes else sizes[-1] * (times + 1)) < n:
+        sizes.append(sizes[-1] * (times + 1) if sizes else first)
+    cuts = sorted(set(rows.agg(F.percentile_approx(key, [s / n for s in sizes], 100_000)).first()[0] or [])) if sizes else []
+    for k in range(len(cuts) + 1):
+        # Rows without a key come first.
+        lower = F.lit(True) if k == 0 else key > F.lit(cuts[k - 1])
+        upper = F.lit(True) if k == len(cuts) else key <= F.lit(cuts[k])
+        part = rows.where((lower & upper) | key.isNull() if k == 0 else lower & upper)
+        if k == 0 or not grow_apart(part, order, tree):
+            got = fold(part, order, ["numeric", "label"], lambda tree=tree: Grown(tree), "tree binary").collect()
+            tree = cloudpickle.loads(got[0][0]) if got else tree
+    return tree
+
+
+def grow_apart(rows: DataFrame, order: list[str], tree: HT) -> bool:
+    """Lets each leaf grow by its own points; false, and nothing changes, where the byte budget may interfere."""
+    leaves = tree.leaves()
+    if not leaves or not tree.idle(len(leaves), tree.classes):
+        return False
+    stored, hyper = [cloudpickle.dumps(f) for f in leaves], {"n_min": tree.n_min, "tau": tree.tau, "delta": tree.delta, "splits": tree.splits, "classes": tree.classes, "mem_period": 1 << 62}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sub = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([sub.seen], pa.int64()), pa.array([cloudpickle.dumps(sub.root)], pa.binary())], ["leaf", "n", "root"])
+
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else []
+            for start, stop in zip(cuts, cuts[1:]):
+                if now != at[start]:
+                    if sub is not None:
+                        yield done()
+                    now, sub = int(at[start]), HT(**hyper)
+                    sub.root = cloudpickle.loads(stored[now])
+                Held(sub, *(c.slice(start, stop - start) for c in batch.columns[1:])).learn(sub, 0, stop - start, None)
+        if sub is not None:
+            yield done()
+
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routed = with_leaf(rows, tree, "numeric").repartition(parts, "__leaf").sortWithinPartitions("__leaf", *order)
+    got = routed.select("__leaf", "numeric", "label").mapInArrow(run, "leaf int, n bigint, root binary").collect()
+    grown, places = HT(), tree.places()
+    roots = {r["leaf"]: cloudpickle.loads(r["root"]) for r in got}
+    many, classes = len(leaves) - len(roots), {c for f in leaves for c in f.counts}
+    for root in roots.values():
+        grown.root = root
+        below = grown.leaves()
+        many, classes = many + len(below), classes | {c for f in below for c in f.counts}
+    if not tree.idle(many, max(tree.classes, len(classes))):
+        return False
+    for k, root in roots.items():
+        parent, side = places[k]
+        if parent is None:
+            tree.root = root
+        else:
+            parent[side] = root
+    tree.seen += sum(r["n"] for r in got)
+    return True
+
+
 MODEL = "leaf int, majority double, classes array<struct<class: double, share: double, mean: array<double>, sd: array<double>>>"
 
 
@@ -48,9 +204,66 @@ def density(x: Column, mean: Column, sd: Column) -> Column:
     return F.when(mean.isNull(), 0.0).when(F.isnan(mean), 1.0).when(sd == 0, F.when(x == mean, 1.0).otherwise(0.0)).otherwise(normal)
 
 
+class Scorer:
+    """leaf_table() as arrays of leaves, classes and attributes; classes that a leaf lacks have a share of 0."""
+
+    def __init__(self, tree: HT):
+        if tree.discrete:
+            raise ValueError("leaves of counted attributes have no densities")
+        leaves = tree.leaves()
+        classes, attributes = max(1, *(len(f.counts) for f in leaves)), leaves[0].attributes
+        self.share, self.label = np.zeros((len(leaves), classes)), np.full((len(leaves), classes), math.nan)
+        self.mean, self.sd = np.zeros((len(leaves), classes, attributes)), np.full((len(leaves), classes, attributes), math.nan)
+        self.majority, self.dropped = np.full(len(leaves), math.nan), np.zeros((len(leaves), attributes), bool)
+        for k, f in enumerate(leaves):
+            best = f.majority()[0]
+            self.majority[k] = math.nan if best is None else best
+            self.dropped[k, list(f.dropped)] = True
+            for i, (c, n) in enumerate(f.counts.items() if f.n and f.active else ()):
+                self.share[k, i], self.label[k, i] = n / f.n, c
+                for a in range(attributes):
+                    if a not in f.dropped and c in f.stats[a]:
+                        self.mean[k, i, a], self.sd[k, i, a] = f.stats[a][c].mean, math.sqrt(f.stats[a][c].variance)
+
+    def predict(self, leaf: np.ndarray, x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+        """x: NaN where missing, which leaves the majority unless the attribute was dropped."""
+        p, root = self.share[leaf], math.sqrt(2 * math.pi)
+        with np.errstate(all="ignore"):
+            for a in range(x.shape[1]):
+                mean, sd, v = self.mean[leaf, :, a], self.sd[leaf, :, a], x[:, a : a + 1]
+                density = np.exp(-(v - mean) * (v - mean) / (2 * sd * sd)) / (sd * root)
+                density = np.where(np.isnan(sd), 0.0, np.where(sd == 0, (v == mean).astype(float), density))
+                p = p * np.where(self.dropped[leaf, a][:, None], 1.0, np.where(missing[:, a : a + 1], 0.0, density))
+        # Of equal scores the class that came first.
+        best = p.argmax(1)[:, None]
+        top = np.take_along_axis(p, best, 1)[:, 0]
+        return np.where((top > 0) | np.isnan(top), np.take_along_axis(self.label[leaf], best, 1)[:, 0], self.majority[leaf])
+
+
+def predict_by_arrays(df: DataFrame, tree: HT, numeric: str) -> DataFrame:
+    router, scorer, schema = Router(tree), Scorer(tree), StructType([*df.schema.fields]).add("predicted", DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            xs = b.column(numeric)
+            x = matrix(xs)
+            if not x.shape[1]:
+                x = np.full((len(x), scorer.mean.shape[2]), math.nan)
+            missing = np.zeros(x.shape, bool)
+            if xs.null_count or xs.flatten().null_count:
+                missing = np.array([[k >= len(row or ()) or row[k] is None for k in range(x.shape[1])] for row in xs.to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer.predict(router.route(x), x, missing))], [*b.schema.names, "predicted"])
+
+    return df.mapInArrow(run, schema)
+
+
 def predict(df: DataFrame, tree: HT, numeric: str = "numeric") -> DataFrame:
-    """Adds predicted: naive Bayes at the leaf, or its majority; NaN before there is any.  Leaves are as many as the tree
-    has, so they are broadcast."""
+    """Adds predicted: naive Bayes at the leaf, or its majority; NaN before there is any.  A small tree's leaves are
+    broadcast to expressions over the row; a large one's are arrays beside its tests."""
+    if tree.root is not None and len(tree.leaves()) > CONDITIONS:
+        return predict_by_arrays(df, tree, numeric)
     rows = df.withColumn("__leaf", route(tree, F.col(numeric)))
     model = leaf_table(df.sparkSession, tree).withColumnRenamed("leaf", "__leaf")
 

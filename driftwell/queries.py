@@ -585,11 +585,6 @@ def _(spark, d):
     return rows.select("class", "n", r6(statistics.hoeffding(F.col("n"), 3)).alias("epsilon"))
 
 
-class _Tree(fold.Train):
-    def end(self):
-        return self.model.nodes()
-
-
 NODES = "node_id int, parent_id int, is_left boolean, attribute int, value double, height int, is_leaf boolean, n bigint, errors bigint, active boolean, majority double"
 
 
@@ -598,23 +593,19 @@ def _tree_points(spark, d):
     return rows.select(*LINE_ORDER, F.col("class").cast("double").alias("label"), F.array(*[c.cast("double") for c in _attributes().values()]).alias("numeric"))
 
 
-@query("hoeffding_tree_train")
-def _(spark, d):
-    spec = LearnerSpec("HT", {"classes": 3})
-    return fold.fold(_tree_points(spark, d), LINE_ORDER, ["numeric", "label"], lambda: _Tree(spec), NODES)
+def _tree(spark, d):
+    return tree_plan.grow(_tree_points(spark, d), LINE_ORDER, tree_plan.HT(classes=3))
 
 
-class _Dump(fold.Train):
-    def end(self):
-        return [(self.model.dump(),)]
+@query("hoeffding_tree_train")
+def _(spark, d):
+    return spark.createDataFrame(_tree(spark, d).nodes(), NODES)
 
 
 @query("hoeffding_tree_predict")
 def _(spark, d):
-    """Routing as conditions, naive Bayes at the leaves by a join with their statistics."""
-    rows = _tree_points(spark, d)
-    text = fold.fold(rows, LINE_ORDER, ["numeric", "label"], lambda: _Dump(LearnerSpec("HT", {"classes": 3})), "tree string").first()
-    out = tree_plan.predict(rows.select("label", "numeric"), tree_plan.HT.load(text[0]))
+    """Routing by the tree's tests, naive Bayes at the leaves by a join with their statistics."""
+    out = tree_plan.predict(_tree_points(spark, d).select("label", "numeric"), _tree(spark, d))
     return out.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -582,3 +582,79 @@ def test_sums_without_losses(spark):
     one, without = (protocols.train(df, LearnerSpec("ORR"), p, ["k"], parallel=False, losses=x).orderBy("pos").collect() for x in (True, False))
     assert [r["value"] for r in one] == [r["value"] for r in without] and one[0]["rounds"] == without[0]["rounds"] > 0
     assert one[0]["loss"] > 0 and without[0]["loss"] is None
+
+
+@pytest.mark.parametrize("more", [{}, {"maxByteSize": 3000, "mem_period": 250}, {"maxByteSize": 6000, "mem_period": 400}])
+def test_trees_grow_by_leaf(spark, more):
+    """A tree whose leaves grow in tasks of their own is the tree that learns point by point, byte budget included."""
+    from driftwell.operators import tree_plan
+    from driftwell.operators.tree import HT
+
+    rng = np.random.default_rng(11)
+    xs = np.round(rng.normal(size=(3000, 3)), 2)
+    ys = (xs[:, 0] > 0).astype(float) + (xs[:, 1] > 0.5) + (rng.random(3000) < 0.1)
+    new = lambda: HT(n_min=30, classes=4, tau=0.8, **more)
+    want, whole = new(), new()
+    for x, y in zip(xs.tolist(), ys.tolist()):
+        want.fit(x, y)
+    for start, stop in ((0, 1), (1, 700), (700, 3000)):
+        whole.absorb(xs[start:stop], ys[start:stop])
+    assert whole.dump() == want.dump() and len(want.leaves()) > 10
+    df = spark.createDataFrame([(None if k == 0 else k, x, y) for k, (x, y) in enumerate(zip(xs.tolist(), ys.tolist()))], "k long, numeric array<double>, label double").repartition(3)
+    apart = []
+    real = tree_plan.grow_apart
+    tree_plan.grow_apart = lambda *a: apart.append(real(*a)) or apart[-1]
+    try:
+        got = tree_plan.grow(df, ["k"], new(), first=200, times=2)
+    finally:
+        tree_plan.grow_apart = real
+    assert got.dump() == want.dump() and len(apart) == 3 and all(apart) != bool(more)
+
+
+def test_large_trees_route_by_arrays(spark, monkeypatch):
+    from driftwell.operators import tree_plan
+    from driftwell.operators.tree import HT
+
+    tree, leaf = HT(classes=2), lambda: tree_plan.Leaf(2, False)
+    tree.root = [0, 0.0, [1, -1.0, leaf(), [0, -2.0, leaf(), leaf(), 2], 1], leaf(), 0]
+    xs = [[a, b] for a in (-3.0, -2.0, 0.0, 0.5, math.nan) for b in (-1.0, 0.0, None)] + [None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, numeric array<double>")
+    by_conditions = tree_plan.with_leaf(df, tree, "numeric").orderBy("k").collect()
+    monkeypatch.setattr(tree_plan, "CONDITIONS", 1)
+    routed = tree_plan.with_leaf(df, tree, "numeric")
+    assert "CASE" not in routed._jdf.queryExecution().toString()
+    assert [r["__leaf"] for r in routed.orderBy("k").collect()] == [r["__leaf"] for r in by_conditions]
+
+
+def test_large_trees_predict_by_arrays(spark, monkeypatch):
+    """The same as the expressions, with dropped attributes, inactive leaves, missing values and no values."""
+    from driftwell.operators import tree_plan
+    from driftwell.operators.tree import HT
+
+    rng = np.random.default_rng(7)
+    tree = HT(n_min=30, classes=3, tau=0.6)
+    xs = rng.normal(size=(900, 3))
+    tree.absorb(xs, (xs[:, 0] > 0).astype(float) + (xs[:, 1] > 0.5))
+    leaves = tree.leaves()
+    assert len(leaves) > 5
+    leaves[0].drop(2)
+    leaves[1].deactivate()
+    odd = [[math.nan, 1.0, 0.0], [None, 1.0, 0.0], [-2.0, -2.0, None], [-9.0, -9.0, None], None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*xs.tolist(), *odd])], "k int, numeric array<double>")
+    want = [str(r["predicted"]) for r in tree_plan.predict(df, tree).orderBy("k").collect()]
+    monkeypatch.setattr(tree_plan, "CONDITIONS", 1)
+    assert [str(r["predicted"]) for r in tree_plan.predict(df, tree).orderBy("k").collect()] == want
+
+
+def test_long_trees_have_no_deep_conditions(spark):
+    """Nested conditions for thousands of leaves don't compile."""
+    from driftwell.operators import tree_plan
+    from driftwell.operators.tree import HT
+
+    tree, leaf = HT(classes=2), tree_plan.Leaf(1, False)
+    leaf.add([0.0], 1.0)
+    tree.root = leaf
+    for k in range(400):
+        tree.root = [0, float(k), tree.root, tree_plan.Leaf(1, False, 0, 0.0, 1.0), 0]
+    df = spark.createDataFrame([([float(k % 500)],) for k in range(1000)], "numeric array<double>")
+    assert {r[0]: r[1] for r in tree_plan.predict(df, tree).groupBy("predicted").count().collect()} == {1.0: 2, 0.0: 998}
