@@ -96,6 +96,9 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int | Non
     w = Window.partitionBy(by).orderBy("__block") if by else Window.orderBy("__block")
     before = counts.select(*keys, (F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
     w = Window.partitionBy(*keys).orderBy(*order)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        # Or several ranges would meet in a task.
+        rows = rows.repartition(2 * parts, *keys)
     # At most ``parts`` rows (for each value of ``by``) are broadcast.
     return rows.withColumn(name, F.row_number().over(w)).join(F.broadcast(before), keys).withColumn(name, F.col(name) - 1 + F.col("__before")).drop("__block", "__before")
 
@@ -103,7 +106,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int | Non
 def holdout(df: DataFrame, order: list[str], test_size: int = 256) -> DataFrame:
     """Of every ten training rows the last two go to a test buffer that keeps the newest rows; those it evicts are trained
     after all.  Adds rn and split: train, test or evicted."""
-    rows = numbered(df, order)
+    rows = numbered(df, order, parts=max(df.count() // 2_000_000 + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     held = F.pmod("rn", F.lit(10)) >= 8
     total = F.expr("rn div 10 * 2 + (pmod(rn, 10) - 7)")
     most = rows.where(held).agg(F.max(total).alias("most"))

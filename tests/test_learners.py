@@ -658,3 +658,13 @@ def test_long_trees_have_no_deep_conditions(spark):
         tree.root = [0, float(k), tree.root, tree_plan.Leaf(1, False, 0, 0.0, 1.0), 0]
     df = spark.createDataFrame([([float(k % 500)],) for k in range(1000)], "numeric array<double>")
     assert {r[0]: r[1] for r in tree_plan.predict(df, tree).groupBy("predicted").count().collect()} == {1.0: 2, 0.0: 998}
+
+
+def test_numbered_by_key_in_small_tasks(spark):
+    """Places within each worker's rows, where more ranges than shuffle partitions have tasks of their own."""
+    from driftwell.sources import tables
+
+    df = frame(spark, 400, 3).repartition(4)
+    rows = tables.numbered(df.select("k", "worker"), ["k"], parts=16, by="worker").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["k"], r["rn"]) for r in rows) == [(k, k // 3) for k in range(400)]
+    assert max(sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}) < 100
