@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -15,7 +16,7 @@ def bound(span: float, delta: float, n: float) -> float:
 
 def entropy(counts: list[float]) -> float:
     n = sum(counts)
-    return -sum(c / n * math.log2(c / n) for c in counts if c > 0) if n > 0 else 0.0
+    return -sum([c / n * math.log2(c / n) for c in counts if c > 0]) if n > 0 else 0.0
 
 
 class Gaussian:
@@ -149,6 +150,31 @@ class Leaf:
                 left[c], right[c] = below + same, above
         return left, right
 
+    def cuts(self, a: int, splits: int) -> Iterator[tuple[float, list[float], list[float]]]:
+        """Each candidate with what sides() gives for it; what doesn't depend on the candidate is worked out once."""
+        if self.discrete:
+            for at in self.candidates(a, splits):
+                yield at, *(list(side.values()) for side in self.sides(a, at))
+            return
+        seen, root, half = [], math.sqrt(2 * math.pi), math.sqrt(2)
+        for k, c in enumerate(self.counts):
+            if g := self.stats[a].get(c):
+                s = math.sqrt(g.variance)
+                seen.append((k, g.n, g.mean, s, 2 * s * s, s * root, s * half))
+        exp, erfc = math.exp, math.erfc
+        for at in self.candidates(a, splits):
+            lefts, rights = [0.0] * len(self.counts), [0.0] * len(self.counts)
+            for k, n, mean, s, twice, scale, width in seen:
+                # As Gaussian.weights() does it, bit for bit.
+                if s:
+                    same = exp(-((at - mean) ** 2) / twice) / scale * n
+                    below = 0.5 * erfc(-(at - mean) / width) * n - same
+                else:
+                    same = (1.0 if at == mean else 0.0) * n
+                    below = float(at >= mean) * n - same
+                lefts[k], rights[k] = below + same, max(0.0, n - below - same)
+            yield at, lefts, rights
+
     def gains(self, splits: int) -> list[tuple[float, int, float]]:
         """Best gain of each attribute with its threshold, best first; a side of less than 1 % counts for nothing."""
         whole, out = entropy(list(self.counts.values())), []
@@ -156,12 +182,12 @@ class Leaf:
             best = (-math.inf, a, math.nan)
             if a in self.dropped:
                 continue
-            for at in self.candidates(a, splits):
-                left, right = self.sides(a, at)
-                l, r = sum(left.values()), sum(right.values())
+            for at, lefts, rights in self.cuts(a, splits):
+                l, r = sum(lefts), sum(rights)
                 if l + r and min(l, r) / (l + r) >= 0.01:
-                    gain = whole - (l * entropy(list(left.values())) + r * entropy(list(right.values()))) / (l + r)
-                    best = max(best, (gain, a, at), key=lambda g: g[0])
+                    gain = whole - (l * entropy(lefts) + r * entropy(rights)) / (l + r)
+                    if gain > best[0]:
+                        best = (gain, a, at)
             out.append(best)
         return sorted(out, key=lambda g: -g[0])
 

@@ -85,21 +85,22 @@ def fold(df: DataFrame, order: list[str], columns: list[str], make: Callable[[],
     return rows.mapInArrow(run, full)
 
 
-def store(pieces: DataFrame) -> str:
-    """Writes rows that are parted and sorted already, a folder a partition, each batch as one binary value."""
+def store(pieces: DataFrame, most: int | None = None) -> str:
+    """Writes rows that are parted and sorted already, a folder a partition, each batch (of ``most`` rows at most) as one
+    binary value, numbered and with its number of rows n."""
     path = f"{shared_dir(pieces.sparkSession)}/fold-{uuid.uuid4().hex}"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for seq, batch in enumerate(b for b in batches if b.num_rows):
+        for seq, batch in enumerate(b.slice(at, most or b.num_rows) for b in batches for at in range(0, b.num_rows, most or b.num_rows or 1)):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "seq", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([batch.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "seq", "n", "data"])
 
-    pieces.mapInArrow(pack, "part int, seq bigint, data binary").write.partitionBy("part").parquet(path)
+    pieces.mapInArrow(pack, "part int, seq bigint, n bigint, data binary").write.partitionBy("part").parquet(path)
     return path
 
 

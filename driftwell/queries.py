@@ -605,7 +605,7 @@ def _(spark, d):
 @query("hoeffding_tree_predict")
 def _(spark, d):
     """Routing by the tree's tests, naive Bayes at the leaves by a join with their statistics."""
-    out = tree_plan.predict(_tree_points(spark, d).select("label", "numeric"), _tree(spark, d))
+    out = tree_plan.predict(_tree_points(spark, d), _tree(spark, d), keep=["label"])
     return out.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -611,6 +611,47 @@ def test_trees_grow_by_leaf(spark, more):
     assert got.dump() == want.dump() and len(apart) == 3 and all(apart) != bool(more)
 
 
+def test_trees_grow_from_stored_batches(spark):
+    """However many rounds a tree grows in, the table is read to count, to part and to sort it, and not anew for each."""
+    from driftwell.operators import tree_plan
+    from driftwell.operators.tree import HT
+
+    rng = np.random.default_rng(5)
+    xs = np.round(rng.normal(size=(2000, 2)), 2)
+    ys = (xs[:, 0] > 0).astype(float) + (xs[:, 1] > 0.5)
+    want, read = HT(n_min=30, classes=3, tau=0.8), spark.sparkContext.accumulator(0)
+    want.absorb(xs, ys)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(zip(xs.tolist(), ys.tolist()))], "k long, numeric array<double>, label double")
+    got = tree_plan.grow(df.mapInArrow(count, df.schema), ["k"], HT(n_min=30, classes=3, tau=0.8), first=100, times=1)
+    assert got.dump() == want.dump() and 2000 <= read.value <= 3 * 2000
+
+
+def test_branches_hold_all_leaves():
+    from driftwell.operators import tree_plan
+    from driftwell.operators.tree import HT
+
+    rng = np.random.default_rng(5)
+    tree, xs = HT(n_min=30, tau=0.9), rng.normal(size=(4000, 2))
+    tree.absorb(xs, (xs[:, 0] > 0).astype(float))
+    leaves = tree.leaves()
+    for many in (1, 2, 7, 10_000):
+        parted = tree_plan.branches(tree, many)
+        assert len(parted) == min(many, len(leaves))
+        below = []
+        for node, parent, side in parted:
+            assert (tree.root if parent is None else parent[side]) is node
+            sub = HT()
+            sub.root = node
+            below += sub.leaves()
+        assert [id(f) for f in below] == [id(f) for f in leaves]
+
+
 def test_large_trees_route_by_arrays(spark, monkeypatch):
     from driftwell.operators import tree_plan
     from driftwell.operators.tree import HT
@@ -644,6 +685,8 @@ def test_large_trees_predict_by_arrays(spark, monkeypatch):
     want = [str(r["predicted"]) for r in tree_plan.predict(df, tree).orderBy("k").collect()]
     monkeypatch.setattr(tree_plan, "CONDITIONS", 1)
     assert [str(r["predicted"]) for r in tree_plan.predict(df, tree).orderBy("k").collect()] == want
+    few = tree_plan.predict(df, tree, keep=["k"])
+    assert few.columns == ["k", "predicted"] and [str(r["predicted"]) for r in few.orderBy("k").collect()] == want
 
 
 def test_long_trees_have_no_deep_conditions(spark):
