@@ -2,8 +2,9 @@
 
 The corpus is parted so that equal strings of the wanted length meet: each string's anchor is the smallest hash of its
 shorter runs, anchors seen once go, and the stretch of text whose strings share an anchor (a context) is sent to the
-anchor's part.  Contexts are long only where texts repeat.  Each part then indexes its distinct contexts: their suffixes
-are ordered, the Burrows-Wheeler transform is kept as runs, and the length of agreement with the suffix next to it is
+anchor's part.  Contexts are long only where texts repeat.  Strings whose hash is the only one of its kind in the part match
+nothing, so they go (others with equal hashes are what is compared).  Each part then indexes the rest of its distinct
+contexts: their suffixes are ordered, the Burrows-Wheeler transform is kept as runs, and the length of agreement with the suffix next to it is
 computed at run ends alone.  Within a run those lengths follow from their neighbour in the text (one less for each
 step), so matching statistics are streamed from the samples through the text.  Places that agree with another suffix
 over the wanted length are marked.
@@ -251,6 +252,30 @@ def cut_contexts(unit: Unit):
     return run, "text_id binary, at int, anchor bigint, same binary, size bigint, context binary"
 
 
+def alike(unit: Unit, held: list[tuple]) -> list[tuple]:
+    """(same, context, twice, owner) → (same, piece, twice, owner, where it begins): of each context the piece from its first
+    to its last string whose hash another string has too, unless all of them are in contexts that are marked as a whole."""
+    sizes = np.array([len(c) for _, c, *_ in held])
+    number, begin = np.repeat(np.arange(len(held)), sizes - unit.length + 1), np.cumsum(sizes) - sizes
+    first = np.cumsum(sizes - unit.length + 1) - (sizes - unit.length + 1)
+    at = np.arange(len(number)) - first[number]
+    hashes = unit.hashes(np.concatenate([c for _, c, *_ in held]), unit.length)[begin[number] + at]
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    single = np.array([not twice for *_, twice, _ in held])[number[order]]
+    wanted = (np.diff(np.append(head, len(ordered))) > 1) & np.logical_or.reduceat(single, head)
+    hit = np.zeros(len(number), bool)
+    hit[order] = np.repeat(wanted, np.diff(np.append(head, len(ordered))))
+    hit = np.flatnonzero(hit)
+    if not len(hit):
+        return []
+    which, low = number[hit], at[hit]
+    cut = np.flatnonzero(which[1:] != which[:-1]) + 1
+    starts, ends = np.append(0, cut), np.append(cut, len(hit)) - 1
+    return [(held[k][0], held[k][1][a : b + unit.length], *held[k][2:], a) for k, a, b in zip(which[starts].tolist(), low[starts].tolist(), low[ends].tolist())]
+
+
 def mark(unit: Unit):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,26 +283,29 @@ def mark(unit: Unit):
         held: list[tuple] = []
         size, last = 0, None
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             keys, low, high = [], [], []
-            symbols, starts = joined([c for _, c, *_ in held])
+            kept = alike(unit, held)
+            if not kept:
+                return
+            symbols, starts = joined([c for _, c, *_ in kept])
             owners = None
             if unit.across:
                 number: dict[bytes, int] = {}
-                least = np.array([number.setdefault(owner, len(number)) for *_, owner in held])
+                least = np.array([number.setdefault(owner, len(number)) for *_, owner, _ in kept])
                 # A context of several texts has another owner than any other by itself.
-                most = np.where([twice for *_, twice, _ in held], len(held) + np.arange(len(held)), least)
+                most = np.where([twice for *_, twice, _, _ in kept], len(kept) + np.arange(len(kept)), least)
                 sizes = np.diff(np.append(starts, len(symbols)))
                 owners = np.repeat(np.stack([least, most]), sizes, axis=1)
             best, _ = matching_statistics(symbols, owners, unit.length)
-            for (key, context, *_), at in zip(held, starts):
+            for (key, context, *_, begin), at in zip(kept, starts):
                 hit = best[at : at + len(context) - unit.length + 1] >= unit.length
                 if hit.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))) + begin
                     keys.append(key)
                     low.append(edge[::2].astype(np.int32))
                     high.append(edge[1::2].astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], ["same", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], ["same", "lo", "hi"])
 
         group: list[tuple] = []
 
@@ -296,13 +324,13 @@ def mark(unit: Unit):
                 if anchor != last:
                     close()
                     if size >= BATCH_SYMBOLS:
-                        yield flush()
+                        yield from flush()
                         held, size = [], 0
                 last = anchor
                 group.append((key, unit.unpack(context), twice, owner))
         close()
         if held:
-            yield flush()
+            yield from flush()
 
     return run, "same binary, lo array<int>, hi array<int>"
 

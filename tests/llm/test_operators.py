@@ -584,6 +584,21 @@ def test_blocks_of_windows(spark, edge):
 
 
 # ---- 9 ---------------------------------------------------------------------------------------------------------------
+def test_only_strings_alike_are_indexed(monkeypatch):
+    """Strings that no other can equal don't reach the index; marks are at their places in the whole context."""
+    unit, indexed = runindex.Unit("bytes", 8, 4, False), []
+    real = runindex.joined
+    monkeypatch.setattr(runindex, "joined", lambda contexts: indexed.append([c.tobytes() for c in contexts]) or real(contexts))
+    rows = [(1, b"a", b"0123abcdefghijkl4567", False), (1, b"b", b"98abcdefghijklmn", False), (1, b"c", b"abcdefgXhijklmnopqr", False)]
+    rows += [(2, b"d", b"ABCDEFGHIJKLMNOP", True), (2, b"e", b"ABCDEFGHIJ", True), (3, b"f", b"zyxwvutsrq", False), (3, b"g", b"zyxwvutXrq", False)]
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.bool_()))]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.binary())], ["anchor", "same", "context", "twice", "owner"])
+    run, _ = runindex.mark(unit)
+    found = {r["same"]: (r["lo"], r["hi"]) for b in run(iter([batch])) for r in b.to_pylist()}
+    assert found == {b"a": ([4], [9]), b"b": ([2], [7])}
+    assert indexed == [[b"abcdefghijkl", b"abcdefghijkl"]]
+
+
 def test_suffix_array_and_statistics():
     rng = random.Random(3)
     for trial in range(60):
